@@ -1,7 +1,10 @@
-"""Addresses as sortable text keys, so range tests are plain string comparisons inside codegen.
+"""Addresses as sortable text keys, so range tests are plain string comparisons.
 
 A key is the family digit followed by fixed-width lower-case hex: ``4c0a80001`` or ``6`` plus 32 hex digits.
 Keys of one family sort like the addresses and never compare equal across families.
+
+The helpers take the name of a column (or any SQL text) and build one SQL expression. ``get(transform(array(x), v -> ...), 0)``
+names an intermediate value, which keeps it from being repeated all over the plan.
 """
 
 from __future__ import annotations
@@ -12,10 +15,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_V4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
-_V4_TAIL = r"([0-9]+(\.[0-9]+){3})$"
-_V6_SIDE = r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?$"
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_V4 = f"'^{_OCTET}([.]{_OCTET}){{3}}$'"
+_V4_TAIL = "'([0-9]+([.][0-9]+){3})$'"
+_V6_SIDE = "'^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?$'"
 
 # The address blocks Python's ipaddress module (3.13) counts as not globally reachable, and the exceptions.
 NOT_GLOBAL_V4 = (
@@ -30,59 +33,53 @@ LOCAL_NETWORKS = (
 )
 
 
-def _v4_hex(ip: Column) -> Column:
-    octets = F.split(ip, r"\.")
-    return F.lower(F.concat(*[F.lpad(F.hex(F.get(octets, F.lit(i)).try_cast("int")), 2, "0") for i in range(4)]))
+def _let(value: str, name: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _v4_hex(ip: str) -> str:
+    octets = ", ".join(f"try_cast(split_part({ip}, '.', {i}) AS INT)" for i in range(1, 5))
+    return f"format_string('%02x%02x%02x%02x', {octets})"
+
+
+def _v6_hex(text: str) -> str:
+    """32 hex digits of a lower-case IPv6 text (``::`` and a dotted tail allowed); NULL when malformed."""
+    dotted = f"concat(regexp_replace({text}, {_V4_TAIL}, ''), substring({_v4_hex('tail')}, 1, 4), ':', substring({_v4_hex('tail')}, 5, 4))"
+    flat = _let(f"regexp_extract({text}, {_V4_TAIL}, 1)", "tail", f"IF(tail RLIKE {_V4}, {dotted}, {text})")
+    halves = [f"split_part(flat, '::', {i})" for i in (1, 2)]
+    groups = ", ".join(f"transform(filter(split({h}, ':'), g -> g <> ''), g -> lpad(g, 4, '0'))" for h in halves)
+    given = "(size(halves[0]) + size(halves[1]))"
+    joined = f"array_join(concat(halves[0], array_repeat('0000', greatest(8 - {given}, 0)), halves[1]), '')"
+    filled = _let(f"array({groups})", "halves", f"IF(IF(contains(flat, '::'), {given} <= 7, {given} = 8), {joined}, NULL)")
+    sound = " AND ".join(f"{h} RLIKE {_V6_SIDE}" for h in halves) + " AND size(split(flat, '::')) <= 2"
+    return _let(flat, "flat", f"IF({sound}, {filled}, NULL)")
 
 
-def ip_key(ip: Column) -> Column:
+def ip_key_sql(ip: str) -> str:
+    return f"CASE WHEN {ip} RLIKE {_V4} THEN concat('4', {_v4_hex(ip)}) WHEN contains({ip}, ':') THEN concat('6', {_v6_hex(f'lower({ip})')}) END"
+
+
+def ip_key(ip: str) -> Column:
     """Sortable key of an IPv4/IPv6 text address; NULL when the text is not an address."""
-    is_v4 = ip.rlike(_V4)
-    text = F.lower(ip)
-    tail = F.regexp_extract(text, _V4_TAIL, 1)
-    tail_hex = _v4_hex(tail)
-    flat = F.when(
-        tail.rlike(_V4),
-        F.concat(F.regexp_replace(text, _V4_TAIL, ""), F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4)),
-    ).otherwise(text)
-    left, right = F.split_part(flat, F.lit("::"), F.lit(1)), F.split_part(flat, F.lit("::"), F.lit(2))
-    compressed = flat.contains("::")
-
-    def groups(side: Column) -> Column:
-        return F.transform(F.filter(F.split(side, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
-
-    lefts, rights = groups(left), groups(right)
-    given = F.size(lefts) + F.size(rights)
-    well_formed = (
-        flat.contains(":") & left.rlike(_V6_SIDE) & right.rlike(_V6_SIDE) & (F.size(F.split(flat, "::")) <= 2)
-        & F.when(compressed, given <= 7).otherwise(given == 8)
-    )
-    padding = F.array_repeat(F.lit("0000"), F.greatest(F.lit(8) - given, F.lit(0)))
-    v6 = F.concat(F.lit("6"), F.array_join(F.concat(lefts, padding, rights), ""))
-    return F.when(is_v4, F.concat(F.lit("4"), _v4_hex(ip))).when(well_formed, v6)
-
-
-def cidr_bounds(cidr: Column) -> Column:
-    """Struct ``lo, hi, host_bits`` for a CIDR column; a bare address counts as a single-address block."""
-    base = ip_key(F.split_part(cidr, F.lit("/"), F.lit(1)))
-    width = F.when(base.startswith("4"), 32).otherwise(128)
-    has_length = cidr.contains("/")
-    asked = F.split_part(cidr, F.lit("/"), F.lit(2))
-    length = F.when(~has_length, width).when(asked.rlike("^[0-9]{1,3}$"), asked.try_cast("int"))
-    valid = base.isNotNull() & length.isNotNull() & (length <= width)
-    whole, rest = F.floor(length / 4).cast("int"), (length % 4).cast("int")
-    digits = (width / 4).cast("int")
-    nibble = F.conv(F.substring(base, whole + 2, F.lit(1)), 16, 10).try_cast("int")
-    step = F.pow(F.lit(2.0), 4 - rest).cast("int")
-    floor_nibble = (nibble - nibble % step).cast("int")
-    kept = F.substring(base, F.lit(1), whole + 1)
-
-    def edge(value: Column, filler: str) -> Column:
-        body = F.when(rest > 0, F.concat(kept, F.lower(F.hex(value)))).otherwise(kept)
-        return F.rpad(body, digits + 1, F.lit(filler))
-
-    lo, hi = edge(floor_nibble, "0"), edge(floor_nibble + step - 1, "f")
-    return F.when(valid, F.struct(lo.alias("lo"), hi.alias("hi"), (lo != base).alias("host_bits")))
+    return F.expr(ip_key_sql(ip))
+
+
+def cidr_bounds(cidr: str) -> Column:
+    """Struct ``lo, hi, host_bits`` for a CIDR column; a bare address counts as a single-address block; NULL when malformed."""
+    asked = f"split_part({cidr}, '/', 2)"
+    width = "IF(startswith(base, '4'), 32, 128)"
+    length = f"CASE WHEN NOT contains({cidr}, '/') THEN {width} WHEN {asked} RLIKE '^[0-9]{{1,3}}$' THEN CAST({asked} AS INT) END"
+    step = "CAST(pow(2, 4 - n % 4) AS INT)"
+    nibble = "coalesce(CAST(conv(substring(base, n div 4 + 2, 1), 16, 10) AS INT), 0)"
+
+    def edge(value: str, filler: str) -> str:
+        kept = "substring(base, 1, CAST(n div 4 AS INT) + 1)"
+        return f"rpad(IF(n % 4 > 0, concat({kept}, lower(hex({value}))), {kept}), {width} div 4 + 1, '{filler}')"
+
+    low = edge(f"({nibble} - {nibble} % {step})", "0")
+    high = edge(f"({nibble} - {nibble} % {step} + {step} - 1)", "f")
+    found = f"IF(base IS NOT NULL AND n <= {width}, named_struct('lo', {low}, 'hi', {high}, 'host_bits', {low} <> base), NULL)"
+    return F.expr(_let(ip_key_sql(f"split_part({cidr}, '/', 1)"), "base", _let(length, "n", found)))
 
 
 def network_bounds(cidr: str) -> tuple[str, str]:
@@ -92,15 +89,42 @@ def network_bounds(cidr: str) -> tuple[str, str]:
     return tuple(f"{net.version}{int(edge):0{digits}x}" for edge in (net.network_address, net.broadcast_address))
 
 
-def in_networks(key: Column, networks: Iterable[str]) -> Column:
-    """Whether an address key lies in any of the given blocks (a parameter list, so literal comparisons); never NULL."""
-    hit = F.lit(False)
-    for cidr in networks:
-        lo, hi = network_bounds(cidr)
-        hit = hit | key.between(lo, hi)
-    return F.coalesce(hit, F.lit(False))
+def _v4_in(ip: str, network: ipaddress.IPv4Network) -> str:
+    """Membership of a valid IPv4 text in a fixed block: a text prefix plus at most one numeric octet test."""
+    whole, rest = divmod(network.prefixlen, 8)
+    octets = str(network.network_address).split(".")
+    if whole == 4:
+        return f"{ip} = '{network.network_address}'"
+    tests = [f"startswith({ip}, '{'.'.join(octets[:whole])}.')"] if whole else ["true"]
+    if rest:
+        low = int(octets[whole])
+        tests.append(f"try_cast(split_part({ip}, '.', {whole + 1}) AS INT) BETWEEN {low} AND {low + 2 ** (8 - rest) - 1}")
+    return f"({' AND '.join(tests)})"
+
+
+def in_networks_sql(ip: str, networks: Iterable[str]) -> str:
+    nets = [ipaddress.ip_network(n) for n in networks]
+    old = " OR ".join(_v4_in(ip, n) for n in nets if n.version == 4)
+    new = " OR ".join(f"k BETWEEN '{lo}' AND '{hi}'" for lo, hi in (network_bounds(str(n)) for n in nets if n.version == 6))
+    tests = []
+    if old:
+        tests.append(f"({ip} RLIKE {_V4} AND ({old}))")
+    if new:
+        tests.append(f"(contains({ip}, ':') AND exists(array({ip_key_sql(ip)}), k -> {new}))")
+    return f"coalesce({' OR '.join(tests) or 'false'}, false)"
+
 
+def in_networks(ip: str, networks: Iterable[str]) -> Column:
+    """Whether an address lies in any of the given blocks (a parameter list, so literal tests); never NULL."""
+    return F.expr(in_networks_sql(ip, networks))
 
-def is_global_v4(key: Column) -> Column:
+
+def is_v4(ip: str) -> Column:
+    return F.expr(f"coalesce({ip} RLIKE {_V4}, false)")
+
+
+def is_global_v4(ip: str) -> Column:
     """Publicly reachable IPv4 address."""
-    return key.startswith("4") & (~in_networks(key, NOT_GLOBAL_V4) | in_networks(key, GLOBAL_EXCEPTIONS_V4))
+    return F.expr(
+        f"coalesce({ip} RLIKE {_V4}, false) AND (NOT {in_networks_sql(ip, NOT_GLOBAL_V4)} OR {in_networks_sql(ip, GLOBAL_EXCEPTIONS_V4)})"
+    )

@@ -15,42 +15,34 @@ TWO_LABEL_SUFFIXES = (
 )
 
 
-def registered_domain(name: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
-    """The registered part of a host name; '' for a single label."""
-    labels = F.split(name, r"\.")
-    two = F.substring_index(name, ".", -2)
-    return (
-        F.when(F.size(labels) < 2, F.lit(""))
-        .when((F.size(labels) > 2) & two.isin(*suffixes), F.substring_index(name, ".", -3))
-        .otherwise(two)
+def registered_domain(name: str, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
+    """The registered part of a host name column; '' for a single label."""
+    listed = ", ".join(f"'{s}'" for s in suffixes)
+    return F.expr(
+        f"CASE WHEN NOT contains({name}, '.') THEN ''"
+        f" WHEN substring_index({name}, '.', -2) IN ({listed}) THEN substring_index({name}, '.', -3)"
+        f" ELSE substring_index({name}, '.', -2) END"
     )
 
 
-def subdomain_text(name: Column, base: Column) -> Column:
+def subdomain_text(name: str, base: str) -> Column:
     """What precedes the registered domain, without dots."""
-    return F.replace(F.substring(name, F.lit(1), F.greatest(F.length(name) - F.length(base) - 1, F.lit(0))), F.lit("."), F.lit(""))
+    return F.expr(f"replace(substring({name}, 1, greatest(length({name}) - length({base}) - 1, 0)), '.', '')")
 
 
-def char_entropy(text: Column) -> Column:
+def char_entropy(text: str) -> Column:
     """Shannon entropy in bits per character; 0 for the empty string."""
-    size = F.length(text)
-    letters = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    share = f"((length({text}) - length(replace({text}, c, ''))) / length({text}))"
+    letters = f"array_distinct(filter(split({text}, ''), c -> c <> ''))"
+    return F.expr(f"aggregate({letters}, 0D, (total, c) -> total - {share} * log2({share}))")
 
-    def add(total: Column, letter: Column) -> Column:
-        share = (size - F.length(F.replace(text, letter, F.lit("")))) / size
-        return total - share * F.log2(share)
 
-    return F.when(size == 0, F.lit(0.0)).otherwise(F.aggregate(letters, F.lit(0.0), add))
-
-
-def readable_size(size: Column) -> Column:
+def readable_size(size: str) -> Column:
     """Bytes with a binary unit and two decimals, e.g. ``1.50 MiB``."""
-    value = size.cast("double")
-    units = ("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB")
-    text = F.format_string("%.2f " + units[-1], value / 1024.0 ** (len(units) - 1))
-    for power in range(len(units) - 2, -1, -1):
-        text = F.when(value < 1024.0 ** (power + 1), F.format_string("%.2f " + units[power], value / 1024.0**power)).otherwise(text)
-    return text
+    value = f"CAST({size} AS DOUBLE)"
+    units = ("B", "KiB", "MiB", "GiB", "TiB", "PiB")
+    cases = " ".join(f"WHEN {value} < {1024 ** (i + 1)}D THEN format_string('%.2f {u}', {value} / {1024 ** i}D)" for i, u in enumerate(units))
+    return F.expr(f"CASE {cases} ELSE format_string('%.2f EiB', {value} / {1024 ** len(units)}D) END")
 
 
 def number_text(value: Column, decimals: int = 0) -> Column:
@@ -60,13 +52,10 @@ def number_text(value: Column, decimals: int = 0) -> Column:
     return F.regexp_replace(F.bround(value, decimals).cast(f"decimal(38,{decimals})").cast("string"), r"\.?0+$", "")
 
 
-def dot_suffixes(name: Column) -> Column:
+def dot_suffixes(name: str) -> Column:
     """Every part of a name that starts at a dot: ``a.b.c`` gives ``.b.c`` and ``.c``."""
-    labels = F.split(name, r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
-        lambda i: F.concat(F.lit("."), F.substring_index(name, ".", -i)),
-    )
+    labels = f"split({name}, '[.]')"
+    return F.expr(f"transform(slice({labels}, 2, size({labels})), (x, i) -> concat('.', array_join(slice({labels}, i + 2, size({labels})), '.')))")
 
 
 def present(*parts: Column) -> Column:

@@ -20,7 +20,7 @@ class RejectedRows(ValueError):
 def check_entries(raw: DataFrame, known_detections: list[str]) -> DataFrame:
     """Text rows plus ``errors``, the list of everything wrong with the row (empty when it is fine)."""
     value, kind = F.col("value"), F.col("match_type")
-    bounds = cidr_bounds(value)
+    bounds = cidr_bounds("value")
     expires = F.try_to_timestamp(F.col("expires_at"), F.lit("yyyy-MM-dd HH:mm:ss"))
     same = raw.groupBy("id", "detection_id", "match_type", "value").agg(F.count("*").alias("copies"))
 
@@ -35,7 +35,7 @@ def check_entries(raw: DataFrame, known_detections: list[str]) -> DataFrame:
             fault(~F.col("detection_id").isin(*known_detections, "*"), "detection_id"),
             fault((F.trim(value) == "") | (F.trim("reason") == ""), "empty value or reason"),
             F.when(~kind.isin("dst_ip", "dst_cidr", "sni", "sni_suffix"), F.lit("match_type")),
-            F.when(kind == "dst_ip", fault(ip_key(value).isNull(), "address")),
+            F.when(kind == "dst_ip", fault(ip_key("value").isNull(), "address")),
             F.when(kind == "dst_cidr", fault(bounds.isNull() | bounds["host_bits"], "network")),
             F.when(kind == "sni", fault(~value.rlike(r"^[a-z0-9.-]+\.[a-z0-9-]+$"), "server name")),
             F.when(kind == "sni_suffix", fault(~value.rlike(r"^\.[a-z0-9.-]+\.[a-z0-9-]+$"), "server name suffix")),
@@ -73,45 +73,37 @@ def active_entries(allowlist: DataFrame, detection_id: str, as_of) -> DataFrame:
 def excepted_names(names: DataFrame, name: str, entries: DataFrame) -> DataFrame:
     """Distinct server names that an exact or a suffix entry covers, as ``name``."""
     distinct = names.select(F.col(name).alias("name")).where(F.col("name") != "").distinct()
-    exact = entries.where(F.col("match_type") == "sni").select(F.col("value").alias("name"))
-    endings = entries.where(F.col("match_type") == "sni_suffix").select(F.col("value").alias("ending")).distinct()
-    by_ending = distinct.withColumn("ending", F.explode(dot_suffixes(F.col("name")))).join(endings, "ending", "left_semi").select("name")
-    return distinct.join(exact, "name", "left_semi").unionByName(by_ending).distinct()
+    forms = F.concat(
+        F.array(F.struct(F.lit("sni").alias("match_type"), F.col("name").alias("value"))),
+        F.transform(dot_suffixes("name"), lambda s: F.struct(F.lit("sni_suffix").alias("match_type"), s.alias("value"))),
+    )
+    spelled = distinct.select("name", F.inline(forms))
+    return spelled.join(entries, ["match_type", "value"], "left_semi").select("name").distinct()
 
 
-def without_excepted(rows: DataFrame, ip: str, entries: DataFrame) -> DataFrame:
-    """Rows whose destination no address or network entry covers (one pass over the rows, equi-joins only)."""
-    single = entries.where(F.col("match_type") == "dst_ip").select(F.col("value").alias("covered_ip"))
+def without_excepted_addresses(rows: DataFrame, ip: str, entries: DataFrame) -> DataFrame:
+    """Rows whose address no address or network entry covers. Meant for aggregated rows: the test parses the address."""
     blocks = explode_buckets(
-        entries.where(F.col("match_type") == "dst_cidr").select(cidr_bounds(F.col("value")).alias("b"))
+        entries.where(F.col("match_type").isin("dst_ip", "dst_cidr")).select(cidr_bounds("value").alias("b"))
         .where(F.col("b").isNotNull()).select("b.lo", "b.hi")
     ).withColumnRenamed("bucket", "covered_bucket")
-    keyed = rows.join(single, rows[ip] == single["covered_ip"], "left_anti").withColumn("addr_key", ip_key(F.col(ip)))
-    keyed = keyed.withColumn("addr_bucket", bucket_of(F.col("addr_key")))
+    keyed = rows.withColumn("addr_key", ip_key(ip)).withColumn("addr_bucket", bucket_of(F.col("addr_key")))
     inside = (keyed["addr_bucket"] == blocks["covered_bucket"]) & keyed["addr_key"].between(blocks["lo"], blocks["hi"])
     return keyed.join(blocks, inside, "left_anti").drop("addr_key", "addr_bucket")
 
 
-def names_by_connection(ssl: DataFrame) -> DataFrame:
-    """One server name per connection (``uid, server_name``): the smallest, where a connection logged several."""
-    return ssl.where(F.col("server_name") != "").groupBy("uid").agg(F.min("server_name").alias("server_name"))
+def without_excepted_names(rows: DataFrame, name: str, entries: DataFrame) -> DataFrame:
+    """Rows whose own server name no entry covers."""
+    covered = excepted_names(rows, name, entries)
+    return rows.join(covered, rows[name] == covered["name"], "left_anti")
 
 
-def not_allowlisted(rows: DataFrame, ip: str, allowlist: DataFrame | None, detection_id: str, as_of, names: DataFrame | None = None, name: str | None = None) -> DataFrame:
-    """Rows no active entry covers, by destination and by server name.
+def without_excepted_connections(rows: DataFrame, ssl: DataFrame, entries: DataFrame) -> DataFrame:
+    """Connections (``uid``) without those whose server name an entry covers.
 
-    The name is either a column of the rows (``name``) or looked up per connection in ``names`` (``uid, server_name``);
-    in the latter case only the connections with an excepted name are carried into the join.
+    A connection has one name: the smallest, where it logged several. Only excepted connections enter the join.
     """
-    if allowlist is None:
-        return rows
-    entries = active_entries(allowlist, detection_id, as_of)
-    kept = without_excepted(rows, ip, entries)
-    if name is not None:
-        covered = excepted_names(rows, name, entries)
-        return kept.join(covered, kept[name] == covered["name"], "left_anti")
-    if names is not None:
-        covered = excepted_names(names, "server_name", entries)
-        uids = names.join(covered, names["server_name"] == covered["name"], "left_semi").select("uid")
-        return kept.join(uids, "uid", "left_anti")
-    return kept
+    names = ssl.where(F.col("server_name") != "").groupBy("uid").agg(F.min("server_name").alias("server_name"))
+    covered = excepted_names(ssl, "server_name", entries)
+    uids = names.join(covered, names["server_name"] == covered["name"], "left_semi").select("uid")
+    return rows.join(uids, "uid", "left_anti")

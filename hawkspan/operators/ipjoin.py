@@ -34,7 +34,7 @@ def explode_buckets(ranges: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFr
 
 def distinct_addresses(df: DataFrame, ip: str) -> DataFrame:
     """Distinct valid addresses of a column as ``addr, addr_key, bucket``."""
-    keyed = df.select(F.col(ip).alias("addr")).distinct().withColumn("addr_key", ip_key(F.col("addr")))
+    keyed = df.select(F.col(ip).alias("addr")).distinct().withColumn("addr_key", ip_key("addr"))
     return keyed.where(F.col("addr_key").isNotNull()).withColumn("bucket", bucket_of(F.col("addr_key")))
 
 

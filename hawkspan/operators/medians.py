@@ -15,7 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hawkspan.session import stored
+
 SLICE_SECONDS = 60
+UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)  # by rows: equal values may come in several rows
 CELL_BITS = 14  # 2^14 cells per power of two: a cell of values near v holds at most v / 2^14 distinct values
 
 
@@ -51,7 +54,7 @@ def grouped_median(values: DataFrame, keys: Sequence[str], value: str, kind: str
     celled = values.withColumn("cell", _cell(F.col(value)))
     cells = celled.groupBy(*keys, "cell").agg(F.sum("n").alias("in_cell"))
     group = Window.partitionBy(*keys)
-    placed = cells.select(*keys, "cell", "in_cell", F.sum("in_cell").over(group.orderBy("cell")).alias("upto"), F.sum("in_cell").over(group).alias("total"))
+    placed = cells.select(*keys, "cell", "in_cell", F.sum("in_cell").over(group.orderBy("cell").rowsBetween(*UP_TO_HERE)).alias("upto"), F.sum("in_cell").over(group).alias("total"))
     high = F.floor(F.col("total") / 2) + 1
     low = high if kind == "upper" else F.floor((F.col("total") + 1) / 2)
     wanted = (
@@ -61,7 +64,7 @@ def grouped_median(values: DataFrame, keys: Sequence[str], value: str, kind: str
         .select(*keys, "cell", "total", "low", "high", "before")
     )
     ranked = celled.join(wanted, [*keys, "cell"]).withColumn(
-        "upto", F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "cell").orderBy(value))
+        "upto", F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "cell").orderBy(value).rowsBetween(*UP_TO_HERE))
     )
     picked = ranked.groupBy(*keys).agg(
         F.max("total").alias("total"),
@@ -77,3 +80,29 @@ def attach(values: DataFrame, per_group: DataFrame, keys: Sequence[str], spread:
     salted = values.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = per_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "salt"]).drop("salt")
+
+
+def measure_table(events: DataFrame, keys: Sequence[str], micros: str, weight: str, size: str | None = None) -> DataFrame:
+    """Everything a regularity score needs, as one narrow stored table ``keys, value, n, kind``.
+
+    Kinds: ``gap`` and ``size`` are counted distinct values, ``first`` and ``last`` the group's time span. One pass over
+    the events produces it; the scores work on this table only.
+    """
+    columns = [*keys, "value", "n"]
+    span = events.groupBy(*keys).agg(F.min(micros).alias("first"), F.max(micros).alias("last"), F.sum(weight).alias("n"))
+    parts = {
+        "gap": event_gaps(events, keys, micros, weight).withColumnRenamed("gap", "value"),
+        "first": span.withColumn("value", F.col("first")), "last": span.withColumn("value", F.col("last")),
+    }
+    if size:
+        parts["size"] = counted(events, keys, size, F.col(weight)).withColumnRenamed(size, "value")
+    out = None
+    for kind, part in parts.items():
+        part = part.select(*columns).withColumn("kind", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return stored(out, "measures", "kind")
+
+
+def by_kind(df: DataFrame, keys: Sequence[str], **columns: tuple[str, str]) -> DataFrame:
+    """One row per group from rows per (group, kind): ``alias=(kind, column)``."""
+    return df.groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(a) for a, (k, c) in columns.items()])

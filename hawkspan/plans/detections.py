@@ -11,12 +11,13 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hawkspan.functions.net import LOCAL_NETWORKS, in_networks, ip_key
+from hawkspan.functions.net import LOCAL_NETWORKS, in_networks
 from hawkspan.functions.text import char_entropy, number_text, present, readable_size, registered_domain, subdomain_text
 from hawkspan.functions.times import bucket_start, instant, plus_seconds, time_slice
-from hawkspan.operators.allowlist import names_by_connection, not_allowlisted
-from hawkspan.operators.medians import attach, counted, event_gaps, grouped_median
+from hawkspan.operators.allowlist import active_entries, without_excepted_addresses, without_excepted_connections, without_excepted_names
+from hawkspan.operators.medians import attach, by_kind, grouped_median, measure_table
 from hawkspan.operators.samples import any_text, count_where, smallest_distinct
+from hawkspan.session import stored
 from hawkspan.plans.registry import COMMON_COLUMNS, detection
 
 PAIR = ["src", "dst", "dst_port"]
@@ -57,15 +58,22 @@ def _outbound(tables, start, end, exclude: tuple, ts_from=None) -> DataFrame:
     return rows.where(~F.col("id_resp_h").isin(*exclude)) if exclude else rows
 
 
-def _names(tables, start, end, use_allowlist: int, lookback_seconds: float = HOUR) -> DataFrame | None:
-    if not use_allowlist:
-        return None
-    return names_by_connection(time_slice(tables["ssl"], plus_seconds(instant(start), -lookback_seconds), end))
+def _entries(tables, detection_id: str, as_of, p) -> DataFrame | None:
+    return active_entries(tables["allowlist"], detection_id, as_of) if p.use_allowlist else None
+
 
+def _named_connections(rows: DataFrame, tables, start, end, entries, lookback_seconds: float = HOUR) -> DataFrame:
+    """Connections minus those with an excepted server name; address exceptions are judged later, on the groups."""
+    if entries is None:
+        return rows
+    return without_excepted_connections(rows, time_slice(tables["ssl"], plus_seconds(instant(start), -lookback_seconds), end), entries)
 
-def _reviewed(rows, tables, detection_id, as_of, p, names=None, name=None):
-    allow = tables["allowlist"] if p.use_allowlist else None
-    return not_allowlisted(rows, "id_resp_h", allow, detection_id, as_of, names=names, name=name)
+
+def _judged(groups: DataFrame, entries, name: str | None = None) -> DataFrame:
+    if entries is None:
+        return groups
+    kept = without_excepted_addresses(groups, "dst", entries)
+    return without_excepted_names(kept, name, entries) if name else kept
 
 
 def _endpoints(*extra: str | Column) -> list:
@@ -73,8 +81,7 @@ def _endpoints(*extra: str | Column) -> list:
 
 
 def _local_to_remote(rows: DataFrame, networks: tuple) -> DataFrame:
-    keyed = rows.withColumn("src_key", ip_key(F.col("id_orig_h"))).withColumn("dst_key", ip_key(F.col("id_resp_h")))
-    return keyed.where(in_networks(F.col("src_key"), networks) & ~in_networks(F.col("dst_key"), networks)).drop("src_key", "dst_key")
+    return rows.where(in_networks("id_orig_h", networks) & ~in_networks("id_resp_h", networks))
 
 
 @detection(
@@ -84,30 +91,27 @@ def _local_to_remote(rows: DataFrame, networks: tuple) -> DataFrame:
 def beaconing(tables, start, end, as_of, p) -> DataFrame:
     """Regular check-ins: how constant the gaps and sizes of a pair's connections are."""
     keys = [*PAIR, "proto"]
-    rows = _reviewed(_outbound(tables, start, end, p.exclude_dst), tables, "DET-101", as_of, p, names=_names(tables, start, end, p.use_allowlist))
+    entries = _entries(tables, "DET-101", as_of, p)
+    rows = _named_connections(_outbound(tables, start, end, p.exclude_dst), tables, start, end, entries)
     events = (
         rows.select(*_endpoints("proto", F.unix_micros("ts").alias("at"), F.col("orig_bytes").cast("long").alias("size")))
         .groupBy(*keys, "at", "size").agg(F.count("*").alias("n"))
     )
-    pairs = events.groupBy(*keys).agg(F.sum("n").alias("conns"), F.min("at").alias("first_at"), F.max("at").alias("last_at")).where(F.col("conns") >= p.min_conns)
-    gaps = event_gaps(events, keys, "at", "n")
-    sizes = counted(events, keys, "size", F.col("n"))
-
-    # A pair below the minimum has too few gaps and drops out of the medians by its total.
-    gap_mid = grouped_median(gaps, keys, "gap", min_count=max(p.min_conns - 1, 1), alias="gap_mid").where(
-        F.col("gap_mid") >= p.min_median_interval_s * 1e6
-    )
-    mean_gap = (F.col("last_at") - F.col("first_at")) / (F.col("conns") - 1)
-    regular = pairs.join(gap_mid.drop("total"), keys).withColumn("gap_mean", mean_gap)
-    around = attach(gaps, regular.select(*keys, "gap_mid", "gap_mean"), keys, spread="gap").withColumn("off", F.abs(F.col("gap") - F.col("gap_mid")))
-    spread = around.groupBy(*keys).agg(F.sum(F.col("n") * F.pow(F.col("gap") - F.col("gap_mean"), F.lit(2))).alias("square_sum"))
-    gap_mad = grouped_median(around, keys, "off", alias="gap_mad").drop("total")
-
-    size_mid = grouped_median(sizes, keys, "size", min_count=max(p.min_conns, 1), alias="size_mid").drop("total").join(regular.select(*keys), keys, "left_semi")
-    size_off = attach(sizes, size_mid, keys, spread="size").withColumn("off", F.abs(F.col("size") - F.col("size_mid")))
-    size_mad = grouped_median(size_off, keys, "off", alias="size_mad").drop("total")
-
-    both = regular.join(spread, keys).join(gap_mad, keys).join(size_mid, keys).join(size_mad, keys)
+    measures = measure_table(events, keys, "at", "n", "size")
+    values = measures.where(F.col("kind").isin("gap", "size"))
+    # A pair below the minimum has too few values and drops out as soon as its total is known.
+    middles = grouped_median(values, [*keys, "kind"], "value", min_count=max(p.min_conns - 1, 1), alias="mid")
+    spans = by_kind(measures.where(F.col("kind").isin("first", "last")), keys, first_at=("first", "value"), last_at=("last", "value"), conns=("first", "n"))
+    pairs = by_kind(middles, keys, gap_mid=("gap", "mid"), size_mid=("size", "mid")).join(spans, keys)
+    pairs = _judged(pairs.where((F.col("conns") >= p.min_conns) & (F.col("gap_mid") >= p.min_median_interval_s * 1e6)), entries)
+    pairs = stored(pairs.withColumn("gap_mean", (F.col("last_at") - F.col("first_at")) / (F.col("conns") - 1)), "pairs")
+
+    centres = pairs.select(*keys, "gap_mean", F.expr("stack(2, 'gap', gap_mid, 'size', size_mid) AS (kind, mid)"))
+    around = attach(values, centres, [*keys, "kind"], spread="value").withColumn("off", F.abs(F.col("value") - F.col("mid")))
+    squares = F.when(F.col("kind") == "gap", F.col("n") * F.pow(F.col("value") - F.col("gap_mean"), F.lit(2)))
+    spread = around.groupBy(*keys).agg(F.sum(squares).alias("square_sum"))
+    deviations = by_kind(grouped_median(around, [*keys, "kind"], "off", alias="mad"), keys, gap_mad=("gap", "mad"), size_mad=("size", "mad"))
+    both = pairs.join(spread, keys).join(deviations, keys)
     scored = both.select(
         *keys, "conns", F.timestamp_micros("first_at").alias("first_seen"), F.timestamp_micros("last_at").alias("last_seen"),
         (F.col("gap_mid") / 1e6).alias("mid_s"), (F.col("gap_mad") / 1e6).alias("mad_s"),
@@ -140,7 +144,8 @@ def long_connections(tables, start, end, as_of, p) -> DataFrame:
     since = plus_seconds(instant(start), -lookback)
     ends = F.timestamp_micros(F.unix_micros("ts") + (F.col("duration") * 1000000).cast("long"))
     rows = _outbound(tables, start, end, p.exclude_dst, ts_from=since).where((F.col("duration") >= p.min_duration_s) & (ends >= instant(start)))
-    rows = _reviewed(rows, tables, "DET-102", as_of, p, names=_names(tables, start, end, p.use_allowlist, lookback))
+    entries = _entries(tables, "DET-102", as_of, p)
+    rows = _named_connections(rows, tables, start, end, entries, lookback)
     keys = [*PAIR, "proto"]
     # The service is part of the first grouping, so the list of services is built from a handful of rows per pair.
     by_service = rows.select(*_endpoints("proto", "service", "ts", "duration", ends.alias("ended"), "orig_bytes", "resp_bytes")).groupBy(*keys, "service").agg(
@@ -157,7 +162,7 @@ def long_connections(tables, start, end, as_of, p) -> DataFrame:
         F.lit(" sessions, longest "), number_text(F.col("longest") / 60), F.lit(" min"),
     )
     score = F.bround(F.least(F.lit(1.0), F.col("longest") / (4 * p.min_duration_s)), 3)
-    return pairs.select(
+    return _judged(pairs, entries).select(
         *_finding("DET-102", _level(F.col("longest") >= 4 * p.min_duration_s), score, text), "proto", "services", "sessions",
         F.bround("longest").alias("max_duration_sec"), F.bround("total").alias("total_duration_sec"), "orig_bytes", "resp_bytes",
     ).orderBy(F.desc("max_duration_sec"), *PAIR, "proto")
@@ -192,9 +197,9 @@ def rare_tls_fingerprint(tables, start, end, as_of, p) -> DataFrame:
         spread = baseline.groupBy("ja4").agg(F.count("*").alias("seen"), F.countDistinct("id_orig_h").cast("int").alias("hosts"))
         rare = spread.where((F.col("seen") <= p.max_seen) & (F.col("hosts") <= p.max_hosts))
         rows = time_slice(tables["ssl"], start, end).where(F.col("ja4") != "").join(rare, "ja4")
-    rows = _reviewed(_local_to_remote(rows, p.local_nets), tables, "DET-103", as_of, p, name="server_name")
     keys = [*PAIR, "ja4"]
-    flat = rows.select(*_endpoints("ja4", "ja3", "server_name", "ts", "seen", "hosts"))
+    flat = _local_to_remote(rows, p.local_nets).select(*_endpoints("ja4", "ja3", "server_name", "ts", "seen", "hosts"))
+    flat = _judged(flat, _entries(tables, "DET-103", as_of, p), "server_name")
     groups = flat.groupBy(*keys).agg(
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("seen").alias("seen"), F.max("hosts").alias("hosts"),
         F.min("ja3").alias("ja3"), F.count("*").alias("sessions"),
@@ -214,7 +219,6 @@ def rare_tls_fingerprint(tables, start, end, as_of, p) -> DataFrame:
 def suspicious_certificate(tables, start, end, as_of, p) -> DataFrame:
     """Certificate problems of outbound TLS sessions, one reason per problem."""
     rows = _local_to_remote(time_slice(tables["ssl"], start, end), p.local_nets)
-    rows = _reviewed(rows, tables, "DET-104", as_of, p, name="server_name")
     status = F.col("validation_status")
     mismatch = (F.size("cert_chain_fps") > 0) & (F.col("server_name") != "") & ~F.col("sni_matches_cert")
     groups = rows.select(*_endpoints("server_name", "subject", "issuer", "validation_status", "cert_chain_fps", "sni_matches_cert", "ts")).groupBy(*PAIR, "server_name").agg(
@@ -223,7 +227,8 @@ def suspicious_certificate(tables, start, end, as_of, p) -> DataFrame:
         F.max(status.rlike("(?i)unable to get local issuer|certificate has expired|not yet valid")).alias("is_untrusted"),
         F.count("*").alias("sessions"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
     )
-    judged = groups.where(F.col("is_self_signed") | F.col("is_mismatch") | F.col("is_untrusted")).withColumn(
+    faulty = groups.where(F.col("is_self_signed") | F.col("is_mismatch") | F.col("is_untrusted"))
+    judged = _judged(faulty, _entries(tables, "DET-104", as_of, p), "server_name").withColumn(
         "reasons",
         present(F.when(F.col("is_self_signed"), F.lit("self_signed")), F.when(F.col("is_mismatch"), F.lit("sni_mismatch")), F.when(F.col("is_untrusted"), F.lit("untrusted"))),
     )
@@ -248,14 +253,14 @@ def dns_tunneling(tables, start, end, as_of, p) -> DataFrame:
     # Equal queries collapse before any per-character work.
     names = rows.groupBy(F.col("id_orig_h").alias("src"), "query", "qtype_name").agg(
         F.count("*").alias("n"), F.min("id_resp_h").alias("resolver"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")
-    ).withColumn("base_domain", registered_domain(F.col("query"))).withColumn("sub", subdomain_text(F.col("query"), F.col("base_domain")))
+    ).withColumn("base_domain", registered_domain("query")).withColumn("sub", subdomain_text("query", "base_domain"))
     names = names.where((F.col("base_domain") != "") & (F.col("sub") != ""))
     if p.exclude_domains:
         names = names.where(~F.col("base_domain").isin(*p.exclude_domains))
     keys = ["src", "base_domain"]
     subs = names.groupBy(*keys, "sub").agg(
         F.sum("n").alias("n"), F.min("resolver").alias("resolver"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
-    ).withColumn("len", F.length("sub")).withColumn("entropy", char_entropy(F.col("sub")))
+    ).withColumn("len", F.length("sub")).withColumn("entropy", char_entropy("sub"))
     groups = subs.groupBy(*keys).agg(
         F.sum("n").alias("queries"), F.count("*").alias("unique_subdomains"), (F.sum(F.col("n") * F.col("len")) / F.sum("n")).alias("avg_len"),
         F.max("len").alias("max_len"), (F.sum(F.col("n") * F.col("entropy")) / F.sum("n")).alias("avg_entropy"), F.min("resolver").alias("dst"),
@@ -294,7 +299,7 @@ def nxdomain_spike(tables, start, end, as_of, p) -> DataFrame:
     keys = ["src", "bucket"]
     buckets = flat.groupBy(*keys).agg(
         F.count("*").alias("total"), F.count_if("failed").alias("nx"), F.min("id_resp_h").alias("dst"),
-        F.countDistinct(F.when(F.col("failed"), registered_domain(F.col("query")))).alias("nx_domains"),
+        F.countDistinct(F.when(F.col("failed"), registered_domain("query"))).alias("nx_domains"),
     )
     first = bucket_start(instant(start), width)
     usual = buckets.groupBy("src").agg(
@@ -326,7 +331,8 @@ def nxdomain_spike(tables, start, end, as_of, p) -> DataFrame:
 )
 def exfiltration(tables, start, end, as_of, p) -> DataFrame:
     """Destinations that mostly receive: heavy uploads, or bulk uploads outside business hours."""
-    rows = _reviewed(_outbound(tables, start, end, p.exclude_dst), tables, "DET-107", as_of, p, names=_names(tables, start, end, p.use_allowlist))
+    entries = _entries(tables, "DET-107", as_of, p)
+    rows = _named_connections(_outbound(tables, start, end, p.exclude_dst), tables, start, end, entries)
     local = F.from_utc_timestamp("ts", p.tz)
     off_hours = (F.weekday(local) >= 5) | (F.hour(local) < p.work_start_hour) | (F.hour(local) >= p.work_end_hour)
     groups = rows.select(*_endpoints("ts", "orig_bytes", "resp_bytes", off_hours.alias("off_hours"))).groupBy(*PAIR).agg(
@@ -337,7 +343,7 @@ def exfiltration(tables, start, end, as_of, p) -> DataFrame:
     groups = groups.withColumn("balance", (up - down) / F.greatest(up + down, F.lit(1.0)))
     one_sided = F.col("balance") >= p.min_pcr
     judged = groups.withColumn("heavy", (F.col("up") >= p.min_upload_bytes) & one_sided).withColumn("late", (F.col("up_off") >= p.min_upload_bytes_offhours) & one_sided)
-    judged = judged.where(F.col("heavy") | F.col("late")).withColumn(
+    judged = _judged(judged.where(F.col("heavy") | F.col("late")), entries).withColumn(
         "reasons", present(F.when(F.col("heavy"), F.lit("upload_heavy")), F.when(F.col("late"), F.lit("offhours_bulk_upload")))
     )
     named = time_slice(tables["ssl"], start, end).where(F.col("server_name") != "").select(*_endpoints("server_name"))
@@ -349,7 +355,7 @@ def exfiltration(tables, start, end, as_of, p) -> DataFrame:
     )
     text = F.concat(
         "src", F.lit(" -> "), F.coalesce(F.get("server_names", F.lit(0)), F.col("dst")), F.lit(":"), F.col("dst_port").cast("string"), F.lit(" sent "),
-        readable_size(F.col("up")), F.lit(" / received "), readable_size(F.col("down")), F.lit(" (PCR "), number_text(F.col("balance"), 2), F.lit(", "),
+        readable_size("up"), F.lit(" / received "), readable_size("down"), F.lit(" (PCR "), number_text(F.col("balance"), 2), F.lit(", "),
         F.array_join("reasons", ","), F.lit(")"),
     )
     return shaped.select(
@@ -365,13 +371,13 @@ def nonstandard_port(tables, start, end, as_of, p) -> DataFrame:
     rows = time_slice(tables["conn"], start, end).where(F.col("service") != "")
     if p.include_inbound != 1:
         rows = rows.where(_is_outbound())
-    expected = F.create_map(*[part for name, ports in STANDARD_PORTS.items() for part in (F.lit(name), F.array(*map(F.lit, ports)))])
-    odd = F.filter(
-        F.split("service", ","),
-        lambda s: (s != "") & ~s.startswith("-") & F.coalesce(~F.array_contains(F.try_element_at(expected, s), F.col("id_resp_p").cast("int")), F.lit(False)),
+    ports = ", ".join(f"'{name}', array({', '.join(map(str, numbers))})" for name, numbers in STANDARD_PORTS.items())
+    odd = F.expr(
+        "filter(split(service, ','), s -> s <> '' AND NOT startswith(s, '-')"
+        f" AND coalesce(NOT array_contains(try_element_at(map({ports}), s), CAST(id_resp_p AS INT)), false))"
     )
-    rows = rows.withColumn("odd", odd).where(F.size("odd") > 0)
-    rows = _reviewed(rows, tables, "DET-108", as_of, p, names=_names(tables, start, end, p.use_allowlist))
+    entries = _entries(tables, "DET-108", as_of, p)
+    rows = _named_connections(rows.withColumn("odd", odd).where(F.size("odd") > 0), tables, start, end, entries)
     # At most one entry per judged service name, so the set stays small whatever the group's size.
     groups = rows.select(*_endpoints("ts", "local_orig", "odd")).groupBy(*PAIR, "odd").agg(
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("local_orig").alias("from_local"), F.count("*").alias("conns")
@@ -385,7 +391,7 @@ def nonstandard_port(tables, start, end, as_of, p) -> DataFrame:
         "src", F.lit(" -> "), "dst", F.lit(":"), F.col("dst_port").cast("string"), F.lit(" speaks "), protocols, F.lit(" ("), direction, F.lit(", "),
         F.col("conns").cast("string"), F.lit(" connections)"),
     )
-    return groups.select(
+    return _judged(groups, entries).select(
         *_finding("DET-108", _level(known_bad), F.when(known_bad, 1.0).otherwise(0.7), text), protocols.alias("protocols"), direction.alias("direction"), "conns"
     ).orderBy(F.desc("score"), F.desc("conns"), *PAIR)
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs rely on for right results (UTC) or for plans that adapt to the data (AQE).
 REQUIRED_CONF = {
@@ -54,3 +54,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="hawkspan-")
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}") if "://" not in root else f"{root}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Used where a result feeds many later steps: the plan stays short, nothing is computed twice, and a lost executor costs
+    a re-read. The tables are columnar and carry sizes, so later joins are planned on facts. Expire the folder by age.
+    """
+    path = work_dir(df.sparkSession, purpose)
+    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
