@@ -274,3 +274,13 @@ view(
     score="s_suppkey % 37", tier="CASE s_suppkey % 4 WHEN 0 THEN 'review' WHEN 1 THEN 'watch' WHEN 2 THEN 'weak' ELSE 'noise' END", reasons="ARR('reason' || CAST(s_suppkey % 3 AS STRING), 'other')",
 )
 view("certificates", "lineitem", candidate="'name' || CAST(l_suppkey * 3 AS STRING) || '.test'", not_before="TS(US(l_shipdate))", issuer_name="'CA ' || CAST(l_linenumber AS STRING)")
+
+# Runs at the same times as the stored findings, so that "the newest run" has findings.
+view("hits_runs", "orders", run_at="TS(US(o_orderdate))", backfill="o_custkey % 5 = 0")
+# Connection records of the flows that raised alerts.
+view("conn_flow", "events", ts="TS(US(ts) - 250000)", uid="'E' || CAST(event_id AS STRING)", conn_state="'SF'", community_id="'1:' || md5(CAST(event_id AS STRING))")
+_FAR = "CASE WHEN l_linenumber = 7 THEN '' WHEN l_linenumber = 6 THEN " + _VISITOR + " ELSE " + _OUTSIDE + " END"
+view(
+    "conn_geo", "lineitem", ts=f"TS({_L_TS})", direction="CASE WHEN l_linenumber = 6 THEN 'inbound' WHEN l_linenumber = 7 THEN 'internal' ELSE 'outbound' END", remote_ip=_FAR,
+    remote_country_code="CASE WHEN l_suppkey % 9 = 0 THEN '' ELSE 'C' || CAST(l_suppkey % 25 AS STRING) END", remote_country="CASE WHEN l_suppkey % 9 = 0 THEN '' ELSE 'Country ' || CAST(l_suppkey % 25 AS STRING) END",
+)

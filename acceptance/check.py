@@ -28,8 +28,9 @@ def compare(spark, connection, query, sf_dir):
     theirs = sorted(tuple(str(row[order.index(n)]) for n in names) for row in result.fetchall())
     if mine == theirs:
         return "ok", len(mine), seconds, ""
-    only_mine = [r for r in mine if r not in set(theirs)][:2]
-    only_theirs = [r for r in theirs if r not in set(mine)][:2]
+    ours_set, their_set = set(mine), set(theirs)
+    only_mine = [r for r in mine if r not in their_set][:2]
+    only_theirs = [r for r in theirs if r not in ours_set][:2]
     return "DIFF", len(mine), seconds, f"{names}\n   spark {len(mine)}: {only_mine}\n   duck  {len(theirs)}: {only_theirs}"
 
 
