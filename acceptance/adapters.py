@@ -284,3 +284,75 @@ view(
     "conn_geo", "lineitem", ts=f"TS({_L_TS})", direction="CASE WHEN l_linenumber = 6 THEN 'inbound' WHEN l_linenumber = 7 THEN 'internal' ELSE 'outbound' END", remote_ip=_FAR,
     remote_country_code="CASE WHEN l_suppkey % 9 = 0 THEN '' ELSE 'C' || CAST(l_suppkey % 25 AS STRING) END", remote_country="CASE WHEN l_suppkey % 9 = 0 THEN '' ELSE 'Country ' || CAST(l_suppkey % 25 AS STRING) END",
 )
+
+# --- raw log lines ---------------------------------------------------------------------------------------------------
+
+_US = "US(ts)"
+_EPOCH = f"CAST({_US} DIV 1000000 AS STRING) || '.' || lpad(CAST({_US} % 1000000 AS STRING), 6, '0')"
+_ID = "CAST(event_id AS STRING)"
+view(
+    "raw_conn", "events",
+    value=(
+        "CASE event_id % 50 WHEN 0 THEN '{\"ts\": 17, broken' WHEN 1 THEN '{\"uid\": \"nothing\"}' ELSE "
+        f"'{{\"ts\": ' || {_EPOCH} || ', \"uid\": \"U' || {_ID} || '\", \"id.orig_h\": \"' || {_USER_IP} || '\", \"id.orig_p\": ' || CAST(1024 + event_id % 5000 AS STRING) || "
+        "', \"id.resp_h\": \"10.128.0.' || CAST(event_id % 4 AS STRING) || '\", \"id.resp_p\": 22, \"proto\": \"tcp\"' || "
+        "CASE WHEN event_id % 3 = 0 THEN '' ELSE ', \"local_orig\": ' || CASE WHEN event_id % 3 = 1 THEN 'false' ELSE 'true' END END || "
+        "CASE WHEN event_id % 5 = 0 THEN ', \"local_resp\": false' ELSE '' END || CASE WHEN event_id % 2 = 0 THEN ', \"orig_bytes\": ' || CAST(event_id AS STRING) ELSE '' END || '}' END"
+    ),
+)
+_ISO = f"substr(CAST(TS({_US}) AS STRING), 1, 10) || 'T' || substr(CAST(TS({_US}) AS STRING), 12, 8) || '.' || lpad(CAST({_US} % 1000000 AS STRING), 6, '0')"
+view(
+    "raw_eve", "events",
+    value=(
+        f"CASE WHEN event_id % 40 = 0 THEN '{{broken' WHEN event_type = 'view' THEN '{{\"event_type\": \"flow\", \"timestamp\": \"' || {_ISO} || '+0000\"}}' ELSE "
+        f"'{{\"timestamp\": \"' || {_ISO} || '+0000\", \"event_type\": \"alert\", \"src_ip\": \"' || {_USER_IP} || '\", \"dest_ip\": \"10.128.0.2\", \"dest_port\": 80, \"in_iface\": \"ens4\", "
+        "\"alert\": {\"gid\": 1, \"signature_id\": ' || CAST(2000000 + event_id % 100 AS STRING) || ', \"signature\": \"S ' || CAST(event_id % 100 AS STRING) || '\", \"severity\": ' || CAST(event_id % 3 + 1 AS STRING) || "
+        f"', \"metadata\": {{\"mitre_technique_id\": [\"T1190\", \"T1046\"]}}}}, \"flow\": {{\"start\": \"' || {_ISO} || '+0000\", \"bytes_toserver\": ' || {_ID} || '}}}}' END"
+    ),
+)
+view(
+    "raw_cowrie", "events",
+    value=(
+        f"CASE WHEN event_id % 30 = 0 THEN 'not json' WHEN event_id % 30 = 1 THEN '{{\"eventid\": \"other.thing\", \"timestamp\": \"' || {_ISO} || 'Z\"}}' ELSE "
+        f"'{{\"eventid\": \"' || {_EVENTID} || '\", \"timestamp\": \"' || {_ISO} || 'Z\", \"src_ip\": \"' || {_USER_IP} || '\", \"src_port\": ' || CAST(event_id % 60000 AS STRING) || "
+        "', \"username\": \"user' || CAST(event_id % 13 AS STRING) || '\", \"version\": \"SSH-2.0\", \"extra\": {\"x\": 1}}' END"
+    ),
+)
+view(
+    "raw_metrics", "events",
+    value=(
+        "'{\"name\": \"' || CASE event_type WHEN 'error' THEN 'component_errors_total' WHEN 'view' THEN 'buffer_events' WHEN 'click' THEN 'memory_pages' ELSE 'utilization' END || '\", "
+        f"\"timestamp\": \"' || {_ISO} || 'Z\", ' || CASE WHEN event_id % 3 = 0 THEN '\"counter\": {{\"value\": ' || {_ID} || '}}' WHEN event_id % 3 = 1 THEN '\"gauge\": {{\"value\": 0.5}}' ELSE '\"set\": {{}}' END || '}}'"
+    ),
+)
+view(
+    "hello", "orders", uid="'C' || CAST(o_orderkey DIV 2 AS STRING)", seq="CAST(o_orderkey % 2 AS INT)", version="CAST(CASE WHEN o_custkey % 7 = 0 THEN 769 ELSE 771 END AS INT)",
+    ciphers="ARR(CAST(2570 AS INT), CAST(4865 + o_custkey % 3 AS INT), CAST(49195 + o_custkey % 5 AS INT))",
+    extensions="ARR(CAST(0 + o_custkey % 2 AS INT), CAST(16 AS INT), CAST(43 AS INT), CAST(10 AS INT), CAST(6682 AS INT))", curves="ARR(CAST(29 AS INT), CAST(23 AS INT))", point_formats="ARR(CAST(0 AS INT))",
+    sig_algs="ARR(CAST(1027 AS INT), CAST(2052 + o_custkey % 4 AS INT))", supported_versions="ARR(CAST(2570 AS INT), CAST(CASE WHEN o_custkey % 7 = 0 THEN 771 ELSE 772 END AS INT))",
+    alpn="CASE o_custkey % 4 WHEN 0 THEN 'h2' WHEN 1 THEN 'http/1.1' WHEN 2 THEN '' ELSE '-x-' END",
+)
+view(
+    "allow_text", "customer", id="CASE WHEN c_custkey % 20 = 0 THEN 'BAD-1' ELSE 'TUNE-' || CAST(100 + c_custkey % 900 AS STRING) END",
+    detection_id="CASE WHEN c_custkey % 23 = 0 THEN 'DET-999' ELSE 'DET-10' || CAST(1 + c_custkey % 9 AS STRING) END",
+    match_type="CASE c_custkey % 5 WHEN 0 THEN 'dst_ip' WHEN 1 THEN 'dst_cidr' WHEN 2 THEN 'sni' WHEN 3 THEN 'sni_suffix' ELSE CASE WHEN c_custkey % 3 = 0 THEN 'port' ELSE 'dst_ip' END END",
+    value="CASE c_custkey % 5 WHEN 1 THEN '10.' || CAST(c_custkey % 300 AS STRING) || '.0.0/16' WHEN 2 THEN 'Host' || CAST(c_custkey AS STRING) || '.example.com' WHEN 3 THEN CASE WHEN c_custkey % 2 = 0 THEN '.' ELSE '' END || 'x.example.com' ELSE '192.0.2.' || CAST(c_custkey % 300 AS STRING) END",
+    reason="CASE WHEN c_custkey % 37 = 0 THEN ' ' ELSE c_name END", expires_at="CASE WHEN c_custkey % 29 = 0 THEN 'soon' ELSE '2030-01-01 00:00:00' END", enabled="CASE WHEN c_custkey % 31 = 0 THEN 'yes' ELSE 'true' END",
+)
+view(
+    "verdict_text", "events", source="CASE event_id % 4 WHEN 0 THEN 'suricata' WHEN 1 THEN 'detection' WHEN 2 THEN 'suricata' ELSE 'other' END",
+    subject=f"CASE event_id % 8 WHEN 0 THEN '2000001|' || {_USER_IP} WHEN 1 THEN 'DET-101|a|b|443' WHEN 5 THEN 'DET-1|a|b' ELSE 'x' END", verdict="CASE WHEN event_id % 9 = 0 THEN 'maybe' ELSE 'true_positive' END",
+    tune_id="CASE event_id % 10 WHEN 0 THEN 'TUNE-1' WHEN 1 THEN '-' ELSE 'TUNE-001' END", note="CASE WHEN event_id % 11 = 0 THEN '' ELSE 'n' END",
+)
+view("suppress_rules", "part", gid="CAST(1 AS BIGINT)", sid="2000000 + p_partkey % 100", track="CASE p_partkey % 3 WHEN 0 THEN 'by_src' WHEN 1 THEN 'by_dst' ELSE 'by_either' END", ip="CASE p_partkey % 3 WHEN 0 THEN CAST(40 + p_partkey % 150 AS STRING) || '.0.0.0/16' WHEN 1 THEN '10.128.0.' || CAST(p_partkey % 3 AS STRING) ELSE '10.128.0.2/31' END")
+view("catalog_text", "part", value="CASE WHEN p_size % 7 = 0 THEN 'text' ELSE '| DET-' || CAST(100 + p_partkey % 900 AS STRING) || ' | ' || p_name || ' | SQL | T' || CAST(1000 + p_partkey % 50 AS STRING) || '.00' || CAST(p_size % 9 AS STRING) || ', T' || CAST(1500 + p_partkey % 20 AS STRING) || ' | ' || CASE WHEN p_size % 2 = 0 THEN 'Validated (x)' ELSE 'Draft' END || ' |' END")
+view("targets", "customer", technique_id="'T' || CAST(1000 + c_custkey AS STRING)", tactic="c_mktsegment", name="c_name")
+view(
+    "notices", "events", alerted_at="TS(US(ts))", ip="CASE event_id % 12 WHEN 0 THEN '10.1.2.3' WHEN 1 THEN 'junk' WHEN 2 THEN '2001:db8::1' ELSE " + _USER_IP + " END",
+    trigger="CASE event_id % 7 WHEN 0 THEN 'honeypot' WHEN 1 THEN 'scanner' WHEN 2 THEN 'nobody' WHEN 3 THEN 'manual' ELSE 'suricata' END", rule="'r' || CAST(event_id AS STRING)", ttl_seconds="CAST(NULL AS DOUBLE)",
+)
+view("never_block", "nation", lo="'4' || HEX2(40 + n_nationkey) || '000000'", hi="'4' || HEX2(40 + n_nationkey) || '00ffff'", network="CAST(40 + n_nationkey AS STRING) || '.0.0.0/16'", reason="n_name", place="CAST(n_nationkey AS INT)", a1="40 + n_nationkey")
+view("cases", "customer", case_name="'case-' || CAST(c_custkey AS STRING)", started_at=f"TS({DAY0} + c_custkey * 1500000000)", deadline=f"TS({DAY0} + c_custkey * 1500000000 + 5400000000)", expected_sids="ARR(2000000 + c_custkey % 100, 2000000 + c_custkey * 7 % 100)")
+view("lab_text", "supplier", value="'10.0.0.' || CAST(s_suppkey % 200 AS STRING) || CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN '=sensor' ELSE '=honeypot:' || s_name END || ', 10.1.0.' || CAST(s_suppkey % 200 AS STRING) || '=other:x:y'")
+
+VIEWS["dns_d"] = VIEWS["dns"][:1]  # the part of one table, for streaming

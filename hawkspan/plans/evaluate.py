@@ -54,14 +54,14 @@ def check_expectations(findings: DataFrame, expected: DataFrame, fields: list[st
         kind = dict(df.dtypes)[name]
         return F.array_join(F.array_sort(name), ",") if kind.startswith("array") else F.col(name).cast("string")
 
-    have = findings.select("detection_id", "src", *[text(findings, f).alias(f"have_{f}") for f in fields])
-    agree = F.lit(True)
+    have = findings.select("detection_id", "src", *[text(findings, f).alias(f"have_{f}") for f in fields], F.lit(True).alias("reported"))
+    agree = F.col("reported")
     for f in fields:
         wanted = text(expected, f)
         agree = agree & (wanted.isNull() | wanted.eqNullSafe(F.col(f"have_{f}")))
     # Findings of the expected hosts only, reduced to "any" and "any that agrees".
-    met = expected.join(have, ["detection_id", "src"], "left").groupBy("detection_id", "src", "flag", *[F.col(f) for f in fields]).agg(
-        F.max(F.col(f"have_{fields[0]}").isNotNull() & agree if fields else agree).alias("matched"), F.count_if(F.greatest(*[F.col(f"have_{f}").isNotNull() for f in fields])).alias("found")
+    met = expected.join(have, ["detection_id", "src"], "left").groupBy("detection_id", "src", "flag", *fields).agg(
+        F.coalesce(F.max(agree), F.lit(False)).alias("matched"), F.count("reported").alias("found")
     )
     return met.select("detection_id", "src", "flag", F.when(F.col("flag"), F.col("matched")).otherwise(F.col("found") == 0).alias("passed"))
 

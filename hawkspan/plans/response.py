@@ -285,7 +285,9 @@ def reconcile(t, mode, as_of, firewall="blocklist"):
     desired = active_blocks(t, mode, as_of).agg(F.array_sort(F.collect_set(F.concat("ip", F.lit("/32")))).alias("ranges"))
     good = t["applies"].where((F.col("mode") == mode) & F.col("result").isin("ok", "dry-run", "test"))
     last = good.agg(F.max_by("ranges", F.struct("applied_at", "ranges")).alias("previous"))
-    both = desired.withColumn("previous", F.array_sort(F.coalesce(last.scalar(), F.array().cast("array<string>"))))
+    none = F.lit(None).cast("array<string>")
+    pair = desired.select("ranges", none.alias("previous")).unionByName(last.select(none.alias("ranges"), "previous"))
+    both = pair.agg(F.max("ranges").alias("ranges"), F.array_sort(F.coalesce(F.max("previous"), F.array().cast("array<string>"))).alias("previous"))
     return both.where(F.col("ranges") != F.col("previous")).select(
         instant(as_of).alias("applied_at"), F.lit(firewall).alias("firewall"), F.lit(mode).alias("mode"), "ranges",
         F.array_except("ranges", "previous").alias("added"), F.array_except("previous", "ranges").alias("removed"),
