@@ -15,6 +15,7 @@ from hawkspan.functions.text import present
 from hawkspan.functions.times import instant, plus_seconds
 from hawkspan.operators.allowlist import RejectedRows
 from hawkspan.operators.ipjoin import bucket_of, explode_buckets
+from hawkspan.plans import detections as _registered  # noqa: F401  (importing it fills the registry)
 from hawkspan.plans.common import PRODUCTION_IFACE, latest_verdicts, pair_of_alert
 from hawkspan.plans.registry import COMMON_COLUMNS, REGISTRY
 
