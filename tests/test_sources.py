@@ -106,7 +106,7 @@ def test_run_history_and_errors(spark, tmp_path):
     REGISTRY.clear()
     REGISTRY.update(only)
     try:
-        runs = findings.run_detections(spark, tables, datetime(2026, 1, 6, 0, 30), f"{tmp_path}/hits", f"{tmp_path}/runs", backfill_hours=1)
+        runs = findings.run_detections(spark, tables, datetime(2026, 1, 6, 1, 30), f"{tmp_path}/hits", f"{tmp_path}/runs", backfill_hours=1)
     finally:
         REGISTRY.update(saved)
     assert sorted((r.detection_id, r.result, r.hits, r.backfill) for r in runs.collect()) == [("DET-105", "error", 0, True), ("DET-109", "ok", 2, True)]
