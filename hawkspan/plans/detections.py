@@ -72,8 +72,10 @@ def _named_connections(rows: DataFrame, tables, start, end, entries, lookback_se
 def _judged(groups: DataFrame, entries, name: str | None = None) -> DataFrame:
     if entries is None:
         return groups
-    kept = without_excepted_addresses(groups, "dst", entries)
-    return without_excepted_names(kept, name, entries) if name else kept
+    if name is None:
+        return without_excepted_addresses(groups, "dst", entries)
+    # The name test reads the groups twice; they are few by now, so they are written once instead of computed twice.
+    return without_excepted_names(without_excepted_addresses(stored(groups, "groups"), "dst", entries), name, entries)
 
 
 def _endpoints(*extra: str | Column) -> list:
@@ -200,16 +202,22 @@ def rare_tls_fingerprint(tables, start, end, as_of, p) -> DataFrame:
     keys = [*PAIR, "ja4"]
     flat = _local_to_remote(rows, p.local_nets).select(*_endpoints("ja4", "ja3", "server_name", "ts", "seen", "hosts"))
     flat = _judged(flat, _entries(tables, "DET-103", as_of, p), "server_name")
-    groups = flat.groupBy(*keys).agg(
+    target = F.when(F.col("server_name") == "", F.col("dst")).otherwise(F.col("server_name"))
+    totals = [
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("seen").alias("seen"), F.max("hosts").alias("hosts"),
         F.min("ja3").alias("ja3"), F.count("*").alias("sessions"),
-    )
-    named = smallest_distinct(flat, keys, F.col("server_name"), 5, "server_names")
-    shown = smallest_distinct(flat, keys, F.when(F.col("server_name") == "", F.col("dst")).otherwise(F.col("server_name")), 3, "shown")
+    ]
+    if inside:
+        # At most max_seen rows per fingerprint are left, which bounds the sets.
+        sets = [F.slice(F.array_sort(F.collect_set(c)), 1, n).alias(a) for c, n, a in ((F.col("server_name"), 5, "server_names"), (target, 3, "shown"))]
+        groups = flat.groupBy(*keys).agg(*totals, *sets)
+    else:
+        named = smallest_distinct(flat, keys, F.col("server_name"), 5, "server_names")
+        groups = flat.groupBy(*keys).agg(*totals).join(named, keys).join(smallest_distinct(flat, keys, target, 3, "shown"), keys)
     text = F.concat(
         "src", F.lit(" connected to "), F.array_join("shown", ","), F.lit(" with JA4 "), "ja4", F.lit(" (seen "), F.col("seen").cast("string"), F.lit("x in baseline)")
     )
-    return groups.join(named, keys).join(shown, keys).select(
+    return groups.select(
         *_finding("DET-103", _level(F.col("seen") == 1, "medium", "low"), F.bround(1 - (F.col("seen") - 1) / p.max_seen, 3), text),
         "ja4", "ja3", "server_names", "sessions", F.col("seen").alias("seen_in_baseline"), F.col("hosts").alias("hosts_in_baseline"),
     ).orderBy(F.desc("score"), "first_seen", *keys)
