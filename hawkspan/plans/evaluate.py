@@ -15,15 +15,15 @@ def _empty(kind: str) -> Column:
 def evaluate_cases(cases: DataFrame, alerts: DataFrame, iface: str) -> DataFrame:
     """Expected against seen signatures per case.
 
-    ``cases``: case_name, started_at, deadline, expected_sids. Cases are joined on the hours they span, so that a busy
+    ``cases``: case_name, started_at, deadline, expected_sids. Cases are joined on the minutes they span, so that a busy
     period is split; a case's set of signatures is at most the rule catalogue.
     """
-    hours = F.explode(F.sequence(F.date_trunc("hour", "started_at"), F.date_trunc("hour", "deadline"), F.expr("INTERVAL 1 HOUR")))
-    spans = cases.withColumn("hour", hours)
-    # One row per (hour, millisecond, signature) is all a case needs to know of the alerts.
-    seen = alerts.where(F.col("in_iface") == iface).select("alert_signature_id", "timestamp").distinct().withColumn("hour", F.date_trunc("hour", "timestamp"))
+    minutes = F.explode(F.sequence(F.date_trunc("minute", "started_at"), F.date_trunc("minute", "deadline"), F.expr("INTERVAL 1 MINUTE")))
+    spans = cases.withColumn("minute", minutes)
+    # One row per (instant, signature) is all a case needs to know of the alerts.
+    seen = alerts.where(F.col("in_iface") == iface).select("alert_signature_id", "timestamp").distinct().withColumn("minute", F.date_trunc("minute", "timestamp"))
     inside = (F.col("timestamp") >= F.col("started_at")) & (F.col("timestamp") < F.col("deadline"))
-    hits = spans.join(seen, "hour").where(inside).groupBy("case_name", "alert_signature_id").agg(
+    hits = spans.join(seen, "minute").where(inside).groupBy("case_name", "alert_signature_id").agg(
         F.min("timestamp").alias("first_at"), F.max(F.array_contains("expected_sids", F.col("alert_signature_id"))).alias("is_expected")
     )
     found = hits.groupBy("case_name").agg(
