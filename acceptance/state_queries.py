@@ -179,6 +179,10 @@ query(
     f"""SELECT coalesce(l.ip, b.ip) AS ip, coalesce(action = 'block' AND s.e > {NOW}, false) AS active, CASE WHEN action = 'release' THEN s.e END AS suppressed_until, coalesce(n, 0) AS earlier_blocks FROM {STANDING} l
     FULL JOIN (SELECT ip, count(*) AS n FROM actions WHERE mode = 'enforce' AND action = 'block' AND created_at > {NOW} - INTERVAL 30 DAY GROUP BY ip) b USING (ip)""",
 )(lambda t: response.ip_history(t, "enforce", AS_OF))
+query(
+    "rolling_new_blocks", "created_at t, blocks i, recent i",
+    "SELECT created_at, n AS blocks, sum(n) OVER (ORDER BY epoch_us(created_at) RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW) AS recent FROM (SELECT created_at, count(*) AS n FROM actions WHERE mode = 'enforce' AND action = 'block' AND trigger <> 'manual' GROUP BY created_at)",
+)(lambda t: response.rolling_new_blocks(t, "enforce"))
 BUSY = "2024-01-30 20:00:00"
 query("evidence", "trigger s, ip s, evidence_at t", f"SELECT 'honeypot' AS trigger, src_ip AS ip, min(timestamp) AS evidence_at FROM cowrie WHERE timestamp > TIMESTAMP '{BUSY}' - INTERVAL 15 MINUTE AND timestamp <= TIMESTAMP '{BUSY}' GROUP BY src_ip UNION ALL SELECT 'suricata', src_ip, min(timestamp) FROM alert WHERE timestamp > TIMESTAMP '{BUSY}' - INTERVAL 10 MINUTE AND timestamp <= TIMESTAMP '{BUSY}' AND alert_severity = 1 AND in_iface = 'ens4' AND NOT starts_with(http_url, '/api/ds/query') GROUP BY src_ip")(lambda t: response.evidence(t, BUSY))
 # The batch is judged against an empty log here; the rules that depend on the log are in the unit tests.

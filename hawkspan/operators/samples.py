@@ -30,10 +30,6 @@ def share(part: Column, whole: Column) -> Column:
     return part / F.greatest(whole, F.lit(1))
 
 
-def count_where(condition: Column) -> Column:
-    return F.count_if(F.coalesce(condition, F.lit(False)))
-
-
 def any_text(value: Column) -> Column:
     """A stable stand-in for "any non-empty value": the smallest one, '' when there is none."""
     return F.coalesce(F.min(F.when(value != "", value)), F.lit(""))

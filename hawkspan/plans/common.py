@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hawkspan.functions.times import bucket_start, instant, time_slice
+from hawkspan.functions.times import bucket_start, time_slice
 
 PRODUCTION_IFACE = "ens4"  # fixed value: the interface production traffic is captured on
 
@@ -64,6 +64,3 @@ def lab(t, role: str | None = None) -> DataFrame:
 def excluding(df: DataFrame, ip: str, addresses: DataFrame) -> DataFrame:
     return df.join(addresses, df[ip] == addresses["address"], "left_anti")
 
-
-def as_of_lit(as_of) -> Column:
-    return instant(as_of)

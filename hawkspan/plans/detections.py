@@ -16,9 +16,9 @@ from hawkspan.functions.text import char_entropy, number_text, present, readable
 from hawkspan.functions.times import bucket_start, instant, plus_seconds, time_slice
 from hawkspan.operators.allowlist import active_entries, without_excepted_addresses, without_excepted_connections, without_excepted_names
 from hawkspan.operators.medians import attach, by_kind, grouped_median, measure_table
-from hawkspan.operators.samples import any_text, count_where, smallest_distinct
-from hawkspan.session import stored
+from hawkspan.operators.samples import any_text, smallest_distinct
 from hawkspan.plans.registry import COMMON_COLUMNS, detection
+from hawkspan.session import stored
 
 PAIR = ["src", "dst", "dst_port"]
 HOUR = 3600.0

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hawkspan.functions.net import in_networks, ip_key, is_global_v4, is_v4
-from hawkspan.functions.times import bucket_start, instant, millis_between, plus_seconds, unit_boundaries
+from hawkspan.functions.times import instant, millis_between, plus_seconds, unit_boundaries
 from hawkspan.operators.ipjoin import bucket_of, explode_buckets
 from hawkspan.operators.samples import latest_per_key
 from hawkspan.plans.common import PRODUCTION_IFACE, per_step, top, total, within
@@ -158,6 +158,20 @@ def block_totals(t, mode, as_of):
     )
 
 
+def rolling_new_blocks(t, mode):
+    """For every automatic block: how many there were in the ten minutes up to it.
+
+    Blocks are counted per millisecond and laid into ten-minute buckets, each count also into the next bucket; a running
+    window then needs one bucket at a time.
+    """
+    rows = t["actions"].where((F.col("mode") == mode) & (F.col("action") == "block") & (F.col("trigger") != "manual"))
+    width = NEW_WINDOW * 1000
+    per_ms = rows.groupBy(F.unix_millis("created_at").alias("ms")).agg(F.count("*").alias("n")).withColumn("own", F.floor(F.col("ms") / width))
+    laid = per_ms.withColumn("bucket", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    recent = F.sum("n").over(Window.partitionBy("bucket").orderBy("ms").rangeBetween(-(width - 1), 0))
+    return laid.withColumn("recent", recent).where(F.col("bucket") == F.col("own")).select(F.timestamp_millis("ms").alias("created_at"), F.col("n").alias("blocks"), "recent")
+
+
 def evidence(t, as_of, iface=PRODUCTION_IFACE):
     """First matching event per (trigger, ip) within the window of the trigger."""
     probe = _trailing(t["cowrie"], "timestamp", as_of, 900).groupBy(F.col("src_ip").alias("ip")).agg(F.min("timestamp").alias("evidence_at")).withColumn("trigger", F.lit("honeypot"))
@@ -203,7 +217,8 @@ def _per_trigger(values: dict[str, object]) -> Column:
 def decide(alerts: DataFrame, history: DataFrame, totals: DataFrame, never_block: DataFrame, as_of, test_net_ok: bool = False) -> DataFrame:
     """Decision per alert of one batch, as if the alerts were handled one after the other in (alerted_at, ip, trigger, rule) order.
 
-    ``alerts``: alerted_at, ip, trigger, rule, ttl_seconds (NULL for the trigger's own). At most MAX_ACTIVE addresses
+    ``alerts``: alerted_at, ip, trigger, rule, ttl_seconds (NULL for the trigger's own), and optionally ``note``, an
+    analyst's words, which are added to the reason of manual requests. At most MAX_ACTIVE addresses
     can be admitted in a batch and both caps only fill up, so the admitted candidates are a prefix of the candidates in
     order: the first MAX_ACTIVE + 1 are all the ranking ever has to look at.
     """
@@ -255,6 +270,8 @@ def decide(alerts: DataFrame, history: DataFrame, totals: DataFrame, never_block
         .when(F.col("action") == "observe", F.concat(F.lit("trigger "), "trigger", F.lit(" is observe-only")))
         .when(F.col("action") == "block", F.concat("trigger", repeat)).otherwise(F.col("stop.cap"))
     )
+    if "note" in alerts.columns:
+        reason = F.when((F.col("trigger") == "manual") & (F.col("note") != ""), F.concat(reason, F.lit(": "), "note")).otherwise(reason)
     expires = F.when(F.col("action").isin("block", "observe"), F.col("until"))
     return out.select("alerted_at", "ip", "trigger", "rule", "action", reason.alias("reason"), expires.alias("expires_at"))
 
@@ -385,6 +402,3 @@ def daily_decisions(t, span):
 def without_test_rows(actions: DataFrame) -> DataFrame:
     return actions.where(F.col("mode") != "test")
 
-
-def trigger_bucket(ts: str, seconds: int) -> Column:
-    return bucket_start(F.col(ts), seconds)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hawkspan.functions.net import ip_key
+from hawkspan.functions.net import cidr_bounds, ip_key
 from hawkspan.operators.allowlist import COLUMNS, RejectedRows, check_entries, typed_entries
 
 TECHNIQUE = r"\bT\d{4}(?:\.\d{3})?\b"
@@ -74,3 +74,13 @@ def load_ranges(spark: SparkSession, path: str, columns: tuple[str, ...]) -> Dat
     rows = spark.read.schema(schema).csv(path)
     edge = {n: F.coalesce(ip_key(f"`{n}`"), F.raise_error(F.concat(F.lit("bad range edge "), F.col(n)))) for n in ("start", "end")}
     return rows.select(edge["start"].alias("lo"), edge["end"].alias("hi"), *columns)
+
+
+def load_never_block(spark: SparkSession, path: str) -> DataFrame:
+    """``lo, hi, network, reason, place`` from "<cidr> <reason>" lines; '#' starts a comment, host bits are an error."""
+    rows = spark.read.text(path).select(F.trim(F.split_part("value", F.lit("#"), F.lit(1))).alias("entry")).where(F.col("entry") != "")
+    rows = rows.select(F.split_part("entry", F.lit(" "), F.lit(1)).alias("network"), F.trim(F.regexp_extract("entry", r"^\S+\s+(.*)$", 1)).alias("reason"))
+    bounds = rows.withColumn("b", cidr_bounds("network"))
+    sound = F.when(F.col("b").isNotNull() & ~F.col("b.host_bits"), F.col("network")).otherwise(F.raise_error(F.concat(F.lit("not a network: "), "network")))
+    # The order decides only which reason is shown where entries overlap.
+    return bounds.select("b.lo", "b.hi", sound.alias("network"), F.when(F.col("reason") == "", "listed").otherwise(F.col("reason")).alias("reason"), F.col("network").alias("place"))

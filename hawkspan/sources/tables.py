@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +95,3 @@ def write_result(df: DataFrame, path: str, form: str = "json") -> None:
     else:
         raise ValueError(f"unknown format {form}")
 
-
-def describe(df: DataFrame) -> str:
-    return json.dumps({c: k for c, k in df.dtypes})

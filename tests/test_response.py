@@ -128,3 +128,32 @@ def test_point_in_time_triggers(spark):
     alert = [(at(5), 1, "ens4", "10.128.0.2", "6.6.6.6", "/x"), (at(5), 1, "ens4", "10.128.0.2", "10.128.0.9", "/x"), (at(5), 1, "ens4", "10.128.0.2", "7.7.7.7", "/api/ds/query?a"), (at(5), 2, "ens4", "10.128.0.2", "8.8.8.8", "/x")]
     t["alert"] = spark.createDataFrame(alert, "timestamp timestamp, alert_severity int, in_iface string, dest_ip string, src_ip string, http_url string")
     assert [x.src_ip for x in r.severe_alerts(t, AS_OF).collect()] == ["6.6.6.6"]
+
+
+def test_analyst_words_are_kept(spark):
+    t = log(spark, [])
+    frame = spark.createDataFrame([(NOW, ATTACKER, "manual", "r", None, "seen twice"), (NOW, "45.1.1.1", "suricata", "r", None, "ignored")], ALERTS + ", note string")
+    out = r.decide(frame, r.ip_history(t, "enforce", AS_OF), r.block_totals(t, "enforce", AS_OF), r.never_block_table(spark, LIST), AS_OF)
+    assert {x.ip: x.reason for x in out.collect()} == {ATTACKER: "manual: seen twice", "45.1.1.1": "suricata"}
+
+
+def test_never_block_file(spark, tmp_path):
+    from hawkspan.sources.reference import load_never_block
+
+    (tmp_path / "n.txt").write_text("\n".join(LIST))
+    rows = {x.network: x.reason for x in load_never_block(spark, f"{tmp_path}/n.txt").collect()}
+    assert rows == {"35.235.240.0/20": "admin access", "203.0.113.7/32": "office"}
+    (tmp_path / "bad.txt").write_text("10.0.0.1/8 wrong")
+    with pytest.raises(Exception, match="not a network"):
+        load_never_block(spark, f"{tmp_path}/bad.txt").collect()
+
+
+def test_arrival_and_absence(spark):
+    from hawkspan.plans import evaluate
+
+    rows = [(NOW, "1.1.1.1", "cowrie.login.failed", "root", "123456", "", "", 0), (NOW, "1.1.1.1", "cowrie.login.success", "root", "mark", "", "KR", 7), (NOW, "1.1.1.1", "cowrie.command.input", "", "", "echo mark", "", 0)]
+    frame = spark.createDataFrame(rows, "timestamp timestamp, src_ip string, eventid string, username string, password string, input string, src_country_code string, src_asn int")
+    got = evaluate.arrival_check(frame, "1.1.1.1", "mark", AS_OF).head()
+    assert (got.refused, got.accepted, got.commands, got.country_code, got.asn, got.newest) == (1, 1, 1, "KR", 7, NOW)
+    http = spark.createDataFrame([(NOW, "/x", "1.1.1.1")], "ts timestamp, uri string, id_orig_h string")
+    assert [evaluate.absence_check(http, u, "1.1.1.1", AS_OF).head().requests for u in ("/x", "/y")] == [1, 0]
