@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import hawkspan.llm
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from hawkspan.session import prepare, work_dir
@@ -12,6 +14,10 @@ from hawkspan.session import prepare, work_dir
 __all__ = ["REGISTRY", "Entry", "register", "table", "work_dir"]
 
 
+# Functions travel to the executors by value, so these need no copy of the package.
+cloudpickle.register_pickle_by_value(hawkspan.llm)
+
+
 @dataclass(frozen=True)
 class Entry:
     run: Callable[[SparkSession, str], DataFrame]

@@ -112,13 +112,14 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang") -> Model:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``doc`` (all of the row's columns), lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_prior, model.log_prob))
 
     @F.pandas_udf("lang_pred string, score double")
     def scored(texts):
         import pandas as pd
 
-        return pd.DataFrame([shared.value.score(t) for t in texts], columns=["lang_pred", "score"])
+        known = Model(*shared.value)
+        return pd.DataFrame([known.score(t) for t in texts], columns=["lang_pred", "score"])
 
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), scored(docs[text]).alias("language"))
     return rows.select("doc", "language.lang_pred", "language.score")

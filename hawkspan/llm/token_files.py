@@ -36,7 +36,7 @@ from hawkspan.llm.chunks import ChunkMemory
 from hawkspan.session import stored
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
-FRAME, NULL_ID = struct.Struct("<III"), -(2**63)
+FRAME, FRAME_SIZE, NULL_ID = "<III", 12, -(2**63)
 SHARD = "shard int, path string, documents bigint, tokens bigint"
 READ = "shard int, place bigint, doc_id bigint, start_in_shard bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -58,7 +58,7 @@ class ShardWriter:
 
     def finish(self) -> None:
         self._frame(np.array(self.ids, "<i8").tobytes())
-        entries = b"".join(FRAME.pack(*x) for x in self.table)
+        entries = b"".join(struct.pack(FRAME, *x) for x in self.table)
         footer = struct.pack("<IBI", len(self.table), 0x80, SEEKABLE)
         self.out.write(struct.pack("<II", SKIPPABLE, len(entries) + len(footer)) + entries + footer)
 
@@ -73,8 +73,8 @@ class ShardReader:
         frames, flags, magic = struct.unpack("<IBI", file.read(9))
         if magic != SEEKABLE or not flags & 0x80:
             raise ValueError("no seek table with checksums at the end of the shard")
-        file.seek(size - 9 - FRAME.size * frames)
-        self.table = np.frombuffer(file.read(FRAME.size * frames), "<u4").reshape(frames, 3).astype(np.int64)
+        file.seek(size - 9 - FRAME_SIZE * frames)
+        self.table = np.frombuffer(file.read(FRAME_SIZE * frames), "<u4").reshape(frames, 3).astype(np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.table[:, 0])])
         self.ids = np.frombuffer(self.frame(frames - 1), "<i8")
 
