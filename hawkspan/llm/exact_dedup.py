@@ -25,6 +25,7 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no disk space ahead of need
 }
 ARRIVAL = "sha binary, doc_id bigint, file string, row bigint"
 STATE = "digest binary, keeper struct<doc_id:bigint,file:string,row:bigint>, copies bigint"
