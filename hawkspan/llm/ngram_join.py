@@ -1,7 +1,7 @@
 """Similarity join of word n-gram sets under Jaccard similarity, by token-combination prefixes.
 
 Equal sets are one. Tokens (hashed shingles) fall into two classes by how often their bin occurs over all documents. All tokens are
-ordered, rare ones first. Of a set of n tokens, e may be missing in a partner; the prefix is extended until destroying all its
+ordered by that, the rarest first. Of a set of n tokens, e may be missing in a partner; the prefix is extended until destroying all its
 signatures would take more than e tokens. Signatures are single tokens in the rare class, and pairs of tokens in the frequent one: its
 tokens are dealt into groups, and a group with g tokens in the prefix costs a partner g - 1 missing tokens. Two sets that link share
 a signature, whichever prefix ends first. As the number of groups has to fit the size of a set, it belongs to a scheme; a set uses the
@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from hawkspan.llm.base import register, table
 from hawkspan.llm.components import components
 from hawkspan.session import stored
 
-BIN_BITS, CHUNKS = 20, 64  # frequency bins of all documents, dealt to tasks in so many chunks
+BIN_BITS, CHUNKS, LEVELS = 22, 64, 255  # frequency bins of all documents, dealt to tasks in so many chunks; ranks of bins that tasks get
 FREQUENT = 4  # times the mean bin
 GROUP = 8  # frequent tokens of a set per group of its scheme
 FEW = 32  # sets of a signature that are compared pair by pair
@@ -68,13 +69,15 @@ def _scheme(n: int, percent: int) -> int:
     return int(math.log(n) / -math.log(percent / 100 - 0.01))
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The signatures of a set. ``frequent``: whether each bin is."""
+def signatures(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """The signatures of a set. ``levels``: the rank of each bin by frequency, ``LEVELS`` if it is frequent."""
     n = len(tokens)
     if n == 0:
         return tokens
     need = n - (percent * n + 99) // 100 + 1
-    common = frequent[tokens >> np.uint64(64 - BIN_BITS)]
+    level = levels[tokens >> np.uint64(64 - BIN_BITS)]
+    tokens = tokens[np.argsort(level, kind="stable")]  # tokens come sorted, so ties keep that order
+    common = np.sort(level) == LEVELS
     rare = tokens[~common][:need]
     if len(rare) == need:
         return rare
@@ -112,28 +115,29 @@ def _profile(rows: DataFrame, words: int) -> DataFrame:
             ids, sizes = [], []
             for text in batch["text"].to_pylist():
                 tokens = shingles(text, words)
-                bins += np.bincount((tokens >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=1 << BIN_BITS).astype(np.uint32) if len(tokens) > 50_000 else 0
-                if len(tokens) <= 50_000:
-                    np.add.at(bins, (tokens >> np.uint64(64 - BIN_BITS)).astype(np.int64), 1)
+                bin_, times = np.unique(tokens >> np.uint64(64 - BIN_BITS), return_counts=True)
+                bins[bin_.astype(np.int64)] += times.astype(np.uint32)
                 ids.append(set_id(tokens))
                 sizes.append(len(tokens))
             none = pa.nulls(len(ids))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "set_id", "n", "chunk", "counts"])
+        pack = zstandard.ZstdCompressor(level=1).compress
         for chunk, part in enumerate(bins.reshape(CHUNKS, -1)):
             if part.any():
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "set_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "chunk": pa.array([chunk], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "set_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "chunk": pa.array([chunk], pa.int32()), "counts": pa.array([pack(part.tobytes())], pa.binary())})
 
     return stored(rows.mapInArrow(count, "doc_id bigint, set_id bigint, n bigint, chunk int, counts binary"), "join-profile")
 
 
-def _frequent_bins(profile: DataFrame) -> np.ndarray:
-    """Whether each bin is frequent: counts are added chunk by chunk in streams; a fixed number of bins comes back."""
+def _bin_levels(profile: DataFrame) -> np.ndarray:
+    """The rank of each bin by frequency, in one byte: counts are added chunk by chunk in streams; a fixed number of bins comes back."""
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for chunk, counts in zip(batch["chunk"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                part = np.frombuffer(counts, np.uint32).astype(np.uint64)
+                part = np.frombuffer(unpack(counts), np.uint32).astype(np.uint64)
                 sums[chunk] = sums[chunk] + part if chunk in sums else part
         if sums:
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([s.tobytes() for s in sums.values()], pa.binary())})
@@ -143,14 +147,15 @@ def _frequent_bins(profile: DataFrame) -> np.ndarray:
     for row in rows.toLocalIterator():
         bins[row.chunk] = np.frombuffer(bytes(row.counts), np.uint64)
     flat = bins.reshape(-1)
-    return flat > FREQUENT * flat.mean() + 16
+    cuts = np.unique(np.quantile(flat, np.linspace(0, 1, LEVELS)))[1:-1]
+    return np.where(flat > FREQUENT * flat.mean() + 16, LEVELS, np.searchsorted(cuts, flat)).astype(np.uint8)
 
 
-def _signature_rows(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    packed = rows.sparkSession.sparkContext.broadcast(np.packbits(frequent).tobytes())  # one bit a bin
+def _signature_rows(rows: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
+    packed = rows.sparkSession.sparkContext.broadcast(levels.tobytes())  # one byte a bin
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(np.frombuffer(packed.value, np.uint8)).astype(bool)
+        flags = np.frombuffer(packed.value, np.uint8)
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -287,7 +292,7 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, text: str = "
     documents = profile.where("chunk IS NULL").select("doc_id", "set_id", "n")
     sets_of = documents.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
 
-    signed = _signature_rows(rows.where("doc_id IS NOT NULL"), _frequent_bins(profile), words, percent)
+    signed = _signature_rows(rows.where("doc_id IS NOT NULL"), _bin_levels(profile), words, percent)
     repeated = stored(signed.groupBy("sig").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("sig", "low"), "join-repeated")
     hits = stored(signed.join(repeated, "sig").select("sig", "low", "set_id", "n").distinct(), "join-hits")
     involved = stored(sets_of.join(hits.select("set_id").distinct(), "set_id", "left_semi"), "join-involved")
