@@ -7,7 +7,8 @@ tokens are dealt into groups, and a group with g tokens in the prefix costs a pa
 a signature, whichever prefix ends first. As the number of groups has to fit the size of a set, it belongs to a scheme; a set uses the
 schemes of its own size band and the next, and sets that link lie in the same band or neighbours.
 
-Candidates are verified on whole sets. A signature's sets first meet the smallest of them. What then is not yet connected is compared
+Candidates are first compared by sketches, counts of a set's tokens in 256 buckets: what two counts differ by adds up to a lower bound of
+what the sets differ by, so no link is lost. What is left is verified on whole sets. A signature's sets first meet the smallest of them. What then is not yet connected is compared
 pair by pair if few sets share the signature, and otherwise in blocks, inside tasks, from which only connecting links come out: no group
 ever gives out all its pairs, and no pair goes unchecked unless it is connected already.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,14 @@ from hawkspan.llm.base import register, table
 from hawkspan.llm.components import components
 from hawkspan.session import stored
 
-BIN_BITS, CHUNKS, LEVELS = 22, 64, 255  # frequency bins of all documents, dealt to tasks in so many chunks; ranks of bins that tasks get
+BIN_BITS, CHUNKS, LEVELS = 24, 128, 255  # frequency bins of all documents, dealt to tasks in so many chunks; ranks of bins that tasks get
 FREQUENT = 4  # times the mean bin
 GROUP = 8  # frequent tokens of a set per group of its scheme
 FEW = 32  # sets of a signature that are compared pair by pair
 BLOCK = 256  # sets of a block
 SLOT_BITS = 23
 TILE = 4096
+SKETCH = 256  # buckets of a set's sketch
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -65,6 +68,17 @@ def set_id(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Counts of tokens by bucket, at most 255 each."""
+    return np.minimum(np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def possible(a: np.ndarray, b: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with these sketches (last axis) and this sum of sizes can link: sketches differ by no more than the sets do."""
+    apart = np.abs(a.astype(np.int16) - b).sum(axis=-1, dtype=np.int64)
+    return 100 * (total - apart) >= percent * (total + apart)
+
+
 def _scheme(n: int, percent: int) -> int:
     return int(math.log(n) / -math.log(percent / 100 - 0.01))
 
@@ -85,7 +99,7 @@ def signatures(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarr
     need -= len(rare)
     for scheme in (_scheme(n, percent), _scheme(n, percent) + 1):
         smallest = (percent / 100 - 0.01) ** (1 - scheme)
-        seed = np.uint64(scheme + 1) * M1
+        seed = np.uint64((scheme + 1) * int(M1) % 2**64)
         if smallest < 2 * GROUP:  # too few tokens for pairs: single ones
             out.append(_mixed(rest[:need] ^ seed))
             continue
@@ -110,23 +124,25 @@ def _profile(rows: DataFrame, words: int) -> DataFrame:
     """Per document: doc_id, set_id, n; and per task: counts of bins, by chunk."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = np.zeros(1 << BIN_BITS, np.uint32)
+        bins = np.zeros(1 << BIN_BITS, np.uint16)
         for batch in batches:
-            ids, sizes = [], []
+            ids, sizes, sketches = [], [], []
             for text in batch["text"].to_pylist():
                 tokens = shingles(text, words)
                 bin_, times = np.unique(tokens >> np.uint64(64 - BIN_BITS), return_counts=True)
-                bins[bin_.astype(np.int64)] += times.astype(np.uint32)
+                bin_ = bin_.astype(np.int64)
+                bins[bin_] = np.minimum(bins[bin_].astype(np.int64) + times, 65535)  # beyond, all are frequent alike
                 ids.append(set_id(tokens))
                 sizes.append(len(tokens))
+                sketches.append(sketch(tokens))
             none = pa.nulls(len(ids))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "set_id", "n", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "set_id", "n", "sketch", "chunk", "counts"])
         pack = zstandard.ZstdCompressor(level=1).compress
         for chunk, part in enumerate(bins.reshape(CHUNKS, -1)):
             if part.any():
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "set_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "chunk": pa.array([chunk], pa.int32()), "counts": pa.array([pack(part.tobytes())], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "set_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "sketch": pa.nulls(1, pa.binary()), "chunk": pa.array([chunk], pa.int32()), "counts": pa.array([pack(part.tobytes())], pa.binary())})
 
-    return stored(rows.mapInArrow(count, "doc_id bigint, set_id bigint, n bigint, chunk int, counts binary"), "join-profile")
+    return stored(rows.mapInArrow(count, "doc_id bigint, set_id bigint, n bigint, sketch binary, chunk int, counts binary"), "join-profile")
 
 
 def _bin_levels(profile: DataFrame) -> np.ndarray:
@@ -137,18 +153,20 @@ def _bin_levels(profile: DataFrame) -> np.ndarray:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for chunk, counts in zip(batch["chunk"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                part = np.frombuffer(unpack(counts), np.uint32).astype(np.uint64)
-                sums[chunk] = sums[chunk] + part if chunk in sums else part
+                part = np.frombuffer(unpack(counts), np.uint16).astype(np.uint32)
+                sums[chunk] = np.minimum(sums[chunk] + part, 1 << 30) if chunk in sums else part
         if sums:
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([s.tobytes() for s in sums.values()], pa.binary())})
 
     rows = profile.where("chunk IS NOT NULL").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary")
-    bins = np.zeros((CHUNKS, (1 << BIN_BITS) // CHUNKS), np.uint64)
+    bins = np.zeros((CHUNKS, (1 << BIN_BITS) // CHUNKS), np.uint32)
     for row in rows.toLocalIterator():
-        bins[row.chunk] = np.frombuffer(bytes(row.counts), np.uint64)
+        bins[row.chunk] = np.frombuffer(bytes(row.counts), np.uint32)
     flat = bins.reshape(-1)
-    cuts = np.unique(np.quantile(flat, np.linspace(0, 1, LEVELS)))[1:-1]
-    return np.where(flat > FREQUENT * flat.mean() + 16, LEVELS, np.searchsorted(cuts, flat)).astype(np.uint8)
+    frequent = FREQUENT * flat.mean() + 16
+    counted = np.cumsum(np.bincount(np.minimum(flat, 1 << 20)))  # bins with at most so many tokens
+    rank = np.minimum(counted * LEVELS // max(int(counted[-1]), 1), LEVELS - 1).astype(np.uint8)
+    return np.where(flat > frequent, LEVELS, rank[np.minimum(flat, 1 << 20)]).astype(np.uint8)
 
 
 def _signature_rows(rows: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
@@ -212,6 +230,20 @@ def _near_in_size(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _pruned(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches let them link."""
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("ka", "kb"))
+                mask = pa.array(possible(a, b, batch["na"].to_numpy() + batch["nb"].to_numpy(), percent))
+                yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
+
+    left, right = [sketches.select(F.col("set_id").alias(x), F.col("sketch").alias(f"k{x}"), F.col("n").alias(f"n{x}")) for x in ("a", "b")]
+    return stored(pairs.join(right, "b").join(left, "a").select("a", "b", "ka", "kb", "na", "nb").mapInArrow(check, "a bigint, b bigint"), "join-pruned")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
 
@@ -230,12 +262,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint"), "join-links")
 
 
-def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that connect the components of each unit (unit, set_id, component, size): pairs of blocks of its sets, compared inside tasks."""
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members (unit, set_id, component, size) dealt to pairs (i, j) of the blocks of their unit."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = spread.select("unit", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set_id", "component").join(sets.select("set_id", "tokens"), "set_id")
+    return spread.select("unit", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set_id", "component")
+
+
+def _hopeful(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The members whose sketch lets them link with a member of another component; sizes counted anew."""
+
+    def compare(key, group):
+        i, j = key[1].as_py(), key[2].as_py()
+        parts, mine, n = group["component"].to_numpy(), group["mine"].to_numpy(), group["n"].to_numpy()
+        counts = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        good = np.zeros(len(n), bool)
+        for x in left.tolist():
+            able = possible(counts[x], counts[right], n[x] + n[right], percent) & (parts[right] != parts[x])
+            good[right[able]] = True
+            good[x] |= able.any()
+        chosen = group.filter(pa.array(good))
+        return pa.table({"unit": chosen["unit"], "set_id": chosen["set_id"], "component": chosen["component"]})
+
+    keyed = _blocks(members).join(sketches, "set_id")
+    found = stored(keyed.groupBy("unit", "i", "j").applyInArrow(compare, "unit bigint, set_id bigint, component bigint"), "join-hopeful").distinct()
+    return found.join(found.groupBy("unit").agg(F.count(F.lit(1)).alias("size")), "unit")
+
+
+def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect the components of each unit: pairs of blocks of its sets, compared inside tasks."""
+    keyed = _blocks(members).join(sets.select("set_id", "tokens"), "set_id")
 
     def compare(key, group):
         i, j = key[1].as_py(), key[2].as_py()
@@ -290,17 +348,22 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, text: str = "
     rows = _texts(docs, text, identifier)
     profile = _profile(rows, words)
     documents = profile.where("chunk IS NULL").select("doc_id", "set_id", "n")
-    sets_of = documents.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    sets_of = stored(documents.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "join-sets-of")
 
     signed = _signature_rows(rows.where("doc_id IS NOT NULL"), _bin_levels(profile), words, percent)
     repeated = stored(signed.groupBy("sig").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("sig", "low"), "join-repeated")
     hits = stored(signed.join(repeated, "sig").select("sig", "low", "set_id", "n").distinct(), "join-hits")
-    involved = stored(sets_of.join(hits.select("set_id").distinct(), "set_id", "left_semi"), "join-involved")
-    sets = _whole_sets(rows, involved, words)
-    size = sets.select(F.col("set_id").alias("low"), F.col("n").alias("n_low"))
+    involved = sets_of.join(hits.select("set_id").distinct(), "set_id", "left_semi")
+    sketches = stored(profile.where("chunk IS NULL").select("doc_id", "set_id", "n", "sketch").join(involved.select("doc_id", "set_id"), ["doc_id", "set_id"]).dropDuplicates(["set_id"]).select("set_id", "n", "sketch"), "join-sketches")
+
+    def whole(*ids: DataFrame) -> DataFrame:
+        named = reduce(DataFrame.unionByName, [d.select(F.col(c).alias("set_id")) for d in ids for c in d.columns]).distinct()
+        return _whole_sets(rows, stored(sets_of.join(named, "set_id", "left_semi"), "join-involved"), words)
 
+    size = sketches.select(F.col("set_id").alias("low"), F.col("n").alias("n_low"))
     stars = hits.where("set_id <> low").select("low", "set_id", "n").distinct().join(size, "low").where(_near_in_size("n", "n_low", percent))
-    links = _verified(stars.select(F.col("low").alias("a"), F.col("set_id").alias("b")), sets, percent)
+    stars = _pruned(stars.select(F.col("low").alias("a"), F.col("set_id").alias("b")), sketches, percent)
+    links = _verified(stars, whole(stars), percent)
 
     # Signatures whose sets are not all connected yet; one of each membership.
     part = components(links).withColumnsRenamed({"node": "set_id"})
@@ -312,8 +375,11 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, text: str = "
     few = left.where(F.col("size") <= FEW).where("set_id <> low").select("sig", "set_id", "n", "component")
     other = few.withColumnsRenamed({"set_id": "b", "n": "n_b", "component": "component_b"})
     pairs = few.withColumnRenamed("set_id", "a").join(other, "sig").where("a < b AND component <> component_b").where(_near_in_size("n", "n_b", percent)).select("a", "b").distinct()
+    pairs = _pruned(pairs, sketches, percent)
+    many = stored(_hopeful(_units(left.where(F.col("size") > FEW).select("sig", "low", "set_id", "component")), sketches, percent), "join-members")
+    sets = whole(pairs, many.select("set_id"))
     links2 = _verified(pairs, sets, percent)
-    links3 = _block_links(_units(left.where(F.col("size") > FEW).select("sig", "low", "set_id", "component")), sets, percent)
+    links3 = _block_links(many, sets, percent)
 
     final = components(links.unionByName(links2).unionByName(links3)).withColumnsRenamed({"node": "set_id"})
     named = sets_of.join(final, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
