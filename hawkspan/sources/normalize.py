@@ -6,6 +6,8 @@ All parsing is ``from_json`` with a declared schema; nothing is inferred.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ KEPT_METRICS = (
     "buffer_byte_size", "utilization", "uptime_seconds",
 )
 EVE_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxx"
+# Faults of sound lines that no table takes.
+OTHER_EVENT, OTHER_METRIC = "other event type", "other metric"
 
 
 def log_type_of(path: Column) -> Column:
@@ -99,8 +103,8 @@ def label_direction(conn: DataFrame) -> DataFrame:
 
 
 def rejects(parsed: DataFrame, text: str = "value") -> DataFrame:
-    """Lines that were not used, with the reason."""
-    return parsed.where(F.col("fault").isNotNull()).select(F.col(text).alias("line"), "fault")
+    """Lines that could not be used, with the reason; sound lines of kinds no table takes are left out."""
+    return parsed.where(F.col("fault").isNotNull() & ~F.col("fault").isin(OTHER_EVENT, OTHER_METRIC)).select(F.col(text).alias("line"), "fault")
 
 
 def reject_counts(parsed: DataFrame) -> DataFrame:
@@ -144,12 +148,17 @@ def parse_engine_events(lines: DataFrame, text: str = "value") -> DataFrame:
     usable = F.col("parsed").isNotNull() & F.col("parsed._broken").isNull()
     return rows.withColumn("at", at).withColumn(
         "fault",
-        F.when(~usable | F.col("parsed.event_type").isNull(), "not a JSON event").when(~F.col("parsed.event_type").isin("alert", "stats"), "other event type").when(F.col("at").isNull(), "no event time"),
+        F.when(~usable | F.col("parsed.event_type").isNull(), "not a JSON event").when(~F.col("parsed.event_type").isin("alert", "stats"), OTHER_EVENT).when(F.col("at").isNull(), "no event time"),
     )
 
 
+def _parsed(lines: DataFrame, parse: Callable[[DataFrame, str], DataFrame], text: str) -> DataFrame:
+    """Lines that a caller has parsed already are not parsed again."""
+    return lines if "fault" in lines.columns else parse(lines, text)
+
+
 def normalize_alerts(lines: DataFrame, text: str = "value") -> DataFrame:
-    rows = parse_engine_events(lines, text).where(F.col("fault").isNull() & (F.col("parsed.event_type") == "alert"))
+    rows = _parsed(lines, parse_engine_events, text).where(F.col("fault").isNull() & (F.col("parsed.event_type") == "alert"))
     flat = [F.col(f"parsed.{f.name}").alias(f.name) for f in schemas.struct(_EVE_FLAT) if f.name not in ("event_type", "timestamp")]
     nested = []
     for group, ddl in _EVE_GROUPS.items():
@@ -164,7 +173,7 @@ def normalize_alerts(lines: DataFrame, text: str = "value") -> DataFrame:
 
 
 def normalize_stats(lines: DataFrame, text: str = "value") -> DataFrame:
-    rows = parse_engine_events(lines, text).where(F.col("fault").isNull() & (F.col("parsed.event_type") == "stats"))
+    rows = _parsed(lines, parse_engine_events, text).where(F.col("fault").isNull() & (F.col("parsed.event_type") == "stats"))
     out = [F.col("at").alias("timestamp")]
     for field in schemas.struct(f"stats {_stats_type()}")[0].dataType:
         if field.dataType.typeName() == "struct":
@@ -192,7 +201,7 @@ def parse_honeypot_events(lines: DataFrame, text: str = "value") -> DataFrame:
 
 
 def normalize_honeypot(lines: DataFrame, text: str = "value") -> DataFrame:
-    good = parse_honeypot_events(lines, text).where(F.col("fault").isNull())
+    good = _parsed(lines, parse_honeypot_events, text).where(F.col("fault").isNull())
     out = [F.col("at").alias("timestamp"), F.col(text).alias("raw")]
     for field in schemas.struct(schemas.COWRIE):
         if field.name in ("timestamp", "raw"):
@@ -202,14 +211,24 @@ def normalize_honeypot(lines: DataFrame, text: str = "value") -> DataFrame:
     return fill_defaults(good.select(*out), schemas.COWRIE)
 
 
+def parse_metrics(lines: DataFrame, text: str = "value") -> DataFrame:
+    """Adds ``parsed`` and ``fault``; metrics that are not kept are no malformed lines but have a fault too."""
+    ddl = "timestamp string, name string, namespace string, kind string, tags map<string,string>, counter struct<value: double>, gauge struct<value: double>, _broken string"
+    rows = lines.withColumn("parsed", F.from_json(F.col(text), ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    m = F.col("parsed")
+    usable = m.isNotNull() & m["_broken"].isNull() & m["name"].isNotNull()
+    return rows.withColumn(
+        "fault",
+        F.when(~usable, "not a JSON metric").when(~m["name"].isin(*KEPT_METRICS), OTHER_METRIC).when(F.coalesce(m["counter"]["value"], m["gauge"]["value"]).isNull(), "no value"),
+    )
+
+
 def normalize_metrics(lines: DataFrame, arrived_at: Column, text: str = "value") -> DataFrame:
     """Counters and gauges of the kept metrics; ``arrived_at`` stands in where a metric carries no time."""
-    ddl = "timestamp string, name string, namespace string, kind string, tags map<string,string>, counter struct<value: double>, gauge struct<value: double>"
-    m = F.col("m")
-    rows = lines.select(F.from_json(F.col(text), ddl).alias("m")).where(m["name"].isin(*KEPT_METRICS))
+    m = F.col("parsed")
     value = F.coalesce(m["counter"]["value"], m["gauge"]["value"])
     return fill_defaults(
-        rows.where(value.isNotNull()).select(
+        _parsed(lines, parse_metrics, text).where(F.col("fault").isNull()).select(
             F.coalesce(F.try_to_timestamp(m["timestamp"]), arrived_at).alias("timestamp"), m["name"].alias("name"), m["namespace"].alias("namespace"),
             m["kind"].alias("kind"), m["tags"].alias("tags"), value.alias("value"),
         ), schemas.METRICS,

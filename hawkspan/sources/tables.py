@@ -47,21 +47,28 @@ class TableStore:
     def rows(self, table: str, ddl: str | None = None) -> DataFrame:
         return self.spark.read.schema(ddl).parquet(self.path(table)) if ddl else self.spark.read.parquet(self.path(table))
 
-    # A replaced table is a set of version folders and a pointer file naming the current one. The new version is written
-    # in full before the pointer moves, so readers see the old table or the new one.
+    # A replaced table is a set of version folders and a growing list of pointer files. The new version is written in full
+    # before its pointer is added, and no pointer is ever deleted, so readers see the old table or the new one.
 
     def replace(self, table: str, rows: DataFrame) -> str:
         version = uuid.uuid4().hex
         rows.write.parquet(f"{self.path(table)}/v-{version}")
-        pointer = self.spark.createDataFrame([(version,)], "version string")
-        pointer.coalesce(1).write.mode("overwrite").json(f"{self.path(table)}/current")
+        pointer = self._pointers(table).agg(F.coalesce(F.max("number"), F.lit(0)).alias("number")) if self.exists(f"{table}/current") else self.spark.range(1).select(F.lit(0).alias("number"))
+        pointer.select((F.col("number") + 1).cast("long").alias("number"), F.lit(version).alias("version")).coalesce(1).write.mode("append").json(f"{self.path(table)}/current")
         return version
 
+    def _pointers(self, table: str) -> DataFrame:
+        return self.spark.read.schema("number long, version string").json(f"{self.path(table)}/current")
+
     def current(self, table: str) -> DataFrame:
-        version = self.spark.read.schema("version string").json(f"{self.path(table)}/current").head()
-        if version is None:
+        newest = self._pointers(table).agg(F.max(F.struct("number", "version")).alias("newest")).head()["newest"]
+        if newest is None:
             raise FileNotFoundError(f"no current version of {table}")
-        return self.spark.read.parquet(f"{self.path(table)}/v-{version['version']}")
+        return self.spark.read.parquet(f"{self.path(table)}/v-{newest['version']}")
+
+    def exists(self, table: str) -> bool:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
+        return folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
 
     def expire(self, table: str, as_of, days: int | None = None) -> list[str]:
         """Drop whole days past the retention period; returns the dropped partition names (at most one per day kept)."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hawkspan import schemas
-from hawkspan.functions.times import plus_seconds
+from hawkspan.functions.times import instant, stored_days
 from hawkspan.sources import normalize as n
 from hawkspan.sources.tables import TableStore
 
@@ -39,6 +39,28 @@ def _append_batch(store: TableStore, table: str, rows: DataFrame, batch_id: int)
     dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(store.path(table))
 
 
+def _append_rejects(store: TableStore, log: str, parsed: DataFrame, batch_id: int) -> None:
+    """Unusable lines of a batch with their reason, below ``rejected``."""
+    refused = n.rejects(parsed).withColumn("log", F.lit(log)).withColumn("batch", F.lit(batch_id))
+    refused.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log", "batch").parquet(store.path("rejected"))
+
+
+def append_new(store: TableStore, table: str, rows: DataFrame, keys: list[str], batch_id: int) -> None:
+    """Append the rows whose keys no other batch has stored, however late they come; of equal rows in the batch one stays.
+
+    Only the stored days between the batch's first and last event are read, and of them only the keys that the batch has.
+    """
+    ts = schemas.event_time(table)
+    rows = rows.dropDuplicates(keys)
+    if store.exists(table):
+        first, last = rows.agg(F.min(ts).cast("string"), F.max(ts).cast("string")).head()
+        if first is not None:
+            stored = stored_days(store.events(table).where(F.col("batch") != batch_id), instant(first), instant(last))
+            known = stored.select(*keys).join(rows.select(*keys), keys, "left_semi")
+            rows = rows.join(known, keys, "left_anti").select(*rows.columns)
+    _append_batch(store, table, rows, batch_id)
+
+
 def start_sensor_ingest(spark: SparkSession, in_path: str, store: TableStore, checkpoint: str, available_now: bool = False, log_types=tuple(schemas.SENSOR_LOGS)) -> StreamingQuery:
     """Sensor logs, routed to their table by file name; unusable lines go to ``rejected``."""
 
@@ -48,8 +70,7 @@ def start_sensor_ingest(spark: SparkSession, in_path: str, store: TableStore, ch
             for log_type in log_types:
                 mine = n.parse_sensor_log(routed.where(F.col("log") == log_type), log_type)
                 _append_batch(store, log_type, n.normalize_sensor_log(mine.select("value"), log_type), batch_id)
-                refused = n.rejects(mine).withColumn("log", F.lit(log_type)).withColumn("batch", F.lit(batch_id))
-                refused.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log", "batch").parquet(store.path("rejected"))
+                _append_rejects(store, log_type, mine, batch_id)
         finally:
             routed.unpersist()
 
@@ -57,27 +78,47 @@ def start_sensor_ingest(spark: SparkSession, in_path: str, store: TableStore, ch
 
 
 def start_alert_ingest(spark: SparkSession, in_path: str, store: TableStore, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Alerts and engine counters; a line is parsed once for both and for ``rejected``."""
+
     def batch(rows: DataFrame, batch_id: int) -> None:
-        _append_batch(store, "alert", n.normalize_alerts(rows), batch_id)
-        _append_batch(store, "stats", n.normalize_stats(rows), batch_id)
+        parsed = n.parse_engine_events(rows).persist()
+        try:
+            _append_batch(store, "alert", n.normalize_alerts(parsed), batch_id)
+            _append_batch(store, "stats", n.normalize_stats(parsed), batch_id)
+            _append_rejects(store, "eve", parsed, batch_id)
+        finally:
+            parsed.unpersist()
 
     return _start(lines(spark, in_path), batch, checkpoint, PACE["alerts"], available_now)
 
 
-def start_honeypot_ingest(spark: SparkSession, in_path: str, store: TableStore, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Compressed honeypot objects; an event read twice within two hours is kept once."""
-    events = n.normalize_honeypot(lines(spark, in_path, glob=OBJECT_NAME))
-    once = events.withWatermark("timestamp", "2 hours").dropDuplicatesWithinWatermark(["session", "eventid", "timestamp", "raw"])
-    return _start(once, lambda rows, batch_id: _append_batch(store, "cowrie", rows, batch_id), checkpoint, PACE["honeypot"], available_now)
+def honeypot_batch(store: TableStore) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for honeypot lines: every event is stored once, in whatever order objects come."""
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        parsed = n.parse_honeypot_events(rows).persist()
+        try:
+            append_new(store, "cowrie", n.normalize_honeypot(parsed), ["session", "eventid", "timestamp", "raw"], batch_id)
+            _append_rejects(store, "cowrie", parsed, batch_id)
+        finally:
+            parsed.unpersist()
+
+    return batch
+
+
+def start_honeypot_ingest(spark: SparkSession, in_path: str, store: TableStore, checkpoint: str, available_now: bool = False, max_files: int = 1000) -> StreamingQuery:
+    """Compressed honeypot objects; an event that several objects hold is kept once."""
+    return _start(lines(spark, in_path, max_files, OBJECT_NAME), honeypot_batch(store), checkpoint, PACE["honeypot"], available_now)
 
 
 def start_metrics_ingest(spark: SparkSession, in_path: str, store: TableStore, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     def batch(rows: DataFrame, batch_id: int) -> None:
-        _append_batch(store, "metrics", n.normalize_metrics(rows, F.current_timestamp()), batch_id)
+        parsed = n.parse_metrics(rows).persist()
+        try:
+            _append_batch(store, "metrics", n.normalize_metrics(parsed, F.current_timestamp()), batch_id)
+            _append_rejects(store, "metrics", parsed, batch_id)
+        finally:
+            parsed.unpersist()
 
     return _start(lines(spark, in_path), batch, checkpoint, PACE["metrics"], available_now)
 
-
-def within_lateness(rows: DataFrame, ts: str, arrived_at: str, hours: int) -> DataFrame:
-    """Batch counterpart of a watermark: rows that arrived at most ``hours`` after their event time."""
-    return rows.where(F.col(arrived_at) <= plus_seconds(F.col(ts), hours * 3600.0))

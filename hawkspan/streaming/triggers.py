@@ -12,10 +12,16 @@ from hawkspan.plans.response import HANDS_ON_EVENTS, _severe, action_rows, block
 LATE = "2 hours"
 
 
+def _closed_at_end(rows: DataFrame, ts: str, late: str) -> DataFrame:
+    """Adds ``at``, a microsecond before the event, under a watermark: windows ``[start, end)`` of it are ``(start, end]`` of
+    the event time, as in the batch form, so an event on a full minute counts from that minute's evaluation on."""
+    return rows.withColumn("at", F.timestamp_micros(F.unix_micros(ts) - 1)).withWatermark("at", late)
+
+
 def honeypot_attackers_stream(cowrie: DataFrame, late: str = LATE) -> DataFrame:
     """Sources over the limits per 15-minute window, moved every minute."""
     event = F.col("eventid")
-    counts = cowrie.withWatermark("timestamp", late).where(F.col("src_ip") != "").groupBy(F.window("timestamp", "15 minutes", "1 minute"), "src_ip").agg(
+    counts = _closed_at_end(cowrie, "timestamp", late).where(F.col("src_ip") != "").groupBy(F.window("at", "15 minutes", "1 minute"), "src_ip").agg(
         F.count_if(event == "cowrie.login.success").alias("entered"), F.count_if(event.isin(*HANDS_ON_EVENTS)).alias("used"), F.count_if(event == "cowrie.login.failed").alias("refused")
     )
     hit = ((F.col("entered") >= 1) & (F.col("used") >= 1)) | (F.col("refused") >= 20)
@@ -23,14 +29,14 @@ def honeypot_attackers_stream(cowrie: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def severe_alerts_stream(alerts: DataFrame, iface: str = PRODUCTION_IFACE, late: str = LATE) -> DataFrame:
-    rows = _severe(alerts.withWatermark("timestamp", late), iface)
-    counts = rows.groupBy(F.window("timestamp", "10 minutes", "1 minute"), "src_ip").agg(F.count("*").alias("alerts"))
+    rows = _severe(_closed_at_end(alerts, "timestamp", late), iface)
+    counts = rows.groupBy(F.window("at", "10 minutes", "1 minute"), "src_ip").agg(F.count("*").alias("alerts"))
     return counts.select(F.col("window.end").alias("evaluated_at"), "src_ip", "alerts")
 
 
 def ssh_pressure_stream(conn: DataFrame, at_least: int = 30, late: str = LATE) -> DataFrame:
-    rows = conn.withWatermark("ts", late).where((F.col("id_resp_p") == 22) & ~F.col("local_orig") & F.col("local_resp"))
-    counts = rows.groupBy(F.window("ts", "10 minutes", "1 minute"), F.col("id_orig_h").alias("src_ip")).agg(F.count("*").alias("connections"))
+    rows = _closed_at_end(conn, "ts", late).where((F.col("id_resp_p") == 22) & ~F.col("local_orig") & F.col("local_resp"))
+    counts = rows.groupBy(F.window("at", "10 minutes", "1 minute"),F.col("id_orig_h").alias("src_ip")).agg(F.count("*").alias("connections"))
     return counts.where(F.col("connections") >= at_least).select(F.col("window.end").alias("evaluated_at"), "src_ip", "connections")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hawkspan import schemas
 from hawkspan.operators.allowlist import RejectedRows
-from hawkspan.plans import findings, response
+from hawkspan.plans import findings
 from hawkspan.plans.registry import REGISTRY
 from hawkspan.sources import normalize, reference
 from hawkspan.sources.tables import TableStore, retain, write_result
@@ -49,7 +49,7 @@ def test_alert_stats_and_metrics_ingest(spark, tmp_path):
     at = "2026-01-05T10:00:00.250000+0000"
     write_lines(f"{tmp_path}/in/eve.json", [
         {"event_type": "alert", "timestamp": at, "flow_id": 2**63 + 5, "src_ip": "1.2.3.4", "alert": {"signature_id": 7, "severity": 1, "metadata": {"mitre_technique_id": ["T1190"]}}, "http": {"url": "/x"}},
-        {"event_type": "stats", "timestamp": at, "stats": {"uptime": 9, "capture": {"kernel_drops": 3}, "detect": {"alerts_suppressed": 4}}}, {"event_type": "flow", "timestamp": at},
+        {"event_type": "stats", "timestamp": at, "stats": {"uptime": 9, "capture": {"kernel_drops": 3}, "detect": {"alerts_suppressed": 4}}}, {"event_type": "flow", "timestamp": at}, "{cut",
     ])
     store = TableStore(spark, f"{tmp_path}/tables")
     ingest.start_alert_ingest(spark, f"{tmp_path}/in", store, f"{tmp_path}/cp", available_now=True).awaitTermination()
@@ -59,6 +59,7 @@ def test_alert_stats_and_metrics_ingest(spark, tmp_path):
     write_lines(f"{tmp_path}/m/a.json", [{"name": "uptime_seconds", "kind": "absolute", "gauge": {"value": 2.5}, "tags": {"host": "a"}}, {"name": "other", "gauge": {"value": 1}}])
     ingest.start_metrics_ingest(spark, f"{tmp_path}/m", store, f"{tmp_path}/cm", available_now=True).awaitTermination()
     assert [(m.name, m.value, m.tags) for m in store.events("metrics").collect()] == [("uptime_seconds", 2.5, {"host": "a"})]
+    assert [(r.log, r.line) for r in store.rows("rejected").collect()] == [("eve", "{cut")]
 
 
 def test_honeypot_objects_are_read_once(spark, tmp_path):
@@ -72,6 +73,22 @@ def test_honeypot_objects_are_read_once(spark, tmp_path):
     assert [(r.eventid, r.username, r.src_port, r.timestamp) for r in rows] == [("cowrie.login.failed", "root", 0, datetime(2026, 1, 5, 10, 0, 0, 500000))]
 
 
+def test_late_honeypot_objects_are_kept_and_bad_lines_stored(spark, tmp_path):
+    store = TableStore(spark, f"{tmp_path}/tables")
+    event = lambda day, name: {"eventid": "cowrie.login.failed", "timestamp": f"2026-01-{day:02d}T10:00:00Z", "session": "s", "src_ip": "1.2.3.4", "username": name}
+    objects = [[event(5, "a"), event(6, "b")], [event(4, "c"), "{bad", {"eventid": "other.event", "timestamp": "2026-01-04T00:00:00Z"}], [event(5, "a"), event(5, "d"), event(4, "c")]]
+    for i, content in enumerate(objects):  # a run for each object: the second is older than all before it
+        write_lines(f"{tmp_path}/in/2026010{i}T000000Z-x.json.gz", content, gzip.open)
+        ingest.start_honeypot_ingest(spark, f"{tmp_path}/in", store, f"{tmp_path}/cp", available_now=True).awaitTermination()
+    assert sorted(r.username for r in store.events("cowrie").collect()) == ["a", "b", "c", "d"]
+    assert sorted((r.log, r.fault) for r in store.rows("rejected").collect()) == [("cowrie", "foreign event"), ("cowrie", "not a JSON event")]
+    # A batch that is repeated after a failure leaves the same rows.
+    batch = ingest.honeypot_batch(store)
+    for _ in range(2):
+        batch(spark.createDataFrame([(json.dumps(event(6, "e")),), (json.dumps(event(6, "b")),)], "value string"), 99)
+    assert sorted(r.username for r in store.events("cowrie").collect()) == ["a", "b", "c", "d", "e"]
+
+
 def test_tables_append_replace_and_expire(spark, tmp_path):
     store = TableStore(spark, str(tmp_path))
     rows = spark.createDataFrame([(datetime(2026, 1, d), f"u{d}") for d in (1, 2, 20)], "ts timestamp, uid string")
@@ -132,8 +149,9 @@ def test_verdicts_layer_and_decision_batches(spark, tmp_path):
         empty = {"actions": schemas.STATE["actions"], "cowrie": schemas.COWRIE, "alert": schemas.ALERT, "conn": schemas.SENSOR_LOGS["conn"]}
         return {n: spark.createDataFrame([], d) for n, d in empty.items()}
 
+    (tmp_path / "never.txt").write_text("10.0.0.0/8 x")
     alerts = spark.createDataFrame([(datetime(2026, 1, 1), "45.1.1.1", "suricata", "r", None)], "alerted_at timestamp, ip string, trigger string, rule string, ttl_seconds double")
-    handle = triggers.decision_batch(tables, response.never_block_table(spark, ["10.0.0.0/8 x"]), f"{tmp_path}/actions", "enforce", lambda b: "2026-01-01 00:00:00")
+    handle = triggers.decision_batch(tables, reference.load_never_block(spark, f"{tmp_path}/never.txt"), f"{tmp_path}/actions", "enforce", lambda b: "2026-01-01 00:00:00")
     handle(alerts, 0)
     handle(alerts, 0)  # repeated after a failure
     assert [(a.ip, a.action) for a in spark.read.parquet(f"{tmp_path}/actions").collect()] == [("45.1.1.1", "block")]
