@@ -26,11 +26,24 @@ def time_slice(df: DataFrame, start, end=None, ts: str = "ts") -> DataFrame:
     out = df.where(F.col(ts) >= low)
     if high is not None:
         out = out.where(F.col(ts) < high)
+    return stored_days(out, low, high)
+
+
+def trailing(df: DataFrame, ts: str, as_of, seconds: float) -> DataFrame:
+    """The rows of ``(as_of - seconds, as_of]``, pruned like ``time_slice``."""
+    high = instant(as_of)
+    low = plus_seconds(high, -float(seconds))
+    return stored_days(df.where((F.col(ts) > low) & (F.col(ts) <= high)), low, high)
+
+
+def stored_days(df: DataFrame, low: Column | None, high: Column | None = None) -> DataFrame:
+    """Only the daily partitions that two instants span, where the table has them."""
     if "date" in df.columns:
-        out = out.where(F.col("date") >= F.to_date(low))
+        if low is not None:
+            df = df.where(F.col("date") >= F.to_date(low))
         if high is not None:
-            out = out.where(F.col("date") <= F.to_date(high))
-    return out
+            df = df.where(F.col("date") <= F.to_date(high))
+    return df
 
 
 def bucket_start(ts: Column, seconds: int) -> Column:

@@ -47,14 +47,6 @@ def lookup_ranges(df: DataFrame, ip: str, ranges: DataFrame, columns: Sequence[s
     return found.groupBy("addr").agg(F.max_by(F.struct(*columns), "lo").alias("found")).select("addr", "found.*")
 
 
-def addresses_in(df: DataFrame, ip: str, ranges: DataFrame) -> DataFrame:
-    """Distinct addresses (``addr``) covered by at least one range."""
-    spread = explode_buckets(ranges.select("lo", "hi"))
-    addresses = distinct_addresses(df, ip)
-    inside = (addresses["bucket"] == spread["bucket"]) & addresses["addr_key"].between(spread["lo"], spread["hi"])
-    return addresses.join(spread, inside, "left_semi").select("addr")
-
-
 def geo_enrich(df: DataFrame, ip: str, countries: DataFrame, networks: DataFrame, prefix: str) -> DataFrame:
     """Adds ``<prefix>country_code, country, asn, as_org``; '' or 0 where nothing is known.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hawkspan.functions.times import instant, plus_seconds
+from hawkspan.functions.times import instant, plus_seconds, time_slice
 
 
 def _empty(kind: str) -> Column:
@@ -20,7 +20,8 @@ def evaluate_cases(cases: DataFrame, alerts: DataFrame, iface: str) -> DataFrame
     """
     minutes = F.explode(F.sequence(F.date_trunc("minute", "started_at"), F.date_trunc("minute", "deadline"), F.expr("INTERVAL 1 MINUTE")))
     spans = cases.withColumn("minute", minutes)
-    # One row per (instant, signature) is all a case needs to know of the alerts.
+    # One row per (instant, signature) is all a case needs to know of the alerts, and only of the time the cases span.
+    alerts = time_slice(alerts, cases.agg(F.min("started_at")).scalar(), cases.agg(F.max("deadline")).scalar(), "timestamp")
     seen = alerts.where(F.col("in_iface") == iface).select("alert_signature_id", "timestamp").distinct().withColumn("minute", F.date_trunc("minute", "timestamp"))
     inside = (F.col("timestamp") >= F.col("started_at")) & (F.col("timestamp") < F.col("deadline"))
     hits = spans.join(seen, "minute").where(inside).groupBy("case_name", "alert_signature_id").agg(
@@ -99,7 +100,7 @@ def fingerprint_summary(reconciled: DataFrame) -> DataFrame:
 
 def arrival_check(cowrie: DataFrame, src: str, marker: str, started_at) -> DataFrame:
     """Whether a test login arrived complete, with its place of origin."""
-    rows = cowrie.where((F.col("timestamp") >= plus_seconds(instant(started_at), -5.0)) & (F.col("src_ip") == src))
+    rows = time_slice(cowrie, plus_seconds(instant(started_at), -5.0), ts="timestamp").where(F.col("src_ip") == src)
     login = (F.col("eventid") == "cowrie.login.success") & (F.col("password") == marker)
     refused = (F.col("eventid") == "cowrie.login.failed") & (F.col("username") == "root") & F.col("password").isin("root", "123456")
     typed = F.col("input").contains(marker)
@@ -121,5 +122,5 @@ def arrivals(cowrie: DataFrame, keys: list[str]) -> DataFrame:
 
 def absence_check(http: DataFrame, uri: str, src: str, since) -> DataFrame:
     """Matching requests seen by the sensor (expected: none, or some as positive control)."""
-    rows = http.where((F.col("ts") >= plus_seconds(instant(since), -5.0)) & (F.col("uri") == uri) & (F.col("id_orig_h") == src))
+    rows = time_slice(http, plus_seconds(instant(since), -5.0)).where((F.col("uri") == uri) & (F.col("id_orig_h") == src))
     return rows.agg(F.count("*").alias("requests"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hawkspan.functions.net import cidr_bounds, ip_key
 from hawkspan.functions.text import present
-from hawkspan.functions.times import instant, plus_seconds
+from hawkspan.functions.times import instant, plus_seconds, stored_days
 from hawkspan.operators.allowlist import RejectedRows
 from hawkspan.operators.ipjoin import bucket_of, explode_buckets
 from hawkspan.plans import detections as _registered  # noqa: F401  (importing it fills the registry)
@@ -134,12 +134,12 @@ def observed_techniques(t, as_of, days=30, iface=PRODUCTION_IFACE) -> DataFrame:
     """``technique, seen_by, sources`` from alerts not judged false positive, and from the honeypot."""
     since = plus_seconds(instant(as_of), -days * 86400.0)
     wrong = latest_verdicts(t, "suricata").where(F.col("verdict") == "false_positive")
-    alerts = t["alert"].where((F.col("in_iface") == iface) & (F.col("timestamp") > since))
+    alerts = stored_days(t["alert"], since).where((F.col("in_iface") == iface) & (F.col("timestamp") > since))
     # Alerts shrink to distinct (technique, pair) before they meet the verdicts.
     pairs = alerts.select(F.explode("alert_metadata_mitre_technique_id").alias("technique"), pair_of_alert().alias("subject"), "src_ip").distinct()
     by_alert = pairs.join(wrong, "subject", "left_anti").groupBy("technique").agg(F.countDistinct("src_ip").alias("sources")).withColumn("seen_by", F.lit("suricata"))
     mapping = F.create_map(*[F.lit(x) for pair in HONEYPOT_TECHNIQUES.items() for x in pair])
-    probes = t["cowrie"].where((F.col("timestamp") > since) & F.col("eventid").isin(*HONEYPOT_TECHNIQUES)).withColumn("technique", F.try_element_at(mapping, F.col("eventid")))
+    probes = stored_days(t["cowrie"], since).where((F.col("timestamp") > since) & F.col("eventid").isin(*HONEYPOT_TECHNIQUES)).withColumn("technique", F.try_element_at(mapping, F.col("eventid")))
     by_probe = probes.groupBy("technique").agg(F.countDistinct("src_ip").alias("sources")).withColumn("seen_by", F.lit("honeypot"))
     return by_alert.unionByName(by_probe)
 

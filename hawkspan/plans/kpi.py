@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hawkspan.functions.times import instant, plus_seconds, unit_boundaries
+from hawkspan.functions.times import instant, plus_seconds, time_slice, unit_boundaries
 from hawkspan.operators.samples import share
 from hawkspan.plans.common import PRODUCTION_IFACE, latest_verdicts, pair_of_alert, top
 
@@ -37,13 +37,13 @@ def median_time_to_visible(t, as_of):
 def daily_alert_average(t, as_of, days=7, iface=PRODUCTION_IFACE):
     """Mean alerts per complete day."""
     today = F.date_trunc("day", instant(as_of))
-    rows = t["alert"].where((F.col("in_iface") == iface) & (F.col("timestamp") > _since(as_of, days)) & (F.col("timestamp") < today))
+    rows = time_slice(t["alert"], _since(as_of, days), today, "timestamp").where((F.col("in_iface") == iface) & (F.col("timestamp") > _since(as_of, days)))
     return rows.groupBy(F.to_date("timestamp").alias("d")).agg(F.count("*").alias("n")).agg(F.bround(F.avg("n")).alias("per_day"))
 
 
 def daily_alerts_by_severity(t, span, iface=PRODUCTION_IFACE):
     level = F.concat(F.lit("severity "), F.col("alert_severity").cast("string")).alias("level")
-    rows = t["alert"].where((F.col("timestamp") >= instant(span[0])) & (F.col("timestamp") < instant(span[1])) & (F.col("in_iface") == iface))
+    rows = time_slice(t["alert"], span[0], span[1], "timestamp").where(F.col("in_iface") == iface)
     return rows.groupBy(F.date_trunc("day", "timestamp").alias("time"), level).agg(F.count("*").alias("alerts")).orderBy("time", "level")
 
 

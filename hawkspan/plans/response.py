@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hawkspan.functions.net import in_networks, ip_key, is_global_v4, is_v4
+from hawkspan.functions.text import power_text
 from hawkspan.functions.times import instant, millis_between, plus_seconds, unit_boundaries
+from hawkspan.functions.times import trailing as _trailing
 from hawkspan.operators.ipjoin import bucket_of, explode_buckets
 from hawkspan.operators.samples import latest_per_key
 from hawkspan.plans.common import PRODUCTION_IFACE, per_step, top, total, within
@@ -24,6 +26,7 @@ TRIGGERS = {"honeypot": (True, 24 * HOUR), "suricata": (True, 6 * HOUR), "scanne
 # Policy limits.
 REPEAT_DAYS, REPEAT_FACTOR, MAX_TTL = 30, 4, 7 * DAY
 MAX_ACTIVE, MAX_NEW, NEW_WINDOW = 200, 20, 600
+EVALUATION, JITTER = 60, 30  # seconds between two evaluations of a rule, and how far one may be off
 # Honeypot events that show use of a login.
 HANDS_ON_EVENTS = ("cowrie.command.input", "cowrie.session.file_upload", "cowrie.session.file_download", "cowrie.session.file_download.failed")
 
@@ -32,10 +35,6 @@ HANDS_ON_EVENTS = ("cowrie.command.input", "cowrie.session.file_upload", "cowrie
 # Each trigger is evaluated every minute over a trailing window; ``sliding`` evaluates all minutes of a table at once.
 
 
-def _trailing(rows: DataFrame, ts: str, as_of, seconds: int) -> DataFrame:
-    return rows.where((F.col(ts) > plus_seconds(instant(as_of), -float(seconds))) & (F.col(ts) <= instant(as_of)))
-
-
 def _hostile_logins(rows: DataFrame, *keys) -> DataFrame:
     event = F.col("eventid")
     counts = rows.where(F.col("src_ip") != "").groupBy(*keys, "src_ip").agg(
@@ -105,18 +104,20 @@ def ssh_pressure_by_minute(t, at_least=30, length="10 minutes"):
 def dedupe_notifications(firing: DataFrame, repeat_seconds: int = 1800) -> DataFrame:
     """Firing evaluations ``rule, src_ip, evaluated_at`` thinned to the first of each episode and one per repeat interval.
 
-    An episode ends when more than one evaluation minute is missing. Within an episode the repeats follow from the time
-    since its start, so no running state is needed.
+    An episode ends when an evaluation is missing; evaluations may come up to half a minute early or late. Within an episode
+    the repeats follow from the time since its start, so no running state is needed.
     """
     keys = ["rule", "src_ip"]
     # Episodes start at gaps; the running maximum of start times carries them forward, per key over its minutes.
     order = Window.partitionBy(*keys).orderBy("evaluated_at")
     gap = F.unix_seconds("evaluated_at") - F.unix_seconds(F.lag("evaluated_at").over(order))
-    started = F.when(gap.isNull() | (gap > 60), F.col("evaluated_at"))
+    started = F.when(gap.isNull() | (gap > EVALUATION + JITTER), F.col("evaluated_at"))
     episodes = firing.select(*keys, "evaluated_at").distinct().withColumn("mark", started)
     episodes = episodes.withColumn("episode", F.max("mark").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     age = F.unix_seconds("evaluated_at") - F.unix_seconds("episode")
-    return episodes.where(age % repeat_seconds == 0).select(*keys, F.col("evaluated_at").alias("notified_at"), "episode")
+    turn = F.floor((age + JITTER) / repeat_seconds)
+    first = F.col("mark").isNotNull() | (F.col("turn") > F.lag("turn").over(order))
+    return episodes.withColumn("turn", turn).withColumn("first", first).where("first").select(*keys, F.col("evaluated_at").alias("notified_at"), "episode")
 
 
 # --- state -----------------------------------------------------------------------------------------------------------
@@ -185,22 +186,6 @@ def evidence(t, as_of, iface=PRODUCTION_IFACE):
 # --- policy ----------------------------------------------------------------------------------------------------------
 
 
-def never_block_table(spark, lines) -> DataFrame:
-    """``lo, hi, network, reason`` from "<cidr> <reason>" lines; '#' starts a comment; host bits are an error."""
-    import ipaddress
-
-    from hawkspan.functions.net import network_bounds
-
-    rows = []
-    for line in lines:
-        text = line.split("#", 1)[0].strip()
-        if text:
-            cidr, _, reason = text.partition(" ")
-            net = ipaddress.ip_network(cidr, strict=True)
-            rows.append((*network_bounds(str(net)), str(net), reason.strip() or "listed", len(rows)))
-    return spark.createDataFrame(rows, "lo string, hi string, network string, reason string, place int")
-
-
 def _listed(alerts: DataFrame, never_block: DataFrame) -> DataFrame:
     """Distinct listed addresses with the first list entry that covers them."""
     keyed = alerts.select("ip").distinct().withColumn("addr_key", ip_key("ip")).withColumn("bucket", bucket_of(F.col("addr_key")))
@@ -237,8 +222,8 @@ def decide(alerts: DataFrame, history: DataFrame, totals: DataFrame, never_block
     )
     judged = known.withColumn("fault", fault).withColumn("active", F.coalesce("active", F.lit(False))).withColumn("earlier_blocks", F.coalesce("earlier_blocks", F.lit(0)))
     judged = judged.withColumn("enforced", F.coalesce(enforced, F.lit(False)))
-    # Growth is cut at 4^8 so that it cannot overflow; the seven-day ceiling is reached long before.
-    ttl = F.least(base * F.pow(F.lit(float(REPEAT_FACTOR)), F.least("earlier_blocks", F.lit(8))), F.lit(float(MAX_TTL)))
+    # 4^500 is still a finite double, and with it any lifetime above zero has reached the seven-day ceiling.
+    ttl = F.least(base * F.pow(F.lit(float(REPEAT_FACTOR)), F.least("earlier_blocks", F.lit(500))), F.lit(float(MAX_TTL)))
     judged = judged.withColumn("until", plus_seconds(now, ttl))
 
     order = F.struct("alerted_at", "ip", "trigger", "rule")
@@ -258,7 +243,7 @@ def decide(alerts: DataFrame, history: DataFrame, totals: DataFrame, never_block
     admitted = ranked.withColumn("stop", stop.scalar()).where(F.col("stop").isNull() | (F.col("place") < F.col("stop.place"))).select("ip", F.col("place").alias("won"))
 
     out = judged.withColumn("place", order).join(F.broadcast(admitted), "ip", "left").withColumn("stop", stop.scalar())
-    repeat = F.when(F.col("earlier_blocks") > 0, F.concat(F.lit(", repeat offender ×"), F.pow(F.lit(float(REPEAT_FACTOR)), F.col("earlier_blocks")).cast("decimal(38,0)").cast("string"))).otherwise("")
+    repeat = F.when(F.col("earlier_blocks") > 0, F.concat(F.lit(", repeat offender ×"), power_text(REPEAT_FACTOR, F.col("earlier_blocks")))).otherwise("")
     later = F.col("won").isNotNull() & (F.col("place") > F.col("won"))
     action = (
         F.when(F.col("fault").isNotNull(), "reject").when(F.col("active") | later, "skip").when(~F.col("enforced"), "observe")

@@ -104,6 +104,7 @@ def recent_alerts(t, span, k=100):
 
 
 def flow_of_alert(t, span):
-    """Alerts with the connection record of the same flow."""
-    alerts = within(t["alert"], span, "timestamp").select("community_id", "alert_signature_id", "src_ip", F.col("timestamp").alias("alerted_at"))
-    return alerts.join(within(t["conn"], span).select("community_id", "uid", "conn_state", "ts"), "community_id")
+    """Alerts with the connection record of the same flow; a missing identifier is '' and matches nothing."""
+    known = F.col("community_id") != ""
+    alerts = within(t["alert"], span, "timestamp").where(known).select("community_id", "alert_signature_id", "src_ip", F.col("timestamp").alias("alerted_at"))
+    return alerts.join(within(t["conn"], span).where(known).select("community_id", "uid", "conn_state", "ts"), "community_id")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 _ENDS = "ts timestamp, uid string, id_orig_h string, id_orig_p int, id_resp_h string, id_resp_p int"
-_GEO = "country_code string, {p}country string, {p}asn bigint, {p}as_org string"
 
 
 def _prefixed(names: str, kind: str, prefix: str = "") -> str:

@@ -1,9 +1,11 @@
 import random
+import tempfile
 from datetime import datetime, timedelta
 
 import pytest
 
 from hawkspan.plans import response as r
+from hawkspan.sources.reference import load_never_block
 
 NOW = datetime(2026, 9, 14, 12)
 AS_OF = "2026-09-14 12:00:00"
@@ -13,6 +15,13 @@ ALERTS = "alerted_at timestamp, ip string, trigger string, rule string, ttl_seco
 LIST = ["35.235.240.0/20 admin access", "203.0.113.7/32 office # note", "# comment", ""]
 
 
+def never_block(spark):
+    path = f"{tempfile.mkdtemp()}/never-block.txt"
+    with open(path, "w") as out:
+        out.write("\n".join(LIST))
+    return load_never_block(spark, path)
+
+
 def log(spark, rows):
     return {"actions": spark.createDataFrame([(at, action, ip, trigger, "r", "x", until, "enforce") for at, action, ip, trigger, until in rows], ACTIONS)}
 
@@ -20,7 +29,7 @@ def log(spark, rows):
 def judge(spark, alerts, rows=(), **kw):
     t = log(spark, list(rows))
     frame = spark.createDataFrame([(NOW - timedelta(seconds=1000 - i), ip, trig, f"r{i:04d}", ttl) for i, (ip, trig, ttl) in enumerate(alerts)], ALERTS)
-    out = r.decide(frame, r.ip_history(t, "enforce", AS_OF), r.block_totals(t, "enforce", AS_OF), r.never_block_table(spark, LIST), AS_OF, **kw)
+    out = r.decide(frame, r.ip_history(t, "enforce", AS_OF), r.block_totals(t, "enforce", AS_OF), never_block(spark), AS_OF, **kw)
     return [(x.action, x.reason, x.expires_at) for x in out.orderBy("alerted_at").collect()]
 
 
@@ -38,6 +47,21 @@ def test_test_network_only_in_test_mode(spark):
     assert [o[0] for o in out] == ["block", "reject"]
 
 
+def test_short_lifetimes_grow_to_the_ceiling(spark):
+    past = [(NOW - timedelta(days=2, minutes=i), "block", ATTACKER, "suricata", NOW - timedelta(days=1)) for i in range(100)]
+    (_, reason, until), = judge(spark, [(ATTACKER, "suricata", 5.0)], past[:10])
+    assert until == NOW + timedelta(days=7) and reason == f"suricata, repeat offender ×{4**10}"
+    (_, reason, until), = judge(spark, [(ATTACKER, "suricata", None)], past)
+    assert until == NOW + timedelta(days=7) and reason == f"suricata, repeat offender ×{4**100}"
+
+
+def test_notices_off_the_minute(spark):
+    ends = [NOW + timedelta(seconds=60 * i + i % 2) for i in range(120)] + [NOW + timedelta(seconds=60 * 121 + 30)]
+    firing = spark.createDataFrame([("r", ATTACKER, at) for at in ends], "rule string, src_ip string, evaluated_at timestamp")
+    got = sorted(x.notified_at for x in r.dedupe_notifications(firing).collect())
+    assert got == [NOW + timedelta(minutes=30 * i) for i in range(4)] + [ends[-1]]
+
+
 @pytest.mark.parametrize("earlier,hours", [(0, 6), (1, 24), (2, 96), (3, 168)])
 def test_repeat_offenders(spark, earlier, hours):
     past = [(NOW - timedelta(days=2 + i), "block", ATTACKER, "suricata", NOW - timedelta(days=1)) for i in range(earlier)]
@@ -92,11 +116,6 @@ def test_batches_equal_one_by_one_handling(spark):
         assert got == want
 
 
-def test_never_block_list_refuses_host_bits(spark):
-    with pytest.raises(ValueError):
-        r.never_block_table(spark, ["10.0.0.1/8 wrong"])
-
-
 def test_log_rows_release_and_reconcile(spark):
     t = log(spark, [(NOW - timedelta(hours=1), "block", "45.1.1.1", "suricata", NOW + timedelta(hours=1))])
     applies = "applied_at timestamp, firewall string, mode string, result string, ranges array<string>"
@@ -133,13 +152,11 @@ def test_point_in_time_triggers(spark):
 def test_analyst_words_are_kept(spark):
     t = log(spark, [])
     frame = spark.createDataFrame([(NOW, ATTACKER, "manual", "r", None, "seen twice"), (NOW, "45.1.1.1", "suricata", "r", None, "ignored")], ALERTS + ", note string")
-    out = r.decide(frame, r.ip_history(t, "enforce", AS_OF), r.block_totals(t, "enforce", AS_OF), r.never_block_table(spark, LIST), AS_OF)
+    out = r.decide(frame, r.ip_history(t, "enforce", AS_OF), r.block_totals(t, "enforce", AS_OF), never_block(spark), AS_OF)
     assert {x.ip: x.reason for x in out.collect()} == {ATTACKER: "manual: seen twice", "45.1.1.1": "suricata"}
 
 
 def test_never_block_file(spark, tmp_path):
-    from hawkspan.sources.reference import load_never_block
-
     (tmp_path / "n.txt").write_text("\n".join(LIST))
     rows = {x.network: x.reason for x in load_never_block(spark, f"{tmp_path}/n.txt").collect()}
     assert rows == {"35.235.240.0/20": "admin access", "203.0.113.7/32": "office"}
