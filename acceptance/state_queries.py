@@ -55,6 +55,18 @@ query(
     "norm_metrics", "timestamp t, name s, namespace s, value d",
     f"SELECT {EVE_AT.format(js('timestamp'))} AS timestamp, {js('name')} AS name, '' AS namespace, CAST(coalesce({js('counter.value')}, {js('gauge.value')}) AS DOUBLE) AS value FROM {lines('raw_metrics')} WHERE {js('name')} IN ({KEPT}) AND coalesce({js('counter.value')}, {js('gauge.value')}) IS NOT NULL",
 )(lambda t: normalize.normalize_metrics(t["raw_metrics"], F.current_timestamp()))
+query(
+    "norm_rejects_eve", "outcome s, lines i",
+    f"SELECT CASE WHEN {js('event_type')} IS NULL THEN 'not a JSON event' WHEN {js('event_type')} NOT IN ('alert', 'stats') THEN 'other event type' WHEN {js('timestamp')} IS NULL THEN 'no event time' ELSE 'accepted' END AS outcome, count(*) AS lines FROM {lines('raw_eve')} GROUP BY outcome",
+)(lambda t: normalize.reject_counts(normalize.parse_engine_events(t["raw_eve"])))
+query(
+    "norm_rejects_cowrie", "outcome s, lines i",
+    f"SELECT CASE WHEN {js('eventid')} IS NULL THEN 'not a JSON event' WHEN {js('eventid')} NOT LIKE 'cowrie.%' THEN 'foreign event' WHEN {js('timestamp')} IS NULL THEN 'no event time' ELSE 'accepted' END AS outcome, count(*) AS lines FROM {lines('raw_cowrie')} GROUP BY outcome",
+)(lambda t: normalize.reject_counts(normalize.parse_honeypot_events(t["raw_cowrie"])))
+query(
+    "norm_rejects_metrics", "outcome s, lines i",
+    f"SELECT CASE WHEN {js('name')} IS NULL THEN 'not a JSON metric' WHEN {js('name')} NOT IN ({KEPT}) THEN 'other metric' WHEN coalesce({js('counter.value')}, {js('gauge.value')}) IS NULL THEN 'no value' ELSE 'accepted' END AS outcome, count(*) AS lines FROM {lines('raw_metrics')} GROUP BY outcome",
+)(lambda t: normalize.reject_counts(normalize.parse_metrics(t["raw_metrics"])))
 WAY = "CASE WHEN NOT local_orig THEN 'inbound' WHEN NOT local_resp THEN 'outbound' ELSE 'internal' END"
 query("label_direction", "uid s, direction s, remote_ip s", f"SELECT uid, {WAY} AS direction, CASE WHEN NOT local_orig THEN id_orig_h WHEN NOT local_resp THEN id_resp_h ELSE '' END AS remote_ip FROM conn")(lambda t: normalize.label_direction(t["conn"]))
 query(

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from acceptance.adapters import VIEWS, _spell
 from acceptance.catalog import Tables, query
-from acceptance.state_queries import SEVERE, USED, ends
-from hawkspan.session import stored, work_dir
+from acceptance.state_queries import EVE_AT, SEVERE, USED, ends, js, lines
+from hawkspan.session import work_dir
+from hawkspan.sources.tables import TableStore
 from hawkspan.streaming import triggers
+from hawkspan.streaming.ingest import honeypot_batch
 
 
 def stream_view(t: Tables, name: str) -> DataFrame:
@@ -49,4 +51,18 @@ query(
 query(
     "stream_dedupe", "session s, eventid s, timestamp t", "SELECT DISTINCT session, eventid, timestamp FROM cowrie",
 )(lambda t: run_to_end(t, stream_view(t, "cowrie").select("session", "eventid", "timestamp").withWatermark("timestamp", "2 hours").dropDuplicatesWithinWatermark(["session", "eventid", "timestamp"]), "append"))
-query("stored_intermediate", "session s, n i", "SELECT session, count(*) AS n FROM cowrie GROUP BY session")(lambda t: stored(t["cowrie"].groupBy("session").agg(F.count("*").alias("n")), "sessions"))
+
+
+def ingested(t: Tables) -> DataFrame:
+    """All honeypot lines in three batches, newest first, and one of them shipped again."""
+    store = TableStore(t.spark, work_dir(t.spark, "ingest"))
+    batch, part = honeypot_batch(store), F.pmod(F.xxhash64("value"), F.lit(3))
+    for batch_id, wanted in enumerate((2, 1, 0, 2)):
+        batch(t["raw_cowrie"].where(part == wanted), batch_id)
+    return store.events("cowrie")
+
+
+query(
+    "stream_honeypot_ingest", "timestamp t, eventid s, src_ip s, session s, raw s",
+    f"SELECT DISTINCT {EVE_AT.format(js('timestamp'))} AS timestamp, {js('eventid')} AS eventid, coalesce({js('src_ip')}, '') AS src_ip, coalesce({js('session')}, '') AS session, value AS raw FROM {lines('raw_cowrie')} WHERE {js('eventid')} LIKE 'cowrie.%'",
+)(ingested)
