@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hawkspan.llm.base import register, table
-from hawkspan.llm.chunks import ChunkMemory
+from hawkspan.llm.chunks import ChunkMemory, packed
 
 ENCODED = "doc_id bigint, n_tokens bigint, ids binary, decoded binary"
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -92,7 +92,7 @@ class Codec:
     def _pretokens(self, pieces: list[str]) -> list[bytes]:
         raw = [p.encode() for p in pieces]
         spelled = self.model.encode([r.decode("latin-1").translate(self.spell) for r in raw], num_threads=1)
-        return [np.array([self.whole[r]] if r in self.whole else ids, "<u4").tobytes() for r, ids in zip(raw, spelled, strict=True)]
+        return [packed([self.whole[r]] if r in self.whole else ids) for r, ids in zip(raw, spelled, strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(ids, "<u4") for ids in self.memory.encoded(texts)]

@@ -3,16 +3,19 @@
 Texts are cut at single spaces between two visible characters. The public pattern always ends a match there and begins the next one
 with that space, so each chunk (with its leading space) encodes by itself. Chunks repeat a lot: a distinct one is cut into pre-tokens
 and encoded once, and kept; so are pre-tokens. A text where white space meets a space, or begins or ends the text, is one chunk.
+
+In the memory a chunk goes by what follows its space; the one that begins a text, which has no such space, goes by itself after a space.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Iterable
 
 import regex
 
-AWKWARD = re.compile(r"\s | \s|\A |\s\Z")  # Python's white space is a superset of the pattern's
+BEFORE, AFTER = re.compile(r"[^\S ] "), re.compile(r" [^\S ]")  # Python's white space is a superset of the pattern's
 LONG = 100  # code points beyond which nothing is kept
 WHITE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"  # fixed value: Unicode white space
 
@@ -28,32 +31,42 @@ class ChunkMemory:
 
     def encoded(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        out = []
-        for text in texts:
-            chunks = [text] if AWKWARD.search(text) else _chunks(text)
-            try:
-                out.append(b"".join(map(self.chunks.__getitem__, chunks)))
-            except KeyError:
-                fresh = self._fresh({c for c in chunks if c not in self.chunks})
-                get = self.chunks.__getitem__
-                out.append(b"".join([fresh[c] if c in fresh else get(c) for c in chunks]))
-                if len(self.chunks) > self.limit:
-                    self.chunks.clear()
-                self.chunks.update((c, ids) for c, ids in fresh.items() if len(c) <= LONG)
+        named = [_names(text) for text in texts]
+        used = set().union(*named)
+        fresh = self._fresh(used.difference(self.chunks))
+        if len(self.chunks) + len(fresh) > self.limit:  # what this call needs of the old entries stays
+            self.chunks = {c: self.chunks[c] for c in used.intersection(self.chunks)}
+        self.chunks |= fresh
+        get = self.chunks.__getitem__
+        out = [b"".join(map(get, names)) for names in named]
+        for name in [c for c in fresh if len(c) > LONG]:
+            del self.chunks[name]
         return out
 
-    def _fresh(self, chunks: set[str]) -> dict[str, bytes]:
-        cut = {c: self.cut(c) for c in chunks}
+    def _fresh(self, names: set[str]) -> dict[str, bytes]:
+        cut = {}
+        for name in names:
+            chunk = name[1:] if name[0] == " " else f" {name}"
+            cut[name] = [chunk] if name.isascii() and name.isalpha() else self.cut(chunk)
         missing = list({t for tokens in cut.values() for t in tokens if t not in self.tokens})
         new = dict(zip(missing, self.encode(missing), strict=True)) if missing else {}
-        result = {c: b"".join([new[t] if t in new else self.tokens[t] for t in tokens]) for c, tokens in cut.items()}
-        if len(self.tokens) > self.limit:
-            self.tokens.clear()
-        self.tokens.update((t, ids) for t, ids in new.items() if len(t) <= LONG)
+        known = self.tokens
+        result = {c: b"".join([new[t] if t in new else known[t] for t in tokens]) for c, tokens in cut.items()}
+        if len(known) > self.limit:
+            known.clear()
+        known.update((t, ids) for t, ids in new.items() if len(t) <= LONG)
         return result
 
 
-def _chunks(text: str) -> list[str]:
-    """Pieces that begin with a space, but for the first."""
-    first, *rest = text.split(" ")
-    return [first, *map(" ".__add__, rest)] if rest else [first]
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _names(text: str) -> list[str]:
+    """Names of the text's chunks."""
+    if "  " in text or text[:1] == " " or text[-1:].isspace() or BEFORE.search(text) or AFTER.search(text):
+        return [f" {text}"]
+    names = text.split(" ")
+    names[0] = f" {names[0]}"
+    return names

@@ -16,6 +16,7 @@ repeat are written each, ordered by identifier, then text; an empty table gives
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hawkspan.llm.base import register, table, work_dir
-from hawkspan.llm.chunks import ChunkMemory
+from hawkspan.llm.byte_bpe import byte_characters
+from hawkspan.llm.chunks import ChunkMemory, packed
 from hawkspan.session import stored
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
@@ -159,21 +161,28 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def tokenizer_encoder(vocabulary: str) -> Callable[[], Callable[[list[str]], list[bytes]]]:
-    """Makes, in each task, an encoder by the tokenizers library; the vocabulary's content travels with the task."""
+    """Makes, in each task, an encoder by the tokenizers library; the vocabulary's content travels with the task.
+
+    The vocabulary must be byte-level without a normaliser or a prefix space: the library's model then gets pre-tokens as the public
+    pattern cuts them, spelled one character a byte. Special tokens in a text are ordinary text.
+    """
     with open(vocabulary, encoding="utf-8") as file:
         content = file.read()
+    parts = json.loads(content)
+    cutter = parts["pre_tokenizer"] or {}
+    if parts["normalizer"] or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True):
+        raise ValueError("the vocabulary must be byte-level, without a normaliser and without a prefix space")
 
     def make() -> Callable[[list[str]], list[bytes]]:
         import public_tokenizers
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(content)
-        tokenizer.encode_special_tokens = True
+        model = Tokenizer.from_str(content).model
+        spelling = {b: letter for b, letter in enumerate(byte_characters())}
 
         def encode(pieces: list[str]) -> list[bytes]:
-            return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            spelled = [p.encode().decode("latin-1").translate(spelling) for p in pieces]
+            return [packed([x.id for x in model.tokenize(s)]) for s in spelled]
 
         return ChunkMemory(public_tokenizers.PATTERN, encode).encoded
 
