@@ -18,11 +18,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hawkspan.llm.base import register, table
-from hawkspan.llm.chunks import ChunkMemory, packed
+from hawkspan.llm.chunks import ChunkMemory, kept_in_worker, packed
 
 ENCODED = "doc_id bigint, n_tokens bigint, ids binary, decoded binary"
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -75,7 +76,7 @@ def model_bytes(tokens: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encodes and decodes texts; one per task."""
+    """Encodes and decodes texts; one per Python worker."""
 
     def __init__(self, model: bytes, pattern: str):
         from sentencepiece import SentencePieceProcessor
@@ -105,13 +106,14 @@ def _mapped(docs: DataFrame, vocabulary: str, text: str, identifier: str, schema
     import public_tokenizers
 
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(model_bytes(read_ranks(vocabulary)))  # as large as the vocabulary file
+    content = model_bytes(read_ranks(vocabulary))
+    name, model = f"sentencepiece-{xxhash.xxh3_128_hexdigest(content)}", spark.sparkContext.broadcast(content)  # as large as the vocabulary file
     pattern = public_tokenizers.PATTERN
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or Codec(model.value, pattern)
+            codec = codec or kept_in_worker(name, lambda: Codec(model.value, pattern))
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = [(doc_id, len(ids), *row(codec, ids)) for doc_id, ids in zip(part["doc_id"].to_pylist(), codec.encode(part["text"].to_pylist()), strict=True)]

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+import types
 from collections.abc import Callable, Iterable
 
 import regex
@@ -20,6 +22,18 @@ LONG = 100  # code points beyond which nothing is kept
 WHITE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"  # fixed value: Unicode white space
 
 
+def kept_in_worker(name: str, make: Callable):
+    """What ``make`` gives. A Python worker keeps the last one for its later tasks; a new worker makes its own, so nothing depends on it.
+
+    Functions reach the workers by value, without a module to keep things in: hence one made here.
+    """
+    place = sys.modules.setdefault("hawkspan_worker_memory", types.ModuleType("hawkspan_worker_memory"))
+    if getattr(place, "name", None) != name:
+        place.value = None
+        place.value, place.name = make(), name
+    return place.value
+
+
 class ChunkMemory:
     """Encodes texts chunk by chunk. ``encode`` maps a list of pre-tokens to a list of bytes; ``limit``: entries kept of either kind."""
 

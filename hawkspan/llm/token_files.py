@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from hawkspan.llm.base import register, table, work_dir
 from hawkspan.llm.byte_bpe import byte_characters
-from hawkspan.llm.chunks import ChunkMemory, packed
+from hawkspan.llm.chunks import ChunkMemory, kept_in_worker, packed
 from hawkspan.session import stored
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
@@ -161,7 +161,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def tokenizer_encoder(vocabulary: str) -> Callable[[], Callable[[list[str]], list[bytes]]]:
-    """Makes, in each task, an encoder by the tokenizers library; the vocabulary's content travels with the task.
+    """Makes, once in each Python worker, an encoder by the tokenizers library; the vocabulary's content travels with the task.
 
     The vocabulary must be byte-level without a normaliser or a prefix space: the library's model then gets pre-tokens as the public
     pattern cuts them, spelled one character a byte. Special tokens in a text are ordinary text.
@@ -186,7 +186,8 @@ def tokenizer_encoder(vocabulary: str) -> Callable[[], Callable[[list[str]], lis
 
         return ChunkMemory(public_tokenizers.PATTERN, encode).encoded
 
-    return make
+    name = f"tokenizers-{xxhash.xxh3_128_hexdigest(content)}"
+    return lambda: kept_in_worker(name, make)
 
 
 @register("op10_token_files")
