@@ -160,11 +160,12 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return documents.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokenizer_encoder(vocabulary: str) -> Callable[[], Callable[[list[str]], list[bytes]]]:
+def tokenizer_encoder(vocabulary: str, added_tokens: bool = False) -> Callable[[], Callable[[list[str]], list[bytes]]]:
     """Makes, once in each Python worker, an encoder by the tokenizers library; the vocabulary's content travels with the task.
 
     The vocabulary must be byte-level without a normaliser or a prefix space: the library's model then gets pre-tokens as the public
-    pattern cuts them, spelled one character a byte. Special tokens in a text are ordinary text.
+    pattern cuts them, spelled one character a byte. With ``added_tokens`` the result is the library's own: a text that contains an
+    added token of the vocabulary is encoded whole by the library. Without, such literals are ordinary text.
     """
     with open(vocabulary, encoding="utf-8") as file:
         content = file.read()
@@ -172,21 +173,33 @@ def tokenizer_encoder(vocabulary: str) -> Callable[[], Callable[[list[str]], lis
     cutter = parts["pre_tokenizer"] or {}
     if parts["normalizer"] or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True):
         raise ValueError("the vocabulary must be byte-level, without a normaliser and without a prefix space")
+    literals = [token["content"] for token in parts["added_tokens"]] if added_tokens else []
 
     def make() -> Callable[[list[str]], list[bytes]]:
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_str(content).model
+        tokenizer = Tokenizer.from_str(content)
+        model = tokenizer.model
         spelling = {b: letter for b, letter in enumerate(byte_characters())}
 
         def encode(pieces: list[str]) -> list[bytes]:
             spelled = [p.encode().decode("latin-1").translate(spelling) for p in pieces]
             return [packed([x.id for x in model.tokenize(s)]) for s in spelled]
 
-        return ChunkMemory(public_tokenizers.PATTERN, encode).encoded
+        memory = ChunkMemory(public_tokenizers.PATTERN, encode)
 
-    name = f"tokenizers-{xxhash.xxh3_128_hexdigest(content)}"
+        def encoded(texts: list[str]) -> list[bytes]:
+            whole = [i for i, text in enumerate(texts) if any(literal in text for literal in literals)]
+            if not whole:
+                return memory.encoded(texts)
+            apart = set(whole)
+            rest = iter(memory.encoded([text for i, text in enumerate(texts) if i not in apart]))
+            return [packed(tokenizer.encode(text, add_special_tokens=False).ids) if i in apart else next(rest) for i, text in enumerate(texts)]
+
+        return encoded
+
+    name = f"tokenizers-{xxhash.xxh3_128_hexdigest(content)}-{added_tokens}"
     return lambda: kept_in_worker(name, make)
 
 
@@ -195,5 +208,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = work_dir(spark, "token-shards")
-    manifest = write_shards(table(spark, sf_dir, "documents"), folder, tokenizer_encoder(public_tokenizers.path("byte_bpe_50k.json")))
-    return read_shards(manifest)
+    encoder = tokenizer_encoder(public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
+    return read_shards(write_shards(table(spark, sf_dir, "documents"), folder, encoder))

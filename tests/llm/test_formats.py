@@ -55,6 +55,22 @@ def test_token_shards_round_trip_and_single_documents(spark, tmp_path):
     assert token_files.read_shards(token_files.write_shards(docs.limit(0), str(tmp_path / "none"), token_files.tokenizer_encoder(path))).count() == 0
 
 
+def test_token_files_equal_the_unchanged_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    literals = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n", "<|endoftext|", "<|ENDOFTEXT|> z"]
+    rows = list(enumerate([*TEXTS, *literals, "after"]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in token_files.op10(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    start = 0
+    for doc_id, text in rows:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (got[doc_id].start, got[doc_id].n_tokens, got[doc_id].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes())), doc_id
+        start += len(ids)
+
+
 def test_chunked_framing():
     for body in (b"", b"x", b"y" * 20_000):
         assert warc.unchunked(warc.chunked(body, 7)) == body
