@@ -198,10 +198,10 @@ def _signature_rows(rows: DataFrame, levels: np.ndarray, words: int, percent: in
 
 def _whole_sets(rows: DataFrame, involved: DataFrame, words: int) -> DataFrame:
     """(set_id, tokens) of the involved sets. A bitmap of a fixed number of slots tells tasks which documents to look at; a join makes it exact."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SLOT_BITS))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SLOT_BITS)) + 1  # from 1: Spark puts slot 0 in a bucket of its own
     marked = involved.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     size = 32768 // 8
-    bits = bytearray((1 << SLOT_BITS) // 8 + size)
+    bits = bytearray((1 << SLOT_BITS) // 8)
     for row in marked.toLocalIterator():
         bits[(row.bucket - 1) * size : row.bucket * size] = row.bits
     shared = rows.sparkSession.sparkContext.broadcast(bytes(bits))

@@ -76,6 +76,15 @@ def test_join_equals_brute_force(written, monkeypatch, words, percent, few, freq
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def test_join_of_a_document_in_the_first_slot(written):
+    base = [f"w{i}" for i in range(80)]
+    first = 25317696  # pmod(xxhash64(doc_id), 2^23) = 0
+    docs = written([(first, " ".join(base), "k", "d", "s"), (first + 1, " ".join([*base, "more"]), "k", "d", "s"), (first + 2, "apart", "k", "d", "s")], SCHEMA)
+    assert docs.selectExpr("pmod(xxhash64(doc_id), 8388608) AS slot").where("slot = 0").count() == 1
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs).collect()}
+    assert got == {first: first, first + 1: first, first + 2: first + 2}
+
+
 def test_linked_sets_always_share_a_signature():
     rng = np.random.default_rng(1)
     for percent in (60, 80, 85, 95):
