@@ -153,3 +153,21 @@ def test_secrets_keep_base_findings_and_add_like_ones(spark):
     assert [len([s for s in got[i] if s.order < 3]) for i in range(120, 128)] == [0, 0, 1, 1, 1, 0, 0, 1]
     assert sum(any(s.order == 3 for s in got[i]) for i in range(60, 120)) <= 6
     assert secrets.train(docs.limit(0)) is None
+
+
+def test_secrets_read_long_candidates_to_their_end(spark, monkeypatch):
+    net = secrets.Network([np.zeros_like(w) for w in secrets.Network.fresh().weights])
+    net.weights[0][ord("Z"), 0] = net.weights[1][0, 0] = 1  # sees a Z and nothing else
+    net.weights[3][0], net.weights[4][0] = 10, -5
+    plain = "part-0f-path/" * 9
+    candidates = [plain, *(f"{plain[:at]}Z{plain[at + 1 :]}" for at in (0, 47, 48, 60, 90, len(plain) - 1)), "Z" + "a1" * 9, "b" + "a1" * 9]
+    docs = spark.createDataFrame([(i, f"see {c} there") for i, c in enumerate(candidates)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secrets.find_secrets(docs, net).collect()}
+    assert got == {i: [(4, 4 + len(c))] if "Z" in c else [] for i, c in enumerate(candidates)}
+    monkeypatch.setattr(secrets, "HELD", 3)
+    assert {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secrets.find_secrets(docs, net).collect()} == got
+    monkeypatch.setattr(secrets, "fit", lambda positives, negatives: negatives)
+    learned = secrets.train(docs)
+    inside = [bytes(w[secrets.BEFORE : secrets.BEFORE + secrets.INSIDE]).decode() for w in learned]
+    for c in candidates:
+        assert all(any(c[i : i + 24] in x for x in inside) for i in range(len(c) - 23)), c
