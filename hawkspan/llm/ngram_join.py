@@ -117,11 +117,11 @@ def signatures(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarr
 
 
 def _texts(docs: DataFrame, text: str, identifier: str) -> DataFrame:
-    return docs.select(docs[identifier].cast("bigint").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    return docs.select(docs[identifier].cast("bigint").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
 
 
 def _profile(rows: DataFrame, words: int) -> DataFrame:
-    """Per document: doc_id, set_id, n; and per task: counts of bins, by chunk."""
+    """Per document: doc_id, text_key, set_id, n; and per task: counts of bins, by chunk."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = np.zeros(1 << BIN_BITS, np.uint16)
@@ -136,13 +136,13 @@ def _profile(rows: DataFrame, words: int) -> DataFrame:
                 sizes.append(len(tokens))
                 sketches.append(sketch(tokens))
             none = pa.nulls(len(ids))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "set_id", "n", "sketch", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary()), batch["text_key"]], ["doc_id", "set_id", "n", "sketch", "chunk", "counts", "text_key"])
         pack = zstandard.ZstdCompressor(level=1).compress
         for chunk, part in enumerate(bins.reshape(CHUNKS, -1)):
             if part.any():
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "set_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "sketch": pa.nulls(1, pa.binary()), "chunk": pa.array([chunk], pa.int32()), "counts": pa.array([pack(part.tobytes())], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "set_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "sketch": pa.nulls(1, pa.binary()), "chunk": pa.array([chunk], pa.int32()), "counts": pa.array([pack(part.tobytes())], pa.binary()), "text_key": pa.nulls(1, pa.int64())})
 
-    return stored(rows.mapInArrow(count, "doc_id bigint, set_id bigint, n bigint, sketch binary, chunk int, counts binary"), "join-profile")
+    return stored(rows.mapInArrow(count, "doc_id bigint, set_id bigint, n bigint, sketch binary, chunk int, counts binary, text_key bigint"), "join-profile")
 
 
 def _bin_levels(profile: DataFrame) -> np.ndarray:
@@ -343,12 +343,13 @@ def _units(hits: DataFrame) -> DataFrame:
     return one.unionByName(hits.join(rest, "sig").select(F.col("sig").alias("unit"), "set_id", "component", "size"))
 
 
-def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, text: str = "text", identifier: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles and component_id of every document: the smallest doc_id reachable over links of ``percent`` and more."""
+def _told(docs: DataFrame, words: int, percent: int, text: str, identifier: str) -> DataFrame:
+    """doc_id, text_key, n of every document; component_id and component_key are those of the first document of its component."""
     rows = _texts(docs, text, identifier)
     profile = _profile(rows, words)
-    documents = profile.where("chunk IS NULL").select("doc_id", "set_id", "n")
-    sets_of = stored(documents.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "join-sets-of")
+    documents = profile.where("chunk IS NULL").select("doc_id", "text_key", "set_id", "n")
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    sets_of = stored(documents.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(first, F.first("n").alias("n")).select("set_id", "first.*", "n"), "join-sets-of")
 
     signed = _signature_rows(rows.where("doc_id IS NOT NULL"), _bin_levels(profile), words, percent)
     repeated = stored(signed.groupBy("sig").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("sig", "low"), "join-repeated")
@@ -383,17 +384,28 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, text: str = "
 
     final = components(links.unionByName(links2).unionByName(links3)).withColumnsRenamed({"node": "set_id"})
     named = sets_of.join(final, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_set = stored(named.join(smallest, "component").select("set_id", "component_id"), "join-components")
-    told = documents.join(of_set, "set_id", "left")
+    smallest = named.groupBy("component").agg(first).select("component", F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("component_key"))
+    of_set = stored(named.join(smallest, "component").select("set_id", "component_id", "component_key"), "join-components")
+    return documents.join(of_set, "set_id", "left")
+
+
+def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, text: str = "text", identifier: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles and component_id of every document: the smallest doc_id reachable over links of ``percent`` and more."""
+    told = _told(docs, words, percent, text, identifier)
     alone = F.coalesce("component_id", "doc_id")
     return told.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, alone).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, identifier: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each component does, the one with the smallest identifier."""
-    lost = ngram_join(docs, words, percent, identifier=identifier, **options).where("component_id < doc_id").select(F.col("doc_id").alias("lost_id")).distinct()
-    return docs.join(lost, docs[identifier] == lost["lost_id"], "left_anti")
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", identifier: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component does, the one with the smallest identifier.
+
+    A document is an identifier and a text (told apart by its hash), so texts that share an identifier are decided each by itself; of
+    several with the smallest identifier the smallest hash stays. Rows that repeat both stay or go together.
+    """
+    told = _told(docs, words, percent, text, identifier)
+    lost = told.where("n > 0 AND (doc_id <> component_id OR text_key <> component_key)").select(F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key")).distinct()
+    mine = (docs[identifier].cast("bigint") == lost["lost_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == lost["lost_key"])
+    return docs.join(lost, mine, "left_anti")
 
 
 @register("op3_ngram_join")

@@ -85,6 +85,14 @@ def test_join_of_a_document_in_the_first_slot(written):
     assert got == {first: first, first + 1: first, first + 2: first + 2}
 
 
+def test_keep_one_decides_texts_of_one_identifier_apart(written):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b + " more"), (5, c), (5, c + " more"), (6, None), (7, ""), (None, a)]
+    got = [(r.doc_id, r.text) for r in ngram_join.keep_one(written([(d, t, "k", "d", "s") for d, t in rows], SCHEMA)).collect()]
+    assert sum(d == 5 for d, _ in got) == 1
+    assert {x for x in got if x[0] != 5} == {(1, a), (2, b), (6, None), (7, ""), (None, a)} and len(got) == 6
+
+
 def test_linked_sets_always_share_a_signature():
     rng = np.random.default_rng(1)
     for percent in (60, 80, 85, 95):
