@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from hawkspan.llm import ann, byte_bpe, exact_dedup, language_id, mixing, ngram_join, pii, secrets, token_files, warc  # noqa: F401
+from hawkspan.llm import ann, byte_bpe, exact_dedup, fill_middle, language_id, mixing, ngram_join, phrases, pii, secrets, token_files, variants, warc  # noqa: F401
 from hawkspan.llm.base import REGISTRY
 
 
