@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def utc_datetime(value: str | datetime) -> datetime:
+    """A point in time as a datetime in UTC without an offset; one without an offset is taken as UTC."""
+    parsed = datetime.fromisoformat(value) if isinstance(value, str) else value
+    return parsed.astimezone(UTC).replace(tzinfo=None) if parsed.tzinfo else parsed
+
+
 def instant(value: str | datetime | Column) -> Column:
     """A point in time given as text, datetime or column."""
     if isinstance(value, Column):
         return value
-    return F.lit(value if isinstance(value, str) else value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
+    return F.lit(value if isinstance(value, str) else utc_datetime(value).strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
 
 
 def plus_seconds(ts: Column, seconds: float | Column) -> Column:

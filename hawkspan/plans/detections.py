@@ -1,27 +1,27 @@
 """The nine behaviour detections.
 
 Each plan reduces the event rows with map-side aggregation first, judges thresholds on the small aggregate, and only
-then fetches the samples its findings show.
+then fetches the samples its findings show. A plan gets its rows and first groups from a scope, which stands for one window or for
+many; with many, ``window_end`` leads the keys of every later step.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hawkspan.functions.net import LOCAL_NETWORKS, in_networks
 from hawkspan.functions.text import char_entropy, number_text, present, readable_size, registered_domain, subdomain_text
-from hawkspan.functions.times import bucket_start, instant, plus_seconds, time_slice
-from hawkspan.operators.allowlist import active_entries, without_excepted_addresses, without_excepted_connections, without_excepted_names
-from hawkspan.operators.medians import attach, by_kind, grouped_median, measure_table
-from hawkspan.operators.samples import any_text, smallest_distinct
+from hawkspan.functions.times import bucket_start, instant, plus_seconds, time_slice, utc_datetime
+from hawkspan.operators.allowlist import active_entries, without_excepted_addresses, without_excepted_names
+from hawkspan.operators.medians import attach, by_kind, frequent, grouped_median, measure_table, sliding_measure_table
+from hawkspan.operators.samples import smallest_distinct
+from hawkspan.operators.windows import OneWindow, hour_of
 from hawkspan.plans.registry import COMMON_COLUMNS, detection
 from hawkspan.session import stored
 
 PAIR = ["src", "dst", "dst_port"]
-HOUR = 3600.0
+HOUR = 3600
 
 
 def _is_outbound() -> Column:
@@ -41,20 +41,20 @@ SUSPICIOUS_PORTS = (4444, 4445, 1337, 31337, 6666, 6667, 8081, 9001, 9002, 50050
 FAILED_STATES = ("S0", "REJ", "RSTO", "RSTR", "RSTOS0", "SH", "OTH")
 
 
-def _finding(detection_id: str, severity: Column, score: Column, summary: Column, dst_port: Column | None = None) -> list[Column]:
+def _finding(scope, detection_id: str, severity: Column, score: Column, summary: Column, dst_port: Column | None = None) -> list[Column]:
     values = {
         "detection_id": F.lit(detection_id), "severity": severity, "score": score, "summary": summary,
         "dst_port": F.col("dst_port") if dst_port is None else dst_port,
     }
-    return [values.get(c, F.col(c)).alias(c) for c in COMMON_COLUMNS]
+    return [*map(F.col, scope.keys), *(values.get(c, F.col(c)).alias(c) for c in COMMON_COLUMNS)]
 
 
 def _level(condition: Column, yes: str = "high", no: str = "medium") -> Column:
     return F.when(condition, yes).otherwise(no)
 
 
-def _outbound(tables, start, end, exclude: tuple, ts_from=None) -> DataFrame:
-    rows = time_slice(tables["conn"], ts_from if ts_from is not None else start, end).where(_is_outbound())
+def _outbound(tables, scope, exclude: tuple, before: float = 0.0) -> DataFrame:
+    rows = scope.rows(tables["conn"], before).where(_is_outbound())
     return rows.where(~F.col("id_resp_h").isin(*exclude)) if exclude else rows
 
 
@@ -62,26 +62,41 @@ def _entries(tables, detection_id: str, as_of, p) -> DataFrame | None:
     return active_entries(tables["allowlist"], detection_id, as_of) if p.use_allowlist else None
 
 
-def _named_connections(rows: DataFrame, tables, start, end, entries, lookback_seconds: float = HOUR) -> DataFrame:
+def _named_connections(rows: DataFrame, tables, scope, entries, before: int = HOUR) -> DataFrame:
     """Connections minus those with an excepted server name; address exceptions are judged later, on the groups."""
-    if entries is None:
-        return rows
-    return without_excepted_connections(rows, time_slice(tables["ssl"], plus_seconds(instant(start), -lookback_seconds), end), entries)
+    return rows if entries is None else scope.without_excepted(rows, tables["ssl"], entries, before)
 
 
 def _judged(groups: DataFrame, entries, name: str | None = None) -> DataFrame:
+    """Groups without the excepted ones. The tests look at distinct addresses and names, so the groups are written once and read again."""
     if entries is None:
         return groups
-    if name is None:
-        return without_excepted_addresses(groups, "dst", entries)
-    # The name test reads the groups twice; they are few by now, so they are written once instead of computed twice.
-    return without_excepted_names(without_excepted_addresses(stored(groups, "groups"), "dst", entries), name, entries)
+    kept = without_excepted_addresses(stored(groups, "groups"), "dst", entries)
+    return kept if name is None else without_excepted_names(kept, name, entries)
+
+
+def _text(column: str) -> tuple[str, Column]:
+    """The measure behind "any non-empty value": the smallest one."""
+    return "min", F.when(F.col(column) != "", F.col(column))
+
+
+def _times() -> dict[str, tuple[str, Column]]:
+    return {"first_seen": ("min", F.col("ts")), "last_seen": ("max", F.col("ts"))}
+
+
+def _number(condition: Column) -> tuple[str, Column]:
+    return "sum", F.when(condition, 1).otherwise(0)
 
 
 def _endpoints(*extra: str | Column) -> list:
     return [F.col("id_orig_h").alias("src"), F.col("id_resp_h").alias("dst"), F.col("id_resp_p").alias("dst_port"), *extra]
 
 
+def _left_out(rows: DataFrame) -> list[str]:
+    """The column by which many windows tell where an excepted connection is left out."""
+    return ["left_out"] if "left_out" in rows.columns else []
+
+
 def _local_to_remote(rows: DataFrame, networks: tuple) -> DataFrame:
     return rows.where(in_networks("id_orig_h", networks) & ~in_networks("id_resp_h", networks))
 
@@ -90,16 +105,19 @@ def _local_to_remote(rows: DataFrame, networks: tuple) -> DataFrame:
     "DET-101", "Beaconing", ("T1071.001",), ("conn", "ssl", "allowlist"),
     min_conns=20, target_conns=50, min_median_interval_s=5.0, min_score=0.8, exclude_dst=(), use_allowlist=1,
 )
-def beaconing(tables, start, end, as_of, p) -> DataFrame:
+def beaconing(tables, scope, as_of, p) -> DataFrame:
     """Regular check-ins: how constant the gaps and sizes of a pair's connections are."""
-    keys = [*PAIR, "proto"]
+    pair = [*PAIR, "proto"]
+    keys = [*scope.keys, *pair]
     entries = _entries(tables, "DET-101", as_of, p)
-    rows = _named_connections(_outbound(tables, start, end, p.exclude_dst), tables, start, end, entries)
-    events = (
-        rows.select(*_endpoints("proto", F.unix_micros("ts").alias("at"), F.col("orig_bytes").cast("long").alias("size")))
-        .groupBy(*keys, "at", "size").agg(F.count("*").alias("n"))
-    )
-    measures = measure_table(events, keys, "at", "n", "size")
+    rows = _outbound(tables, scope, p.exclude_dst).select(*_endpoints("proto", "ts", "uid", F.col("orig_bytes").cast("long").alias("size")))
+    # Counting comes first: a pair that no window has often enough never reaches the gaps, nor the look-up of its names.
+    often = scope.grouped(rows, pair, {"conns": ("sum", F.lit(1))}).where(F.col("conns") >= p.min_conns)
+    rows = _named_connections(frequent(rows, often, pair), tables, scope, entries).withColumn("at", F.unix_micros("ts"))
+    if scope.keys:
+        measures = sliding_measure_table(rows, pair, "at", "size", scope)
+    else:
+        measures = measure_table(rows.groupBy(*pair, "at", "size").agg(F.count("*").alias("n")), pair, "at", "n", "size")
     values = measures.where(F.col("kind").isin("gap", "size"))
     # A pair below the minimum has too few values and drops out as soon as its total is known.
     middles = grouped_median(values, [*keys, "kind"], "value", min_count=max(p.min_conns - 1, 1), alias="mid")
@@ -129,31 +147,32 @@ def beaconing(tables, start, end, as_of, p) -> DataFrame:
         F.lit(" connections, median interval "), number_text(F.col("mid_s"), 1), F.lit("s (MAD "), number_text(F.col("mad_s"), 1), F.lit("s)"),
     )
     return scored.where(F.col("raw") >= p.min_score).select(
-        *_finding("DET-101", _level(F.col("raw") >= 0.9), F.bround("raw", 3), text), "proto", "conns",
+        *_finding(scope, "DET-101", _level(F.col("raw") >= 0.9), F.bround("raw", 3), text), "proto", "conns",
         F.bround("mid_s", 2).alias("median_interval_sec"), F.bround("mad_s", 2).alias("mad_interval_sec"), F.bround("cv", 3).alias("interval_cv"),
         F.bround("timing", 3).alias("ts_score"), F.bround("steadiness", 3).alias("cv_score"), F.bround("sizing", 3).alias("size_score"),
         F.bround("volume", 3).alias("count_score"),
-    ).orderBy(F.desc("score"), *PAIR, "proto")
+    ).orderBy(*scope.keys, F.desc("score"), *PAIR, "proto")
 
 
 @detection(
     "DET-102", "Long connections", ("T1071",), ("conn", "ssl", "allowlist"),
     min_duration_s=3600.0, lookback_hours=72, exclude_dst=(), use_allowlist=1,
 )
-def long_connections(tables, start, end, as_of, p) -> DataFrame:
+def long_connections(tables, scope, as_of, p) -> DataFrame:
     """Outbound sessions held open for long that overlap the window."""
     lookback = p.lookback_hours * HOUR
-    since = plus_seconds(instant(start), -lookback)
-    ends = F.timestamp_micros(F.unix_micros("ts") + (F.col("duration") * 1000000).cast("long"))
-    rows = _outbound(tables, start, end, p.exclude_dst, ts_from=since).where((F.col("duration") >= p.min_duration_s) & (ends >= instant(start)))
+    ended = F.timestamp_micros(F.unix_micros("ts") + (F.col("duration") * 1000000).cast("long"))
+    rows = _outbound(tables, scope, p.exclude_dst, lookback).where(F.col("duration") >= p.min_duration_s).withColumn("ended", ended)
     entries = _entries(tables, "DET-102", as_of, p)
-    rows = _named_connections(rows, tables, start, end, entries, lookback)
-    keys = [*PAIR, "proto"]
+    rows = _named_connections(rows, tables, scope, entries, lookback)
+    keys = [*scope.keys, *PAIR, "proto"]
     # The service is part of the first grouping, so the list of services is built from a handful of rows per pair.
-    by_service = rows.select(*_endpoints("proto", "service", "ts", "duration", ends.alias("ended"), "orig_bytes", "resp_bytes")).groupBy(*keys, "service").agg(
-        F.min("ts").alias("first_seen"), F.max("ended").alias("last_seen"), F.max("duration").alias("longest"), F.sum("duration").alias("total"),
-        F.count("*").alias("sessions"), F.sum("orig_bytes").alias("orig_bytes"), F.sum("resp_bytes").alias("resp_bytes"),
-    )
+    measures = {
+        "first_seen": ("min", F.col("ts")), "last_seen": ("max", F.col("ended")), "longest": ("max", F.col("duration")), "total": ("sum", F.col("duration")),
+        "sessions": ("sum", F.lit(1)), "orig_bytes": ("sum", F.col("orig_bytes")), "resp_bytes": ("sum", F.col("resp_bytes")),
+    }
+    held = rows.select(*_endpoints("proto", "service", "ts", "duration", "ended", "orig_bytes", "resp_bytes", *_left_out(rows)))
+    by_service = scope.grouped(held, [*PAIR, "proto", "service"], measures, until="ended", before=lookback)
     pairs = by_service.groupBy(*keys).agg(
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("longest").alias("longest"), F.sum("total").alias("total"),
         F.sum("sessions").alias("sessions"), F.sum("orig_bytes").alias("orig_bytes"), F.sum("resp_bytes").alias("resp_bytes"),
@@ -165,49 +184,64 @@ def long_connections(tables, start, end, as_of, p) -> DataFrame:
     )
     score = F.bround(F.least(F.lit(1.0), F.col("longest") / (4 * p.min_duration_s)), 3)
     return _judged(pairs, entries).select(
-        *_finding("DET-102", _level(F.col("longest") >= 4 * p.min_duration_s), score, text), "proto", "services", "sessions",
+        *_finding(scope, "DET-102", _level(F.col("longest") >= 4 * p.min_duration_s), score, text), "proto", "services", "sessions",
         F.bround("longest").alias("max_duration_sec"), F.bround("total").alias("total_duration_sec"), "orig_bytes", "resp_bytes",
-    ).orderBy(F.desc("max_duration_sec"), *PAIR, "proto")
+    ).orderBy(*scope.keys, F.desc("max_duration_sec"), *PAIR, "proto")
 
 
-def _seconds(moment) -> float | None:
-    """Epoch seconds of a bound given as text or datetime; None for a column."""
-    if isinstance(moment, Column):
-        return None
-    parsed = datetime.fromisoformat(moment) if isinstance(moment, str) else moment
-    return (parsed.replace(tzinfo=None) - datetime(1970, 1, 1)) / timedelta(seconds=1)
+def _rare_in_one_window(ssl: DataFrame, scope: OneWindow, p) -> tuple[DataFrame, bool]:
+    """TLS rows of the window with a rare fingerprint, and whether ``max_seen`` bounds the rows of a fingerprint."""
+    baseline = time_slice(ssl, plus_seconds(instant(scope.end), -p.baseline_hours * HOUR), scope.end)
+    known = not isinstance(scope.start, Column) and not isinstance(scope.end, Column)
+    if known and (utc_datetime(scope.end) - utc_datetime(scope.start)).total_seconds() <= p.baseline_hours * HOUR:
+        # The window lies within the baseline. A fingerprint counts as rare only with at most max_seen rows, so one row
+        # more per fingerprint is enough to tell; the rank limit drops the rest of a common one before the shuffle.
+        per_mark = Window.partitionBy("ja4")
+        few = baseline.withColumn("place", F.row_number().over(per_mark.orderBy("ts", "uid"))).where(F.col("place") <= p.max_seen + 1)
+        rare = few.withColumn("seen", F.count("*").over(per_mark)).withColumn("hosts", F.size(F.collect_set("id_orig_h").over(per_mark)))
+        return rare.where((F.col("seen") <= p.max_seen) & (F.col("hosts") <= p.max_hosts) & (F.col("ts") >= scope.opens)), True
+    spread = baseline.groupBy("ja4").agg(F.count("*").alias("seen"), F.countDistinct("id_orig_h").cast("int").alias("hosts"))
+    rare = spread.where((F.col("seen") <= p.max_seen) & (F.col("hosts") <= p.max_hosts))
+    return scope.rows(ssl).join(rare, "ja4"), False
+
+
+def _rare_in_each_window(ssl: DataFrame, scope, p) -> tuple[DataFrame, bool]:
+    """The same for every window. Of an hour ``max_seen + 1`` rows of a fingerprint are enough, so a common one shrinks to a few rows an hour."""
+    span = p.baseline_hours
+    if span < scope.hours:
+        raise ValueError("DET-103: for hourly windows the baseline must be as long as a window at least")
+    baseline = scope.rows(ssl, (span - scope.hours) * HOUR).withColumn("pane", hour_of("ts"))
+    few = baseline.withColumn("place", F.row_number().over(Window.partitionBy("ja4", "pane").orderBy("ts", "uid"))).where(F.col("place") <= p.max_seen + 1)
+    few = stored(few.drop("place").withColumn("era", F.floor(F.col("pane") / span)), "few-tls")
+    panes = few.groupBy("ja4", "pane").agg(F.count("*").alias("seen"))
+    asked = panes.select("ja4", F.explode(scope.ends_of("pane", "pane")).alias("end_no")).distinct()
+    rare = scope.trailing_sums(panes, ["ja4"], "seen", asked, span).where(F.col("total") <= p.max_seen)
+    # A baseline touches at most two eras of its own length, by which its rows are found.
+    eras = F.array_distinct(F.array(F.floor((F.col("end_no") - span) / span), F.floor((F.col("end_no") - 1) / span)))
+    rare = rare.select("ja4", F.col("total").alias("seen"), "end_no", F.explode(eras).alias("era"))
+    rows = few.join(rare, ["ja4", "era"]).where(F.col("pane").between(F.col("end_no") - span, F.col("end_no") - 1))
+    marked = rows.withColumn("hosts", F.size(F.collect_set("id_orig_h").over(Window.partitionBy("ja4", "end_no"))))
+    marked = marked.where((F.col("hosts") <= p.max_hosts) & (F.col("pane") >= F.col("end_no") - scope.hours))
+    return marked.withColumn("window_end", F.timestamp_seconds(F.col("end_no") * HOUR)), True
 
 
 @detection(
     "DET-103", "Rare TLS client fingerprint", ("T1071.001", "T1573.002"), ("ssl", "allowlist"),
     baseline_hours=168, max_seen=3, max_hosts=1, local_nets=LOCAL_NETWORKS, use_allowlist=1,
 )
-def rare_tls_fingerprint(tables, start, end, as_of, p) -> DataFrame:
+def rare_tls_fingerprint(tables, scope, as_of, p) -> DataFrame:
     """Client fingerprints hardly seen anywhere in the baseline that ends with the window."""
-    since = plus_seconds(instant(end), -p.baseline_hours * HOUR)
-    baseline = time_slice(tables["ssl"], since, end).where(F.col("ja4") != "")
-    begin, finish = _seconds(start), _seconds(end)
-    inside = begin is not None and finish is not None and begin >= finish - p.baseline_hours * HOUR
-    if inside:
-        # The window lies within the baseline. A fingerprint counts as rare only with at most max_seen rows, so one row
-        # more per fingerprint is enough to tell; the rank limit drops the rest of a common one before the shuffle.
-        per_mark = Window.partitionBy("ja4")
-        few = baseline.withColumn("place", F.row_number().over(per_mark.orderBy("ts", "uid"))).where(F.col("place") <= p.max_seen + 1)
-        rare = few.withColumn("seen", F.count("*").over(per_mark)).withColumn("hosts", F.size(F.collect_set("id_orig_h").over(per_mark)))
-        rows = rare.where((F.col("seen") <= p.max_seen) & (F.col("hosts") <= p.max_hosts) & (F.col("ts") >= instant(start)))
-    else:
-        spread = baseline.groupBy("ja4").agg(F.count("*").alias("seen"), F.countDistinct("id_orig_h").cast("int").alias("hosts"))
-        rare = spread.where((F.col("seen") <= p.max_seen) & (F.col("hosts") <= p.max_hosts))
-        rows = time_slice(tables["ssl"], start, end).where(F.col("ja4") != "").join(rare, "ja4")
-    keys = [*PAIR, "ja4"]
-    flat = _local_to_remote(rows, p.local_nets).select(*_endpoints("ja4", "ja3", "server_name", "ts", "seen", "hosts"))
+    marked = tables["ssl"].where(F.col("ja4") != "")
+    rows, few = (_rare_in_each_window if scope.keys else _rare_in_one_window)(marked, scope, p)
+    keys = [*scope.keys, *PAIR, "ja4"]
+    flat = _local_to_remote(rows, p.local_nets).select(*_endpoints("ja4", "ja3", "server_name", "ts", "seen", "hosts", *scope.keys))
     flat = _judged(flat, _entries(tables, "DET-103", as_of, p), "server_name")
     target = F.when(F.col("server_name") == "", F.col("dst")).otherwise(F.col("server_name"))
     totals = [
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("seen").alias("seen"), F.max("hosts").alias("hosts"),
         F.min("ja3").alias("ja3"), F.count("*").alias("sessions"),
     ]
-    if inside:
+    if few:
         # At most max_seen rows per fingerprint are left, which bounds the sets.
         sets = [F.slice(F.array_sort(F.collect_set(c)), 1, n).alias(a) for c, n, a in ((F.col("server_name"), 5, "server_names"), (target, 3, "shown"))]
         groups = flat.groupBy(*keys).agg(*totals, *sets)
@@ -218,23 +252,24 @@ def rare_tls_fingerprint(tables, start, end, as_of, p) -> DataFrame:
         "src", F.lit(" connected to "), F.array_join("shown", ","), F.lit(" with JA4 "), "ja4", F.lit(" (seen "), F.col("seen").cast("string"), F.lit("x in baseline)")
     )
     return groups.select(
-        *_finding("DET-103", _level(F.col("seen") == 1, "medium", "low"), F.bround(1 - (F.col("seen") - 1) / p.max_seen, 3), text),
+        *_finding(scope, "DET-103", _level(F.col("seen") == 1, "medium", "low"), F.bround(1 - (F.col("seen") - 1) / p.max_seen, 3), text),
         "ja4", "ja3", "server_names", "sessions", F.col("seen").alias("seen_in_baseline"), F.col("hosts").alias("hosts_in_baseline"),
-    ).orderBy(F.desc("score"), "first_seen", *keys)
+    ).orderBy(*scope.keys, F.desc("score"), "first_seen", *keys)
 
 
 @detection("DET-104", "Suspicious server certificate", ("T1573.002", "T1587.003"), ("ssl", "allowlist"), local_nets=LOCAL_NETWORKS, use_allowlist=1)
-def suspicious_certificate(tables, start, end, as_of, p) -> DataFrame:
+def suspicious_certificate(tables, scope, as_of, p) -> DataFrame:
     """Certificate problems of outbound TLS sessions, one reason per problem."""
-    rows = _local_to_remote(time_slice(tables["ssl"], start, end), p.local_nets)
+    rows = _local_to_remote(scope.rows(tables["ssl"]), p.local_nets)
     status = F.col("validation_status")
     mismatch = (F.size("cert_chain_fps") > 0) & (F.col("server_name") != "") & ~F.col("sni_matches_cert")
-    groups = rows.select(*_endpoints("server_name", "subject", "issuer", "validation_status", "cert_chain_fps", "sni_matches_cert", "ts")).groupBy(*PAIR, "server_name").agg(
-        any_text(F.col("subject")).alias("cert_subject"), any_text(F.col("issuer")).alias("cert_issuer"), any_text(status).alias("cert_validation"),
-        F.max(status.rlike("(?i)self[- ]signed certificate")).alias("is_self_signed"), F.max(mismatch).alias("is_mismatch"),
-        F.max(status.rlike("(?i)unable to get local issuer|certificate has expired|not yet valid")).alias("is_untrusted"),
-        F.count("*").alias("sessions"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-    )
+    sessions = rows.select(*_endpoints("server_name", "subject", "issuer", "validation_status", "cert_chain_fps", "sni_matches_cert", "ts"))
+    texts = {"cert_subject": "subject", "cert_issuer": "issuer", "cert_validation": "validation_status"}
+    groups = scope.grouped(sessions, [*PAIR, "server_name"], {
+        **{name: _text(column) for name, column in texts.items()}, **_times(), "sessions": ("sum", F.lit(1)),
+        "is_self_signed": ("max", status.rlike("(?i)self[- ]signed certificate")), "is_mismatch": ("max", mismatch),
+        "is_untrusted": ("max", status.rlike("(?i)unable to get local issuer|certificate has expired|not yet valid")),
+    }).withColumns({name: F.coalesce(F.col(name), F.lit("")) for name in texts})
     faulty = groups.where(F.col("is_self_signed") | F.col("is_mismatch") | F.col("is_untrusted"))
     judged = _judged(faulty, _entries(tables, "DET-104", as_of, p), "server_name").withColumn(
         "reasons",
@@ -246,26 +281,25 @@ def suspicious_certificate(tables, start, end, as_of, p) -> DataFrame:
         F.lit(" ("), "cert_validation", F.lit(")"),
     )
     return judged.select(
-        *_finding("DET-104", _level(F.col("is_self_signed") & F.col("is_mismatch")), F.bround(F.size("reasons") / 3, 3), text),
+        *_finding(scope, "DET-104", _level(F.col("is_self_signed") & F.col("is_mismatch")), F.bround(F.size("reasons") / 3, 3), text),
         "server_name", "cert_subject", "cert_issuer", "cert_validation", "reasons", "sessions",
-    ).orderBy(F.desc("score"), "first_seen", *PAIR, "server_name")
+    ).orderBy(*scope.keys, F.desc("score"), "first_seen", *PAIR, "server_name")
 
 
 @detection(
     "DET-105", "DNS tunneling", ("T1071.004", "T1048"), ("dns",),
     min_queries=50, min_unique_subdomains=30, min_avg_sub_len=20.0, min_avg_entropy=3.5, exclude_domains=(),
 )
-def dns_tunneling(tables, start, end, as_of, p) -> DataFrame:
+def dns_tunneling(tables, scope, as_of, p) -> DataFrame:
     """Long, random, ever-changing subdomains under one registered domain."""
-    rows = time_slice(tables["dns"], start, end).where(F.col("query") != "")
+    rows = scope.rows(tables["dns"]).where(F.col("query") != "").select(F.col("id_orig_h").alias("src"), "query", "qtype_name", "id_resp_h", "ts")
     # Equal queries collapse before any per-character work.
-    names = rows.groupBy(F.col("id_orig_h").alias("src"), "query", "qtype_name").agg(
-        F.count("*").alias("n"), F.min("id_resp_h").alias("resolver"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")
-    ).withColumn("base_domain", registered_domain("query")).withColumn("sub", subdomain_text("query", "base_domain"))
+    names = scope.grouped(rows, ["src", "query", "qtype_name"], {"n": ("sum", F.lit(1)), "resolver": ("min", F.col("id_resp_h")), **_times()})
+    names = names.withColumn("base_domain", registered_domain("query")).withColumn("sub", subdomain_text("query", "base_domain"))
     names = names.where((F.col("base_domain") != "") & (F.col("sub") != ""))
     if p.exclude_domains:
         names = names.where(~F.col("base_domain").isin(*p.exclude_domains))
-    keys = ["src", "base_domain"]
+    keys = [*scope.keys, "src", "base_domain"]
     subs = names.groupBy(*keys, "sub").agg(
         F.sum("n").alias("n"), F.min("resolver").alias("resolver"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
     ).withColumn("len", F.length("sub")).withColumn("entropy", char_entropy("sub"))
@@ -277,7 +311,8 @@ def dns_tunneling(tables, start, end, as_of, p) -> DataFrame:
         (F.col("queries") >= p.min_queries) & (F.col("unique_subdomains") >= p.min_unique_subdomains)
         & (F.col("avg_len") >= p.min_avg_sub_len) & (F.col("avg_entropy") >= p.min_avg_entropy)
     )
-    flagged = names.join(groups.select(*keys), keys, "left_semi")
+    groups = stored(groups, "tunnels")
+    flagged = stored(names.join(groups.select(*keys), keys, "left_semi").select(*keys, "qtype_name", "query"), "tunnel-names")
     types = smallest_distinct(flagged, keys, F.col("qtype_name"), 3, "types")
     samples = smallest_distinct(flagged, keys, F.col("query"), 3, "sample_queries")
     score = 0.4 * F.least(F.lit(1.0), F.col("avg_len") / 50) + 0.4 * F.least(F.lit(1.0), F.col("avg_entropy") / 5) + 0.2 * F.least(
@@ -288,36 +323,47 @@ def dns_tunneling(tables, start, end, as_of, p) -> DataFrame:
         F.lit(" distinct subdomains, avg length "), number_text(F.col("avg_len"), 1), F.lit(", entropy "), number_text(F.col("avg_entropy"), 2), F.lit(")"),
     )
     return groups.join(types, keys).join(samples, keys).select(
-        *_finding("DET-105", _level((F.col("avg_entropy") >= 4.2) & (F.col("avg_len") >= 40)), F.bround(score, 3), text, F.lit(53)),
+        *_finding(scope, "DET-105", _level((F.col("avg_entropy") >= 4.2) & (F.col("avg_len") >= 40)), F.bround(score, 3), text, F.lit(53)),
         "base_domain", "queries", "unique_subdomains", F.bround("avg_len", 1).alias("avg_subdomain_len"), F.col("max_len").alias("max_subdomain_len"),
         F.bround("avg_entropy", 3).alias("avg_subdomain_entropy"), F.array_join("types", ",").alias("qtypes"), "sample_queries",
-    ).orderBy(F.desc("score"), *keys)
+    ).orderBy(*scope.keys, F.desc("score"), *keys)
 
 
 @detection(
     "DET-106", "Suspected DGA (NXDOMAIN spike)", ("T1568.002",), ("dns",),
     bucket_minutes=10, baseline_hours=24, min_nx=20, min_nx_ratio=0.5, min_unique_nx_domains=15, spike_factor=5.0,
 )
-def nxdomain_spike(tables, start, end, as_of, p) -> DataFrame:
+def nxdomain_spike(tables, scope, as_of, p) -> DataFrame:
     """Buckets in which one source's failed lookups pile up far beyond its usual level."""
     width = p.bucket_minutes * 60
-    rows = time_slice(tables["dns"], plus_seconds(instant(start), -p.baseline_hours * HOUR), end).where(F.col("query") != "")
+    rows = scope.rows(tables["dns"], p.baseline_hours * HOUR).where(F.col("query") != "")
     failed = F.col("rcode_name") == "NXDOMAIN"
     flat = rows.select(F.col("id_orig_h").alias("src"), bucket_start(F.col("ts"), width).alias("bucket"), "query", "id_resp_h", failed.alias("failed"))
     keys = ["src", "bucket"]
+    # A source has at most one row a bucket from here on.
     buckets = flat.groupBy(*keys).agg(
         F.count("*").alias("total"), F.count_if("failed").alias("nx"), F.min("id_resp_h").alias("dst"),
         F.countDistinct(F.when(F.col("failed"), registered_domain("query"))).alias("nx_domains"),
     )
-    first = bucket_start(instant(start), width)
-    usual = buckets.groupBy("src").agg(
-        (F.sum(F.when(F.col("bucket") < first, F.col("nx")).otherwise(0)) / (p.baseline_hours * 60 / p.bucket_minutes)).alias("usual")
-    )
     ratio = F.col("nx") / F.col("total")
     level = F.greatest(F.col("usual"), F.lit(1.0))
-    high = buckets.where((F.col("bucket") >= first) & (F.col("nx") >= p.min_nx) & (ratio >= p.min_nx_ratio) & (F.col("nx_domains") >= p.min_unique_nx_domains))
-    spikes = high.join(usual, "src").where(F.col("nx") >= p.spike_factor * level)
-    samples = smallest_distinct(flat.where("failed").join(spikes.select(*keys), keys, "left_semi"), keys, F.col("query"), 5, "sample_nx_queries")
+    high = (F.col("nx") >= p.min_nx) & (ratio >= p.min_nx_ratio) & (F.col("nx_domains") >= p.min_unique_nx_domains)
+    per_bucket = p.baseline_hours * 60 / p.bucket_minutes
+    if scope.keys:
+        if HOUR % width:
+            raise ValueError("DET-106: for hourly windows bucket_minutes must divide an hour")
+        buckets = stored(buckets.withColumn("pane", hour_of("bucket")), "buckets")
+        spikes = buckets.where(high).withColumn("end_no", F.explode(scope.ends_of("pane", "pane")))
+        panes = buckets.groupBy("src", "pane").agg(F.sum("nx").alias("nx"))
+        usual = scope.trailing_sums(panes, ["src"], "nx", spikes, p.baseline_hours, scope.hours)
+        spikes = spikes.join(usual.withColumnRenamed("total", "earlier"), ["src", "end_no"]).withColumn("usual", F.coalesce("earlier", F.lit(0)) / per_bucket)
+        spikes = spikes.withColumn("window_end", F.timestamp_seconds(F.col("end_no") * HOUR))
+    else:
+        first = bucket_start(scope.opens, width)
+        earlier = F.sum(F.when(F.col("bucket") < first, F.col("nx")).otherwise(0)).over(Window.partitionBy("src"))
+        spikes = buckets.withColumn("usual", earlier / per_bucket).where((F.col("bucket") >= first) & high)
+    spikes = spikes.where(F.col("nx") >= p.spike_factor * level)
+    samples = smallest_distinct(flat.where("failed").join(spikes.select(*keys).distinct(), keys, "left_semi"), keys, F.col("query"), 5, "sample_nx_queries")
     score = 0.5 * F.least(F.lit(1.0), ratio) + 0.5 * F.least(F.lit(1.0), (F.col("nx") / level) / (2 * p.spike_factor))
     text = F.concat(
         "src", F.lit(" got "), F.col("nx").cast("string"), F.lit(f" NXDOMAIN in {p.bucket_minutes} min ("), number_text(100 * F.col("nx") / F.col("total")),
@@ -326,10 +372,10 @@ def nxdomain_spike(tables, start, end, as_of, p) -> DataFrame:
     )
     shaped = spikes.join(samples, keys).withColumn("first_seen", F.col("bucket")).withColumn("last_seen", plus_seconds(F.col("bucket"), width))
     return shaped.select(
-        *_finding("DET-106", _level(ratio >= 0.8), F.bround(score, 3), text, F.lit(53)),
+        *_finding(scope, "DET-106", _level(ratio >= 0.8), F.bround(score, 3), text, F.lit(53)),
         F.col("total").alias("queries"), F.col("nx").alias("nxdomain"), F.col("nx_domains").alias("nxdomain_base_domains"),
         F.bround("usual", 3).alias("baseline_nxdomain_per_bucket"), "sample_nx_queries",
-    ).orderBy(F.desc("score"), "first_seen", "src")
+    ).orderBy(*scope.keys, F.desc("score"), "first_seen", "src")
 
 
 @detection(
@@ -337,16 +383,17 @@ def nxdomain_spike(tables, start, end, as_of, p) -> DataFrame:
     min_upload_bytes=52428800, min_upload_bytes_offhours=10485760, min_pcr=0.6, tz="Asia/Seoul", work_start_hour=9, work_end_hour=18,
     exclude_dst=(), use_allowlist=1,
 )
-def exfiltration(tables, start, end, as_of, p) -> DataFrame:
+def exfiltration(tables, scope, as_of, p) -> DataFrame:
     """Destinations that mostly receive: heavy uploads, or bulk uploads outside business hours."""
     entries = _entries(tables, "DET-107", as_of, p)
-    rows = _named_connections(_outbound(tables, start, end, p.exclude_dst), tables, start, end, entries)
+    rows = _named_connections(_outbound(tables, scope, p.exclude_dst), tables, scope, entries)
+    keys = [*scope.keys, *PAIR]
     local = F.from_utc_timestamp("ts", p.tz)
     off_hours = (F.weekday(local) >= 5) | (F.hour(local) < p.work_start_hour) | (F.hour(local) >= p.work_end_hour)
-    groups = rows.select(*_endpoints("ts", "orig_bytes", "resp_bytes", off_hours.alias("off_hours"))).groupBy(*PAIR).agg(
-        F.sum("orig_bytes").alias("up"), F.sum("resp_bytes").alias("down"), F.sum(F.when(F.col("off_hours"), F.col("orig_bytes")).otherwise(0)).alias("up_off"),
-        F.count("*").alias("conns"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-    )
+    groups = scope.grouped(rows.select(*_endpoints("ts", "orig_bytes", "resp_bytes", off_hours.alias("off_hours"), *_left_out(rows))), PAIR, {
+        "up": ("sum", F.col("orig_bytes")), "down": ("sum", F.col("resp_bytes")), "up_off": ("sum", F.when(F.col("off_hours"), F.col("orig_bytes")).otherwise(0)),
+        "conns": ("sum", F.lit(1)), **_times(),
+    })
     up, down = F.col("up").cast("double"), F.col("down").cast("double")
     groups = groups.withColumn("balance", (up - down) / F.greatest(up + down, F.lit(1.0)))
     one_sided = F.col("balance") >= p.min_pcr
@@ -354,9 +401,10 @@ def exfiltration(tables, start, end, as_of, p) -> DataFrame:
     judged = _judged(judged.where(F.col("heavy") | F.col("late")), entries).withColumn(
         "reasons", present(F.when(F.col("heavy"), F.lit("upload_heavy")), F.when(F.col("late"), F.lit("offhours_bulk_upload")))
     )
-    named = time_slice(tables["ssl"], start, end).where(F.col("server_name") != "").select(*_endpoints("server_name"))
-    names = smallest_distinct(named.join(judged.select(*PAIR), PAIR, "left_semi"), PAIR, F.col("server_name"), 3, "server_names")
-    shaped = judged.join(names, PAIR, "left").withColumn("server_names", F.coalesce("server_names", F.array().cast("array<string>")))
+    judged = stored(judged, "uploads")
+    named = scope.rows(tables["ssl"]).where(F.col("server_name") != "").select(*_endpoints("server_name", "ts")).join(judged.select(*PAIR).distinct(), PAIR, "left_semi")
+    names = smallest_distinct(scope.grouped(named, [*PAIR, "server_name"], {}), keys, F.col("server_name"), 3, "server_names")
+    shaped = judged.join(names, keys, "left").withColumn("server_names", F.coalesce("server_names", F.array().cast("array<string>")))
     score = (
         0.5 * F.least(F.lit(1.0), F.greatest(F.col("balance"), F.lit(0.0))) + 0.3 * F.least(F.lit(1.0), F.col("up") / (4 * p.min_upload_bytes))
         + F.when(F.col("late"), 0.2).otherwise(0.0)
@@ -367,16 +415,16 @@ def exfiltration(tables, start, end, as_of, p) -> DataFrame:
         F.array_join("reasons", ","), F.lit(")"),
     )
     return shaped.select(
-        *_finding("DET-107", _level(F.col("late") & (F.col("balance") >= 0.9)), F.bround(score, 3), text),
+        *_finding(scope, "DET-107", _level(F.col("late") & (F.col("balance") >= 0.9)), F.bround(score, 3), text),
         F.col("up").alias("bytes_sent"), F.col("down").alias("bytes_received"), F.col("up_off").alias("bytes_sent_offhours"),
         F.bround("balance", 3).alias("pcr"), "conns", "server_names", "reasons",
-    ).orderBy(F.desc("score"), *PAIR)
+    ).orderBy(*scope.keys, F.desc("score"), *PAIR)
 
 
 @detection("DET-108", "Standard protocol on a non-standard port", ("T1571",), ("conn", "ssl", "allowlist"), include_inbound=0, suspicious_ports=SUSPICIOUS_PORTS, use_allowlist=1)
-def nonstandard_port(tables, start, end, as_of, p) -> DataFrame:
+def nonstandard_port(tables, scope, as_of, p) -> DataFrame:
     """Recognised services that run on a port they are not expected on."""
-    rows = time_slice(tables["conn"], start, end).where(F.col("service") != "")
+    rows = scope.rows(tables["conn"]).where(F.col("service") != "")
     if p.include_inbound != 1:
         rows = rows.where(_is_outbound())
     ports = ", ".join(f"'{name}', array({', '.join(map(str, numbers))})" for name, numbers in STANDARD_PORTS.items())
@@ -385,11 +433,10 @@ def nonstandard_port(tables, start, end, as_of, p) -> DataFrame:
         f" AND coalesce(NOT array_contains(try_element_at(map({ports}), s), CAST(id_resp_p AS INT)), false))"
     )
     entries = _entries(tables, "DET-108", as_of, p)
-    rows = _named_connections(rows.withColumn("odd", odd).where(F.size("odd") > 0), tables, start, end, entries)
+    rows = _named_connections(rows.withColumn("odd", odd).where(F.size("odd") > 0), tables, scope, entries)
     # At most one entry per judged service name, so the set stays small whatever the group's size.
-    groups = rows.select(*_endpoints("ts", "local_orig", "odd")).groupBy(*PAIR, "odd").agg(
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("local_orig").alias("from_local"), F.count("*").alias("conns")
-    ).groupBy(*PAIR).agg(
+    flat = rows.select(*_endpoints("ts", "local_orig", "odd", *_left_out(rows)))
+    groups = scope.grouped(flat, [*PAIR, "odd"], {**_times(), "from_local": ("max", F.col("local_orig")), "conns": ("sum", F.lit(1))}).groupBy(*scope.keys, *PAIR).agg(
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("from_local").alias("from_local"), F.sum("conns").alias("conns"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("odd")))).alias("odd"),
     )
@@ -400,22 +447,21 @@ def nonstandard_port(tables, start, end, as_of, p) -> DataFrame:
         F.col("conns").cast("string"), F.lit(" connections)"),
     )
     return _judged(groups, entries).select(
-        *_finding("DET-108", _level(known_bad), F.when(known_bad, 1.0).otherwise(0.7), text), protocols.alias("protocols"), direction.alias("direction"), "conns"
-    ).orderBy(F.desc("score"), F.desc("conns"), *PAIR)
+        *_finding(scope, "DET-108", _level(known_bad), F.when(known_bad, 1.0).otherwise(0.7), text), protocols.alias("protocols"), direction.alias("direction"), "conns"
+    ).orderBy(*scope.keys, F.desc("score"), F.desc("conns"), *PAIR)
 
 
 @detection("DET-109", "Port and host scanning", ("T1046", "T1595.001"), ("conn",), min_ports=50, min_hosts=30, min_syn_ratio=3.0)
-def scanning(tables, start, end, as_of, p) -> DataFrame:
+def scanning(tables, scope, as_of, p) -> DataFrame:
     """Many ports on one host, or one port on many hosts, mostly unanswered."""
-    rows = time_slice(tables["conn"], start, end).where(F.col("proto") == "tcp")
+    rows = scope.rows(tables["conn"]).where(F.col("proto") == "tcp")
     opened, answered = F.col("history").startswith("S"), F.col("history").contains("h")
     # One row per (source, target, port) serves both shapes.
-    tries = rows.select(
-        *_endpoints("ts", "local_orig", (opened & ~answered).alias("unanswered"), answered.alias("answered"), F.col("conn_state").isin(*FAILED_STATES).alias("failed"))
-    ).groupBy(*PAIR).agg(
-        F.count("*").alias("attempts"), F.count_if("unanswered").alias("unanswered"), F.count_if("answered").alias("answered"), F.count_if("failed").alias("failed"),
-        F.max("local_orig").alias("from_local"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-    )
+    tries = scope.grouped(rows.select(*_endpoints("ts", "local_orig", "history", "conn_state")), PAIR, {
+        "attempts": ("sum", F.lit(1)), "unanswered": _number(opened & ~answered), "answered": _number(answered), "failed": _number(F.col("conn_state").isin(*FAILED_STATES)),
+        "from_local": ("max", F.col("local_orig")), **_times(),
+    })
+    host, port = [*scope.keys, "src", "dst"], [*scope.keys, "src", "dst_port"]
 
     def shape(name: str, keys: list[str], threshold: int) -> DataFrame:
         groups = tries.groupBy(*keys).agg(
@@ -427,10 +473,10 @@ def scanning(tables, start, end, as_of, p) -> DataFrame:
             "reach", F.least(F.lit(1.0), F.col("targets") / (4 * threshold))
         )
 
-    vertical = shape("vertical", ["src", "dst"], p.min_ports)
-    tried = tries.join(vertical.select("src", "dst"), ["src", "dst"], "left_semi")
-    vertical = vertical.join(smallest_distinct(tried, ["src", "dst"], F.col("dst_port"), 10, "sample_ports"), ["src", "dst"]).withColumn("dst_port", F.lit(0))
-    horizontal = shape("horizontal", ["src", "dst_port"], p.min_hosts).withColumn("dst", F.lit("")).withColumn("sample_ports", F.array("dst_port"))
+    vertical = shape("vertical", host, p.min_ports)
+    tried = tries.join(vertical.select(*host), host, "left_semi")
+    vertical = vertical.join(smallest_distinct(tried, host, F.col("dst_port"), 10, "sample_ports"), host).withColumn("dst_port", F.lit(0))
+    horizontal = shape("horizontal", port, p.min_hosts).withColumn("dst", F.lit("")).withColumn("sample_ports", F.array("dst_port"))
     both = vertical.unionByName(horizontal)
     upright = F.col("scan_type") == "vertical"
     text = F.concat(
@@ -441,7 +487,7 @@ def scanning(tables, start, end, as_of, p) -> DataFrame:
         F.lit(", SYN:SYN-ACK "), number_text(F.col("syn_ratio"), 1), F.lit(", failed "), number_text(100 * F.col("failed_share")), F.lit("%"),
     )
     return both.select(
-        *_finding("DET-109", _level(F.col("from_local"), "high", "low"), F.bround(0.6 * F.col("reach") + 0.4 * F.col("failed_share"), 3), text), "scan_type",
+        *_finding(scope, "DET-109", _level(F.col("from_local"), "high", "low"), F.bround(0.6 * F.col("reach") + 0.4 * F.col("failed_share"), 3), text), "scan_type",
         F.when(F.col("from_local"), "T1046").otherwise("T1595.001").alias("attack_technique"), "targets", "attempts",
         F.bround("syn_ratio", 2).alias("syn_synack_ratio"), F.bround("failed_share", 3).alias("failed_ratio"), "sample_ports",
-    ).orderBy(F.desc("score"), *PAIR, "scan_type")
+    ).orderBy(*scope.keys, F.desc("score"), *PAIR, "scan_type")

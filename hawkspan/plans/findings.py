@@ -10,11 +10,11 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hawkspan.functions.net import cidr_bounds, ip_key
+from hawkspan.functions.net import ip_key
 from hawkspan.functions.text import present
 from hawkspan.functions.times import instant, plus_seconds, stored_days
 from hawkspan.operators.allowlist import RejectedRows
-from hawkspan.operators.ipjoin import bucket_of, explode_buckets
+from hawkspan.operators.ipjoin import cut_addresses, network_blocks
 from hawkspan.plans import detections as _registered  # noqa: F401  (importing it fills the registry)
 from hawkspan.plans.common import PRODUCTION_IFACE, latest_verdicts, pair_of_alert
 from hawkspan.plans.registry import COMMON_COLUMNS, REGISTRY
@@ -23,9 +23,9 @@ WINDOW = timedelta(hours=24)
 RUN_COLUMNS = "run_id string, run_at timestamp, window_start timestamp, window_end timestamp, detection_id string, result string, hits long, duration_ms long, backfill boolean, error string"
 
 
-def to_hits(found: DataFrame, run_id: str = "", run_at=None, start=None, end=None) -> DataFrame:
+def to_hits(found: DataFrame, run_id: str | Column = "", run_at=None, start=None, end=None) -> DataFrame:
     """Findings as stored rows: the common columns, everything else as JSON with sorted keys, and a stable key."""
-    extra = sorted(c for c in found.columns if c not in COMMON_COLUMNS)
+    extra = sorted(c for c in found.columns if c not in COMMON_COLUMNS and c != "window_end")
     details = F.to_json(F.struct(*extra)) if extra else F.lit("{}")
     port = F.coalesce(F.col("dst_port").cast("int"), F.lit(0))
     key = F.concat_ws("|", "detection_id", "src", "dst", port.cast("string"))
@@ -46,24 +46,31 @@ def window_ends(now: datetime, backfill_hours: int = 0) -> list[tuple[datetime,
 
 
 def run_detections(spark: SparkSession, tables: Mapping[str, DataFrame], now: datetime, hits_path: str, runs_path: str, backfill_hours: int = 0, params: Mapping[str, Mapping] | None = None) -> DataFrame:
-    """Run every registered detection for each window and append findings and run rows; one failure does not stop the rest.
+    """Run every registered detection and append findings and run rows; one failure does not stop the rest. Returns the run rows.
 
-    The loop is over detections and windows, never over rows. Returns the run rows.
+    A backfill is one job per detection, however many hours it covers: all windows come out of one pass over each table.
     """
-    rows = []
-    for end, backfill in window_ends(now, backfill_hours):
-        run_id, run_at, start = str(uuid.uuid4()), end if backfill else now, end - WINDOW
-        for detection_id, detection in sorted(REGISTRY.items()):
-            began, result, hits, error = time.monotonic(), "ok", 0, ""
-            try:
-                found = detection(tables, start, end, now, **(params or {}).get(detection_id, {}))
-                stored_hits = to_hits(found, run_id, run_at, start, end).withColumn("date", F.to_date("run_at"))
-                path = f"{hits_path}/run={run_id}/detection={detection_id}"
-                stored_hits.write.mode("overwrite").parquet(path)
-                hits = spark.read.parquet(path).count()
-            except Exception as problem:  # recorded in the run row
-                result, error = "error", str(problem).strip()[-1000:]
-            rows.append((run_id, run_at, start, end, detection_id, result, hits, int((time.monotonic() - began) * 1000), backfill, error))
+    windows, run, rows = window_ends(now, backfill_hours), str(uuid.uuid4()), []
+    run_ids = {end: f"{run}-{end:%Y%m%d%H}" if backfill else run for end, backfill in windows}
+    for detection_id, detection in sorted(REGISTRY.items()):
+        began, counts, result, error = time.monotonic(), {}, "ok", ""
+        options = (params or {}).get(detection_id, {})
+        try:
+            if backfill_hours:
+                found = detection.hourly(tables, windows[0][0], windows[-1][0], now, int(WINDOW / timedelta(hours=1)), **options)
+                named = F.concat(F.lit(f"{run}-"), F.date_format("window_end", "yyyyMMddHH"))
+                hits = to_hits(found, named, F.col("window_end"), plus_seconds(F.col("window_end"), -WINDOW.total_seconds()), F.col("window_end"))
+            else:
+                end = windows[0][0]
+                hits = to_hits(detection(tables, end - WINDOW, end, now, **options), run, now, end - WINDOW, end)
+            path = f"{hits_path}/job={run}/detection={detection_id}"
+            hits.withColumn("date", F.to_date("run_at")).write.mode("overwrite").parquet(path)
+            # One row a window, of which there are as many as hours asked for.
+            counts = {r["run_id"]: r["count"] for r in spark.read.parquet(path).groupBy("run_id").count().collect()}
+        except Exception as problem:  # recorded in the run rows
+            result, error = "error", str(problem).strip()[-1000:]
+        took = int((time.monotonic() - began) * 1000) // len(windows)
+        rows += [(run_ids[end], end if backfill else now, end - WINDOW, end, detection_id, result, counts.get(run_ids[end], 0), took, backfill, error) for end, backfill in windows]
     runs = spark.createDataFrame(rows, RUN_COLUMNS)
     runs.coalesce(1).write.mode("append").parquet(runs_path)
     return runs
@@ -108,16 +115,14 @@ def verdict_list(t) -> DataFrame:
 
 def suppress_alerts(alerts: DataFrame, rules: DataFrame) -> DataFrame:
     """Alerts no rule covers. ``rules``: gid, sid, track (by_src, by_dst, by_either), ip (address or CIDR)."""
-    spread = explode_buckets(rules.select("gid", "sid", "track", cidr_bounds("ip").alias("b")).where(F.col("b").isNotNull()).select("gid", "sid", "track", "b.lo", "b.hi"))
+    blocks = network_blocks(rules.select("gid", "sid", "track", "ip"), "ip").select("gid", "sid", "track", "block")
     kept = alerts
     for side, column in (("by_src", "src_ip"), ("by_dst", "dest_ip")):
-        mine = spread.where(F.col("track").isin(side, "by_either")).alias("r")
-        keyed = kept.withColumn("k", ip_key(column)).withColumn("kb", bucket_of(F.col("k")))
-        match = (
-            (keyed["alert_gid"] == F.col("r.gid")) & (keyed["alert_signature_id"] == F.col("r.sid")) & (keyed["kb"] == F.col("r.bucket"))
-            & keyed["k"].between(F.col("r.lo"), F.col("r.hi"))
-        )
-        kept = keyed.join(mine, match, "left_anti").drop("k", "kb")
+        mine = blocks.where(F.col("track").isin(side, "by_either"))
+        pairs = alerts.select(F.col("alert_gid").alias("gid"), F.col("alert_signature_id").alias("sid"), F.col(column).alias("addr")).distinct()
+        cut = cut_addresses(pairs.withColumn("addr_key", ip_key("addr")).where(F.col("addr_key").isNotNull()), mine)
+        hit = cut.join(mine, ["gid", "sid", "block"], "left_semi").select("gid", "sid", "addr").distinct()
+        kept = kept.join(hit, (kept["alert_gid"] == hit["gid"]) & (kept["alert_signature_id"] == hit["sid"]) & (kept[column] == hit["addr"]), "left_anti")
     return kept
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hawkspan.functions.net import in_networks
-from hawkspan.operators.medians import attach, by_kind, grouped_median, measure_table
+from hawkspan.operators.medians import attach, by_kind, frequent, grouped_median, measure_table
 from hawkspan.operators.samples import any_text, share, smallest_distinct
 from hawkspan.plans.common import distinct_total, outbound, per_step, top, total, within
+from hawkspan.session import stored
 
 SENSOR_NETWORKS = ("10.128.0.0/9",)  # fixed value: the sensor's own network
 
@@ -41,7 +42,10 @@ def uploaded(t, span):
 def most_regular_pairs(t, span, k=20, min_conns=10, min_gap_s=5):
     """Destinations contacted most like clockwork: deviation of the gaps relative to their interpolated median."""
     keys = ["destination", "port"]
-    events = _with_tls(t, span).select(F.col("id_resp_h").alias("destination"), F.col("id_resp_p").alias("port"), F.unix_micros("ts").alias("at"), "lines", "name")
+    events = stored(_with_tls(t, span).select(F.col("id_resp_h").alias("destination"), F.col("id_resp_p").alias("port"), F.unix_micros("ts").alias("at"), "lines", "name"), "contacts")
+    # Counting comes first: destinations that are rarely met never reach the gaps. A connection weighs as much as its TLS log lines.
+    often = events.groupBy(*keys).agg(F.sum("lines").alias("lines")).where(F.col("lines") >= min_conns)
+    events = frequent(events, often, keys)
     measures = measure_table(events, keys, "at", "lines")
     gaps = measures.where(F.col("kind") == "gap").select(*keys, "value", "n")
     middles = grouped_median(gaps, keys, "value", kind="midpoint", min_count=max(min_conns - 1, 1), alias="mid").where(F.col("mid") >= min_gap_s * 1e6).drop("total")

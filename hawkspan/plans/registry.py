@@ -8,6 +8,8 @@ from types import SimpleNamespace
 
 from pyspark.sql import DataFrame
 
+from hawkspan.operators.windows import HourlyWindows, OneWindow
+
 # Leading columns of every finding.
 COMMON_COLUMNS = ("detection_id", "severity", "src", "dst", "dst_port", "first_seen", "last_seen", "score", "summary")
 
@@ -29,10 +31,17 @@ class Detection:
 
     def __call__(self, tables: Mapping[str, DataFrame], start, end, as_of, **overrides) -> DataFrame:
         """Findings of the window ``[start, end)``; exceptions are judged at ``as_of``."""
+        return self._found(tables, OneWindow(start, end), as_of, overrides)
+
+    def hourly(self, tables: Mapping[str, DataFrame], first, last, as_of, hours: int = 24, **overrides) -> DataFrame:
+        """Findings of every window of ``hours`` that ends on a full hour from ``first`` to ``last``, with its end in front, in one job."""
+        return self._found(tables, HourlyWindows(first, last, hours), as_of, overrides)
+
+    def _found(self, tables: Mapping[str, DataFrame], scope, as_of, overrides: Mapping[str, object]) -> DataFrame:
         missing = [t for t in self.tables if t not in tables]
         if missing:
             raise KeyError(f"{self.id} needs table {', '.join(missing)}")
-        return self.plan(tables, start, end, as_of, self.resolve(overrides))
+        return self.plan(tables, scope, as_of, self.resolve(overrides))
 
 
 def _typed(detection_id: str, name: str, kind: type, value: object) -> object:

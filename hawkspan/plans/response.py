@@ -12,7 +12,7 @@ from hawkspan.functions.net import in_networks, ip_key, is_global_v4, is_v4
 from hawkspan.functions.text import power_text
 from hawkspan.functions.times import instant, millis_between, plus_seconds, unit_boundaries
 from hawkspan.functions.times import trailing as _trailing
-from hawkspan.operators.ipjoin import bucket_of, explode_buckets
+from hawkspan.operators.ipjoin import cut_addresses, distinct_addresses, explode_blocks
 from hawkspan.operators.samples import latest_per_key
 from hawkspan.plans.common import PRODUCTION_IFACE, per_step, top, total, within
 
@@ -188,9 +188,8 @@ def evidence(t, as_of, iface=PRODUCTION_IFACE):
 
 def _listed(alerts: DataFrame, never_block: DataFrame) -> DataFrame:
     """Distinct listed addresses with the first list entry that covers them."""
-    keyed = alerts.select("ip").distinct().withColumn("addr_key", ip_key("ip")).withColumn("bucket", bucket_of(F.col("addr_key")))
-    spread = explode_buckets(never_block)
-    hits = keyed.join(spread, "bucket").where(F.col("addr_key").between(F.col("lo"), F.col("hi")))
+    blocks = explode_blocks(never_block)
+    hits = cut_addresses(distinct_addresses(alerts, "ip"), blocks).join(blocks, "block").withColumnRenamed("addr", "ip")
     return hits.groupBy("ip").agg(F.min_by(F.concat(F.lit("never-block: "), "reason", F.lit(" ("), "network", F.lit(")")), "place").alias("listed"))
 
 

@@ -1,12 +1,15 @@
 """Plans stay free of joins that pair everything with everything, of Python workers, and of hot groups in one task."""
 
+import ipaddress
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from acceptance import load_all
 from acceptance.catalog import CATALOG
 from hawkspan.functions.tls import tls_fingerprints
-from hawkspan.operators.ipjoin import explode_buckets, geo_enrich
+from hawkspan.operators.ipjoin import covered_addresses, explode_blocks, geo_enrich, lookup_ranges, network_blocks
 from hawkspan.operators.medians import event_gaps
 from hawkspan.plans import evaluate
 
@@ -52,7 +55,44 @@ def test_geo_enrichment_of_both_families(spark):
     got = sorted((r.ip, r.x_country_code, r.x_asn) for r in geo_enrich(rows, "ip", countries, networks, "x_").collect())
     assert got == [("", "", 0), ("1.0.0.7", "AA", 64500), ("1.0.0.7", "AA", 64500), ("2001:db8::1", "BB", 0), ("9.9.9.9", "", 0)]
     whole = spark.createDataFrame([("400000000", "4ffffffff")], "lo string, hi string")
-    assert explode_buckets(whole).count() == 65536
+    assert [r.block for r in explode_blocks(whole).collect()] == ["4"]
+
+
+def test_aligned_blocks_hold_exactly_the_range(spark):
+    rng = random.Random(7)
+    pairs = [tuple(sorted((rng.randrange(16**n), rng.randrange(16**n)))) + (n,) for n in (2, 3, 4) for _ in range(60)]
+    pairs += [(0, 255, 2), (16, 31, 2), (5, 5, 2), (0, 0, 2), (255, 255, 2), (0, 4095, 3), (1, 4094, 3), (0x100, 0x1FF, 3)]
+    rows = [(i, f"4{lo:0{n}x}", f"4{hi:0{n}x}") for i, (lo, hi, n) in enumerate(pairs)] + [(-1, "4ff", "400"), (-2, "400", "6ff")]
+    blocks = {}
+    for r in explode_blocks(spark.createDataFrame(rows, "i int, lo string, hi string")).collect():
+        blocks.setdefault(r.i, []).append(r.block)
+    assert set(blocks) == set(range(len(pairs)))
+    for i, (lo, hi, n) in enumerate(pairs):
+        held = [int(b[1:] + tail, 16) if b[1:] + tail else 0 for b in blocks[i] for tail in ([f"{x:0{n - len(b) + 1}x}" for x in range(16 ** (n - len(b) + 1))] if len(b) <= n else [""])]
+        assert sorted(held) == list(range(lo, hi + 1)) and len(blocks[i]) <= 30 * n
+
+
+def test_a_hundred_thousand_ranges_in_one_network(spark):
+    # All ranges and addresses share 2001:db8::/32; overlapping ones, too. An address meets the ranges that hold it, not its neighbours.
+    ranges = spark.range(100_000).selectExpr("concat('620010db8', lpad(lower(hex(id * 16)), 8, '0'), repeat('0', 16)) AS lo", "concat('620010db8', lpad(lower(hex(id * 16 + 9)), 8, '0'), repeat('f', 16)) AS hi", "id AS asn")
+    wide = spark.createDataFrame([("620010db8" + "0" * 24, "620010db8" + "f" * 24, -1)], "lo string, hi string, asn bigint")
+    address = "concat('2001:db8:', hex((id * 16 + id % 12) div 65536), ':', hex((id * 16 + id % 12) % 65536), '::', hex(id % 65536)) AS ip"
+    events = spark.range(0, 100_000, 7).selectExpr("id", address)
+    found = lookup_ranges(events, "ip", ranges.unionByName(wide), ["asn"]).withColumnRenamed("addr", "ip").join(events, "ip")
+    assert found.count() == events.count()
+    assert found.where("asn <> IF(id % 12 <= 9, id, -1)").isEmpty()
+
+
+def test_networks_of_any_size_cover(spark):
+    nets = ["10.3.0.0/17", "198.51.100.77", "2001:db8:4::/47", "0.0.0.0/0", "not one"]
+    rng = random.Random(3)
+    ips = [str(ipaddress.ip_address(rng.randrange(2**32))) for _ in range(40)] + ["10.3.127.255", "10.3.128.0", "198.51.100.77", "198.51.100.78", "2001:db8:4::1", "2001:db8:5:ffff::", "2001:db8:6::", "", "x"]
+    events = spark.createDataFrame([(i,) for i in ips], "ip string")
+    for chosen in ([0], [1], [2], [3], [0, 1, 2], [4], []):
+        blocks = network_blocks(spark.createDataFrame([(nets[i],) for i in chosen], "net string"), "net")
+        got = {r.addr for r in covered_addresses(events, "ip", blocks).collect()}
+        good = [ipaddress.ip_network(nets[i]) for i in chosen if i != 4]
+        assert got == {i for i in ips if i and i != "x" and any(ipaddress.ip_address(i) in n for n in good)}
 
 
 def test_known_fingerprint(spark):
