@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hawkspan.llm.base import register, table
-from hawkspan.llm.chunks import ChunkMemory, kept_in_worker, packed
+from hawkspan.llm.chunks import ChunkMemory, kept_in_worker, slices
 
 ENCODED = "doc_id bigint, n_tokens bigint, ids binary, decoded binary"
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -90,13 +90,13 @@ class Codec:
         self.spell = {b: letters[b] for b in range(256)}
         self.memory = ChunkMemory(pattern, self._pretokens)
 
-    def _pretokens(self, pieces: list[str]) -> list[bytes]:
+    def _pretokens(self, pieces: list[str]) -> list[list[int]]:
         raw = [p.encode() for p in pieces]
         spelled = self.model.encode([r.decode("latin-1").translate(self.spell) for r in raw], num_threads=1)
-        return [packed([self.whole[r]] if r in self.whole else ids) for r, ids in zip(raw, spelled, strict=True)]
+        return [[self.whole[r]] if r in self.whole else ids for r, ids in zip(raw, spelled, strict=True)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(ids, "<u4") for ids in self.memory.encoded(texts)]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        return self.memory.encoded_array(texts)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
@@ -114,9 +114,9 @@ def _mapped(docs: DataFrame, vocabulary: str, text: str, identifier: str, schema
         codec = None
         for batch in batches:
             codec = codec or kept_in_worker(name, lambda: Codec(model.value, pattern))
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows = [(doc_id, len(ids), *row(codec, ids)) for doc_id, ids in zip(part["doc_id"].to_pylist(), codec.encode(part["text"].to_pylist()), strict=True)]
+            for low, high in slices(batch["text"]):
+                part = batch.slice(low, high - low)
+                rows = [(doc_id, len(ids), *row(codec, ids)) for doc_id, ids in zip(part["doc_id"].to_pylist(), codec.encode(part["text"]), strict=True)]
                 kinds = [pa.int64(), pa.int64(), *[pa.binary() if "binary" in schema else pa.string()] * 2]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -25,6 +26,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -34,7 +36,7 @@ from pyspark.sql.window import Window
 
 from hawkspan.llm.base import register, table, work_dir
 from hawkspan.llm.byte_bpe import byte_characters
-from hawkspan.llm.chunks import ChunkMemory, kept_in_worker, packed
+from hawkspan.llm.chunks import ChunkMemory, kept_in_worker, packed, slices
 from hawkspan.session import stored
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
@@ -103,7 +105,7 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def write_shards(docs: DataFrame, folder: str, make_encoder: Callable[[], Callable[[list[str]], list[bytes]]], end_id: int = 0, shards: int | None = None, text: str = "text", identifier: str = "doc_id") -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, make_encoder: Callable[[], Callable[[pa.Array], list[bytes]]], end_id: int = 0, shards: int | None = None, text: str = "text", identifier: str = "doc_id") -> DataFrame:
     """Encode, append ``end_id``, and write one shard per range of identifiers; the manifest (shard, path, documents, tokens)."""
     spark = docs.sparkSession
     rows = docs.select(docs[identifier].cast("bigint").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
@@ -115,12 +117,12 @@ def write_shards(docs: DataFrame, folder: str, make_encoder: Callable[[], Callab
         files.create_dir(where, recursive=True)
         encode, writer, out, shard, tokens, name = make_encoder(), None, None, None, 0, f"{where}/.{uuid.uuid4().hex}"
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for low, high in slices(batch["text"]):
+                part = batch.slice(low, high - low)
                 if writer is None:
                     shard, out = part["shard"][0].as_py(), files.open_output_stream(name)
                     writer = ShardWriter(out)
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), encode(part["text"].to_pylist()), strict=True):
+                for doc_id, ids in zip(part["doc_id"].to_pylist(), encode(part["text"]), strict=True):
                     writer.add(doc_id, ids + end)
                     tokens += len(ids) // 4 + 1
         if writer is not None:
@@ -160,7 +162,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return documents.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokenizer_encoder(vocabulary: str, added_tokens: bool = False) -> Callable[[], Callable[[list[str]], list[bytes]]]:
+def tokenizer_encoder(vocabulary: str, added_tokens: bool = False) -> Callable[[], Callable[[pa.Array], list[bytes]]]:
     """Makes, once in each Python worker, an encoder by the tokenizers library; the vocabulary's content travels with the task.
 
     The vocabulary must be byte-level without a normaliser or a prefix space: the library's model then gets pre-tokens as the public
@@ -175,7 +177,9 @@ def tokenizer_encoder(vocabulary: str, added_tokens: bool = False) -> Callable[[
         raise ValueError("the vocabulary must be byte-level, without a normaliser and without a prefix space")
     literals = [token["content"] for token in parts["added_tokens"]] if added_tokens else []
 
-    def make() -> Callable[[list[str]], list[bytes]]:
+    pattern = "|".join(map(re.escape, literals))
+
+    def make() -> Callable[[pa.Array], list[bytes]]:
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -183,19 +187,21 @@ def tokenizer_encoder(vocabulary: str, added_tokens: bool = False) -> Callable[[
         model = tokenizer.model
         spelling = {b: letter for b, letter in enumerate(byte_characters())}
 
-        def encode(pieces: list[str]) -> list[bytes]:
-            spelled = [p.encode().decode("latin-1").translate(spelling) for p in pieces]
-            return [packed([x.id for x in model.tokenize(s)]) for s in spelled]
+        def spelled(piece: str) -> str:
+            if piece.isascii() and piece.isprintable():  # such letters but the space spell themselves, and a space can only come first
+                return f"Ġ{piece[1:]}" if piece[0] == " " else piece
+            return piece.encode().decode("latin-1").translate(spelling)
+
+        def encode(pieces: list[str]) -> list[list[int]]:
+            return [[x.id for x in model.tokenize(spelled(p))] for p in pieces]
 
         memory = ChunkMemory(public_tokenizers.PATTERN, encode)
 
-        def encoded(texts: list[str]) -> list[bytes]:
-            whole = [i for i, text in enumerate(texts) if any(literal in text for literal in literals)]
-            if not whole:
-                return memory.encoded(texts)
-            apart = set(whole)
-            rest = iter(memory.encoded([text for i, text in enumerate(texts) if i not in apart]))
-            return [packed(tokenizer.encode(text, add_special_tokens=False).ids) if i in apart else next(rest) for i, text in enumerate(texts)]
+        def encoded(texts: pa.Array) -> list[bytes]:
+            apart = pc.match_substring_regex(texts, pattern) if pattern else pa.array([False] * len(texts), pa.bool_())
+            rest = iter(memory.encoded_array(texts.filter(pc.invert(apart))))
+            whole = iter([packed(tokenizer.encode(text, add_special_tokens=False).ids) for text in texts.filter(apart).to_pylist()])
+            return [next(whole) if own else next(rest).tobytes() for own in apart.to_pylist()]
 
         return encoded
 
