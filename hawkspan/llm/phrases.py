@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hawkspan.llm.base import register, table, work_dir
+from hawkspan.llm.chunks import kept_in_worker
 from hawkspan.llm.token_files import open_folder
 from hawkspan.session import stored
 
@@ -132,7 +133,8 @@ def write_shards(texts: DataFrame, folder: str, window: int) -> DataFrame:
     """Step 1: shards of (key, first, content), and the phrases they choose; a row without a phrase stands for the shard itself."""
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests, rolling, shard, phrases = Digests(), Rolling(ODD[0]), None, {}
+        digests, (rolling, _) = kept_in_worker("phrases", lambda: (Digests(), [Rolling(odd) for odd in ODD]))
+        shard, phrases = None, {}
 
         def finish() -> pa.RecordBatch:
             shard.close()
@@ -199,7 +201,8 @@ def locate(confirmed: DataFrame, window: int) -> DataFrame:
     def find(group: pa.Table) -> pa.Table:
         path = group["shard"][0].as_py()
         automaton = compile_automaton(group["phrase"].to_pylist())
-        digests, rolling, hashes, ids = Digests(), [Rolling(odd) for odd in ODD], [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)]
+        digests, rolling = kept_in_worker("phrases", lambda: (Digests(), [Rolling(odd) for odd in ODD]))
+        hashes, ids = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)]
         for doc_id, _, content in shard_documents(path):
             starts = occurrences(automaton, content)
             if doc_id == NO_ID or not len(starts):
@@ -228,25 +231,40 @@ def _distinct(pairs: np.ndarray) -> np.ndarray:
     return pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])]
 
 
+def _earlier(both: np.ndarray, window: int, rolling: list[Rolling], h1: np.ndarray, h2: np.ndarray, first: np.ndarray, doc_id: int) -> np.ndarray:
+    """Windows known to start in a document before ``doc_id``; the second half of a hash is only computed for texts where a first half is met."""
+    mine = rolling[0].runs(both[:, 0], window).view(np.int64)
+    place = np.searchsorted(h1, mine)
+    met = np.flatnonzero(h1[np.minimum(place, len(h1) - 1)] == mine)
+    if not len(met):
+        return met
+    place, mine, other = place[met], mine[met], rolling[1].runs(both[:, 1], window).view(np.int64)[met]
+    earlier = np.zeros(len(met), bool)
+    while True:  # entries of equal first half stand together; there is nearly always one
+        here = (place < len(h1)) & (h1[np.minimum(place, len(h1) - 1)] == mine)
+        if not here.any():
+            return met[earlier]
+        at = np.minimum(place, len(h1) - 1)
+        earlier |= here & (h2[at] == other) & (first[at] < doc_id)
+        place = place + 1
+
+
 def _cut(repeated: DataFrame, window: int, content: bool) -> DataFrame:
     """Step 4: the result for each text of each shard. ``repeated`` (shard, h1, h2, first), with one row of nulls a shard at least."""
 
     def cut(group: pa.Table) -> pa.Table:
         path = group["shard"][0].as_py()
-        known = group.filter(group["h1"].is_valid()).combine_chunks()
-        table_ = np.stack([known["h1"].to_numpy(), known["h2"].to_numpy()], 1).view(np.uint64) if len(known) else np.zeros((0, 2), np.uint64)
-        first = known["first"].to_numpy() if len(known) else np.zeros(0, np.int64)
-        order = np.lexsort((table_[:, 1], table_[:, 0]))
-        keys = np.ascontiguousarray(table_[order]).astype(">u8").view("S16").ravel()
-        first = first[order]
-        digests, rolling, rows = Digests(), [Rolling(odd) for odd in ODD], []
+        known = group.filter(group["h1"].is_valid())
+        h1, h2, first = (known[c].to_numpy() for c in ("h1", "h2", "first"))
+        order = np.argsort(h1, kind="stable")
+        h1, h2, first = h1[order], h2[order], first[order]
+        digests, rolling = kept_in_worker("phrases", lambda: (Digests(), [Rolling(odd) for odd in ODD]))
+        rows = []
         for doc_id, key, joined in shard_documents(path):
             words = joined.split()
             kept, removed = joined, 0
-            if len(words) >= window and len(keys) and doc_id != NO_ID:
-                mine = np.ascontiguousarray(_window_hashes(words, window, digests, rolling)).astype(">u8").view("S16").ravel()
-                place = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-                hit = np.flatnonzero((keys[place] == mine) & (first[place] < doc_id))
+            if len(words) >= window and len(h1) and doc_id != NO_ID:
+                hit = _earlier(word_hashes(words, digests), window, rolling, h1, h2, first, doc_id)
                 if len(hit):
                     step = np.zeros(len(words) + 1, np.int64)
                     np.add.at(step, hit, 1)
@@ -273,12 +291,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", identifier: str = "doc_i
     picked = write_shards(texts, work_dir(spark, "phrase-shards"), window)
 
     by_phrase = Window.partitionBy("phrase")
+    # Rows that name a shard are few bytes and much work, so they are dealt to a number of tasks that follows from the shards.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), picked.where("phrase IS NULL").count() // 4)
     confirmed = picked.where("phrase IS NOT NULL").withColumn("least", F.min("lo").over(by_phrase)).withColumn("most", F.max("hi").over(by_phrase)).where("least < most").select("shard", "phrase")
 
     by_window = Window.partitionBy("h1", "h2")
-    found = locate(confirmed, window).withColumn("first", F.min("lo").over(by_window)).where("first < hi").select("shard", "h1", "h2", "first")
+    found = locate(confirmed.repartition(tasks, "shard"), window).withColumn("first", F.min("lo").over(by_window)).where("first < hi").select("shard", "h1", "h2", "first")
     all_shards = picked.where("phrase IS NULL").select("shard", *[F.lit(None).cast("bigint").alias(c) for c in ("h1", "h2", "first")])
-    results = stored(_cut(found.unionByName(all_shards), window, content), "phrases-cut")
+    results = stored(_cut(found.unionByName(all_shards).repartition(tasks, "shard"), window, content), "phrases-cut")
 
     copy = F.col("named") & (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
     return rows.select("doc_id", "key", "named").join(results, ["key", "named"]).select(
