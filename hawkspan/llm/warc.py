@@ -28,7 +28,7 @@ from hawkspan.llm.base import register, table, work_dir
 from hawkspan.llm.token_files import open_folder
 from hawkspan.session import stored
 
-SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 64_000, 8_192, 1_000_000_000
+SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 4_000, 8_192, 1_000_000_000
 RECORD = "record_id string, type string, page_id bigint, target string, number int, origin string, total bigint, refers_to string, digest string, block binary"
 PAGE = "record_id string, page_id bigint, type string, refers_to string, status string, payload_bytes bigint, payload_digest string, payload binary"
 
@@ -220,7 +220,8 @@ def reassembled(records: DataFrame) -> DataFrame:
 
 
 def payloads(records: DataFrame, content: bool = True) -> DataFrame:
-    """record_id, page_id, type, refers_to, status, payload_bytes, payload_digest and (with ``content``) payload of whole records.
+    """record_id, page_id, type, refers_to, status, payload_bytes, payload_digest and (with ``content``) payload of whole records, and
+    ``refers_to_page``, the page identifier in the record that a revisit refers to.
 
     Status: ``ok``; ``incomplete``; ``malformed``; ``digest`` if the payload differs from the digest in the record. A revisit has its
     digest from the record and its length from the record it refers to (``missing`` if there is none, ``digest`` if the digests differ).
@@ -246,15 +247,16 @@ def payloads(records: DataFrame, content: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in PAGE.split(", ")])
 
     decoded = stored(reassembled(records).mapInArrow(decode, PAGE), "warc-payloads")
-    origin = decoded.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("origin_bytes"), F.col("payload_digest").alias("origin_digest"), F.lit(True).alias("known"))
+    origin = decoded.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("origin_bytes"), F.col("payload_digest").alias("origin_digest"), F.col("page_id").alias("refers_to_page"), F.lit(True).alias("known"))
     revisits = decoded.where("type = 'revisit' AND refers_to IS NOT NULL").join(origin, "refers_to", "left")
     status = F.when(F.col("known").isNull(), "missing").when(F.col("origin_digest") != F.col("payload_digest"), "digest").otherwise(F.col("status"))
-    told = revisits.select("record_id", "page_id", "type", "refers_to", status.alias("status"), F.col("origin_bytes").alias("payload_bytes"), "payload_digest", "payload")
-    return decoded.where("type <> 'revisit' OR refers_to IS NULL").unionByName(told)
+    told = revisits.select("record_id", "page_id", "type", "refers_to", status.alias("status"), F.col("origin_bytes").alias("payload_bytes"), "payload_digest", "payload", "refers_to_page")
+    rest = decoded.where("type <> 'revisit' OR refers_to IS NULL").withColumn("refers_to_page", F.lit(None).cast("bigint"))
+    return rest.unionByName(told)
 
 
 @register("op5_warc")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(table(spark, sf_dir, "pages"), work_dir(spark, "warc"))
     found = payloads(read_archives(manifest), content=False)
-    return found.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.split("refers_to", ":")[2].cast("bigint").alias("refers_to"))
+    return found.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
