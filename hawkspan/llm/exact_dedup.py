@@ -1,19 +1,23 @@
 """Exact deduplication over a stateful stream, in DataFrame operations only.
 
-Arrivals (digest, identifier, locator) stream through a keyed aggregation whose state lies on disk (RocksDB) and never expires.
-Per digest it retains the stable identifier and the content locator (file and row) of the row that stays, and how often the digest
-came. With a ``state_dir`` of the caller's the state outlives the call: later arrivals meet what came before.
+Arrivals (digest, identifier, locator) are appended to one lasting folder and stream through a keyed aggregation whose state lies on disk
+(RocksDB) and never expires. Per digest it retains the stable identifier and the content locator (file and row) of the row that stays,
+and how often the digest came. With a ``state_dir`` of the caller's both outlive the call: later arrivals meet what came before. The
+files that were given must then stay where they are, for locators lead back into them.
 
-A digest alone proves nothing, so hits are checked on full bytes: a digest whose smallest and largest text differ holds several
-texts, and its rows are grouped by the text itself.
+A digest alone proves nothing, so hits are checked on full bytes: of every digest that came more than once the smallest and the largest
+text are compared, and where earlier calls had it, the text that a locator of theirs leads to. A digest that holds several texts is
+remembered as such, and all its rows, of this call and by locator of earlier ones, are grouped by the text itself.
 
 Defined cases: a null text counts as empty; a null identifier is smaller than any other; of rows with equal text and equal
 identifier the one with the greatest locator stays; an empty table gives an empty result; other columns are ignored, whatever their
-names.
+names. A call returns the rows it was given; what it changes for rows of earlier calls is seen by asking for them again.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +31,8 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no disk space ahead of need
 }
-ARRIVAL = "sha binary, doc_id bigint, file string, row bigint"
-STATE = "digest binary, keeper struct<doc_id:bigint,file:string,row:bigint>, copies bigint"
+ARRIVAL = "sha binary, doc_id bigint, file string, row bigint, arrived string"
+KEEPER = "struct<doc_id:bigint,file:string,row:bigint>"
 
 
 def located(docs: DataFrame, text: str, identifier: str) -> DataFrame:
@@ -53,7 +57,18 @@ def retain(spark: SparkSession, arrivals_dir: str, state_dir: str, digest_bits:
     state.writeStream.format("noop").outputMode("update").option("checkpointLocation", state_dir).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.format("statestore").load(state_dir)
     keeper, copies = rows.schema["value"].dataType.names
-    return rows.select(F.col("key.digest").alias("digest"), F.col(f"value.`{keeper}`").cast("struct<doc_id:bigint,file:string,row:bigint>").alias("keeper"), F.col(f"value.`{copies}`").alias("copies"))
+    return rows.select(F.col("key.digest").alias("digest"), F.col(f"value.`{keeper}`").cast(KEEPER).alias("keeper"), F.col(f"value.`{copies}`").alias("copies"))
+
+
+def followed(spark: SparkSession, locators: DataFrame, text: str) -> DataFrame:
+    """The rows of ``locators`` (file, row, ...) with the text they lead to, as ``content``. Only the files that are named are opened."""
+    files = [r["file"] for r in locators.select("file").distinct().collect()]  # names of files, of which a table has few for its rows
+    if not files:
+        return locators.withColumn("content", F.lit(None).cast("string"))
+    read = spark.read.parquet(*files)
+    meta = read.metadataColumn("_metadata")
+    there = read.select(F.coalesce(read[text].cast("string"), F.lit("")).alias("content"), meta["file_path"].alias("file"), meta["row_index"].alias("row"))
+    return locators.join(there, ["file", "row"])
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", identifier: str = "doc_id", state_dir: str | None = None, digest_bits: int = 256, bytes_per_trigger: int = 10**12) -> DataFrame:
@@ -64,20 +79,38 @@ def exact_dedup(docs: DataFrame, text: str = "text", identifier: str = "doc_id",
     """
     spark = docs.sparkSession
     rows = located(docs, text, identifier)
-    folder = work_dir(spark, "exact-dedup")
-    rows.select(F.unhex(F.sha2("content", 256)).alias("sha"), "doc_id", "file", "row").write.parquet(f"{folder}/arrivals")
+    folder, call = state_dir or work_dir(spark, "exact-dedup"), uuid.uuid4().hex
+    sha = F.unhex(F.sha2("content", 256)).alias("sha")
+    rows.select(sha, "doc_id", "file", "row", F.lit(call).alias("arrived")).write.mode("append").parquet(f"{folder}/arrivals")
     arrivals = spark.read.schema(ARRIVAL).parquet(f"{folder}/arrivals").withColumn("digest", _digest(digest_bits))
-    state = retain(spark, f"{folder}/arrivals", state_dir or f"{folder}/state", digest_bits, bytes_per_trigger)
-    by_digest = arrivals.join(state, "digest")
-
-    # Full bytes: extremes are taken per task before the shuffle, so a text with a third of all rows travels once per task.
-    content = rows.select("content", F.unhex(F.sha2("content", 256)).alias("sha")).select(_digest(digest_bits), "content")
-    mixed = stored(content.groupBy("digest").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("digest"), "exact-dedup-mixed")
+    state = retain(spark, f"{folder}/arrivals", f"{folder}/state", digest_bits, bytes_per_trigger)
+    by_digest = arrivals.where(F.col("arrived") == call).join(state, "digest").drop("arrived")
+
+    # Full bytes of hits. Extremes are taken per task before the shuffle, so a text with a third of all rows travels once per task.
+    hits = state.where("copies > 1").select("digest")
+    extremes = [F.min("content").alias("low"), F.max("content").alias("high")]
+    spread = rows.select("content", sha).select(_digest(digest_bits), "content").groupBy("digest").agg(*extremes).join(hits, "digest", "left_semi")
+    mixed = spread.where("low <> high").select("digest")
+    earlier = arrivals.where(F.col("arrived") != call)
+    again = state_dir is not None and not earlier.isEmpty()
+    if again:
+        # Of one digest all earlier texts are equal, unless it is remembered as mixed: one of them stands for all.
+        one = earlier.join(spread.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.max(F.struct("file", "row")).alias("at")).select("digest", "at.*")
+        met = followed(spark, one, text).select("digest", "content").join(spread, "digest")
+        mixed = mixed.unionByName(met.where("content <> low").select("digest")).unionByName(spark.read.schema("digest binary").parquet(f"{folder}/mixed")).distinct()
+    mixed = stored(mixed, "exact-dedup-mixed")
+    if state_dir is not None:
+        mixed.write.mode("append").parquet(f"{folder}/mixed")
     if not mixed.isEmpty():
-        again = rows.withColumn("sha", F.unhex(F.sha2("content", 256))).withColumn("digest", _digest(digest_bits)).join(mixed, "digest", "left_semi")
-        groups = again.groupBy("content").agg(F.max(F.struct("doc_id", "file", "row")).alias("keeper"), F.count(F.lit(1)).alias("copies"))
+        whole = rows.withColumn("sha", sha).withColumn("digest", _digest(digest_bits)).join(mixed, "digest", "left_semi")
+        columns = ["content", "doc_id", "file", "row"]
+        seen = whole.select(*columns)
+        if again:
+            before = stored(earlier.join(mixed, "digest", "left_semi").select("doc_id", "file", "row"), "exact-dedup-before")
+            seen = seen.unionByName(followed(spark, before, text).select(*columns))
+        groups = seen.groupBy("content").agg(F.max(F.struct("doc_id", "file", "row")).alias("keeper"), F.count(F.lit(1)).alias("copies"))
         columns = ["sha", "doc_id", "file", "row", "keeper", "copies"]
-        by_digest = by_digest.join(mixed, "digest", "left_anti").select(*columns).unionByName(again.join(groups, "content").select(*columns))
+        by_digest = by_digest.join(mixed, "digest", "left_anti").select(*columns).unionByName(whole.join(groups, "content").select(*columns))
     return by_digest.select(
         "doc_id", F.col("keeper.doc_id").alias("keep_id"), F.col("copies").alias("group_size"),
         ((F.col("file") == F.col("keeper.file")) & (F.col("row") == F.col("keeper.row"))).alias("kept"),
