@@ -33,10 +33,28 @@ def test_exact_dedup_with_and_without_collisions(written, bits):
     assert sorted(r.text or "" for r in exact_dedup.keep_first(docs, digest_bits=bits).collect()) == sorted(groups)
 
 
-def test_state_outlives_a_call_and_empty_table(written, tmp_path):
+@pytest.mark.parametrize("bits", [256, 8])
+def test_later_calls_meet_what_came_before(written, tmp_path, bits):
     state = str(tmp_path / "state")
-    first = exact_dedup.exact_dedup(written([(1, "a", "", "", "")], SCHEMA), state_dir=state).collect()
-    assert [(r.keep_id, r.group_size) for r in first] == [(1, 1)]
+    calls = [
+        [(1, "a", "", "", ""), (2, "b", "", "", ""), (None, "c", "", "", "")],
+        [(7, "a", "", "", ""), (0, "b", "", "", ""), (8, "d", "", "", ""), (8, "d", "", "", "")],
+        [],
+        [(3, "a", "", "", ""), (9, "c", "", "", ""), *[(100 + i, f"text {i % 300}", "", "", "") for i in range(400)]],
+        [(600 + i, f"text {i}", "", "", "") for i in range(0, 300, 2)],
+    ]
+    seen = defaultdict(list)
+    for number, rows in enumerate(calls):
+        got = exact_dedup.exact_dedup(written(rows, SCHEMA, f"call{number}"), state_dir=state, digest_bits=bits).collect()
+        for doc_id, text, *_ in rows:
+            seen[text].append(doc_id)
+        want = sorted((str(d), str(max((x for x in seen[t] if x is not None), default=None)), len(seen[t])) for d, t, *_ in rows)
+        assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in got) == want
+        keepers = {t: max((x for x in ids if x is not None), default=None) for t, ids in seen.items()}
+        assert sum(r.kept for r in got) == len({t for d, t, *_ in rows if d == keepers[t]})
+
+
+def test_exact_dedup_of_an_empty_table(written):
     assert exact_dedup.exact_dedup(written([], SCHEMA, "none")).count() == 0
 
 

@@ -99,6 +99,29 @@ def test_pages_survive_segments_and_revisits(spark, tmp_path):
     assert warc.payloads(warc.read_archives(manifest.limit(0))).count() == 0
 
 
+def test_pages_through_the_query_with_null_and_repeated_identifiers(spark, tmp_path):
+    rows = [(None, "n1", "same"), (None, "n2", "same"), (5, "u5", "x" * 9000), (5, "u5", "x" * 9000), (4, None, "x" * 9000), (None, None, None), (6, "u6", ""), (None, "n3", "only"), (7, "u7", "é" * 40_000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in warc.op5(spark, str(tmp_path)).collect())
+    first, want = {}, []
+    for page_id, _, html in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        payload = (html or "").encode()
+        kind, refers = ("revisit", first[payload]) if payload in first else ("response", None)
+        first.setdefault(payload, page_id)
+        want.append((str(page_id), len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), kind, str(refers)))
+    assert got == sorted(want)
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "none" / "pages.parquet"))
+    assert warc.op5(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_the_query_splits_pages_of_the_given_tables(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    records = warc.read_archives(warc.write_archives(pages, str(tmp_path / "warc")))
+    parts = records.where("type = 'continuation'").count()
+    assert parts > pages.count() / 10
+    assert {r.status for r in warc.payloads(records, content=False).select("status").distinct().collect()} == {"ok"}
+
+
 def test_neighbours_against_brute_force(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     odd = spark.createDataFrame([(10_000, None), (10_050, [0.0] * 64), (10_100, [float("nan")] + [1.0] * 63), (10_150, [1.0])], "vec_id long, embedding array<float>")
@@ -153,6 +176,89 @@ def test_secrets_keep_base_findings_and_add_like_ones(spark):
     assert [len([s for s in got[i] if s.order < 3]) for i in range(120, 128)] == [0, 0, 1, 1, 1, 0, 0, 1]
     assert sum(any(s.order == 3 for s in got[i]) for i in range(60, 120)) <= 6
     assert secrets.train(docs.limit(0)) is None
+    assert {r.trained for r in secrets.find_secrets(docs, None).collect()} == {False}
+
+
+def plain_base_spans(text):
+    """The base findings, found one character at a time."""
+    lower, spans = "".join(c.lower() if c.isascii() else c for c in text), []
+    word = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+
+    def run(at, allowed):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    def assignment(at):
+        for key in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if lower.startswith(key, at):
+                i = at + len(key)
+                i += text[i : i + 1] in ("'", '"') and text[i : i + 1] != ""
+                i = run(i, " ")
+                if text[i : i + 1] in (":", "=") and text[i : i + 1]:
+                    i = run(i + 1, " ")
+                    i += text[i : i + 1] in ("'", '"') and text[i : i + 1] != ""
+                    end = run(i, word)
+                    if end > i:
+                        return end, end - i >= 6
+        return None
+
+    at = 0
+    while at < len(text):
+        hit = assignment(at)
+        if hit and hit[1]:
+            spans.append((at, 0, hit[0]))
+        at = hit[0] if hit else at + 1
+    at = 0
+    while (at := text.find("AKIA", at)) >= 0:
+        end = run(at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+        if end >= at + 20:
+            spans.append((at, 1, end))
+        at = end if end > at + 4 else at + 1
+    at = 0
+    while at < len(text):
+        end = run(at, set("0123456789abcdef"))
+        if end - at >= 24:
+            spans.append((at, 2, end))
+        at = max(end, at + 1)
+    return sorted(spans)
+
+
+def test_secrets_of_the_query_against_plain_code_and_planted_ones(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    tables = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    letters, mixed = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def draw(alphabet, n):
+        return "".join(rng.choice(list(alphabet), n))
+
+    keyless = [f"and then {draw(mixed, 30)} was left on the table" for _ in range(40)] + [f"see {draw('0123456789abcdef', 22)} again, she said" for _ in range(40)]
+    harmless = [f"the word {draw(letters, 6)}{draw('aeiou', 1)}{draw(letters, 9)} is long" for _ in range(40)] + [f"number {draw('123456789', 16)} of the list" for _ in range(40)]
+    odd = [None, "", "TOKEN='abc' secret = \"abcdef\"", "api_key: 'x' passwd=\u00e9 Password :  zzzzzz", "AKIAAKIA" + "B" * 15, "a" * 23 + "g" + "f" * 30, "to\u212aen=abcdefg secretsecret=abcdef.", "token=password=secret=abcdefgh"]
+    texts = [*odd, *keyless, *harmless]
+    rows = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    tables.select("doc_id", "text").unionByName(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in secrets.op9(spark, str(tmp_path)).collect()}
+    known = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()}
+    assert set(got) == set(known) and all(r.trained for r in got.values())
+    for doc_id, text in known.items():
+        want = plain_base_spans(text or "")
+        r = got[doc_id]
+        joined = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in want)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), text
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in want) for i in range(3)]
+        assert [s for s in r.spans.split(",") if s and not s.startswith("opaque")] == (joined.split(",") if joined else [])
+    first = 10**6 + len(odd)
+    found = [got[first + i].n_opaque for i in range(len(keyless) + len(harmless))]
+    assert sum(x > 0 for x in found[:80]) >= 60 and sum(x > 0 for x in found[80:]) <= 8
+    assert sum(r.n_opaque > 0 for d, r in got.items() if d < 10**6) <= 50
+
+
+def test_training_examples_do_not_depend_on_the_partitions(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    monkeypatch.setattr(secrets, "fit", lambda positives, negatives: (positives.tobytes(), negatives.tobytes()))
+    assert secrets.train(rows.repartition(7), values_most=20, tokens_most=5) == secrets.train(rows.coalesce(1), values_most=20, tokens_most=5)
 
 
 def test_secrets_read_long_candidates_to_their_end(spark, monkeypatch):
