@@ -161,7 +161,7 @@ _GEO = dict(
     src_as_org="CASE WHEN user_id % 11 = 0 THEN '' ELSE 'Network operator with a long name no ' || CAST(user_id % 40 AS STRING) END",
 )
 view(
-    "alert", "events", timestamp="TS(US(ts))", src_ip=_USER_IP, dest_ip="CASE WHEN event_id % 9 = 0 THEN '8.8.8.8' ELSE '10.128.0.' || CAST(event_id % 4 AS STRING) END",
+    "alert", "events", timestamp="TS(US(ts))", loaded_at="TS(US(ts) + event_id % 9000 * 1000)", src_ip=_USER_IP, dest_ip="CASE WHEN event_id % 9 = 0 THEN '8.8.8.8' ELSE '10.128.0.' || CAST(event_id % 4 AS STRING) END",
     dest_port="CAST(CASE event_id % 3 WHEN 0 THEN 80 WHEN 1 THEN 22 ELSE 443 END AS INT)", in_iface="CASE WHEN event_id % 20 = 0 THEN 'replay0' ELSE 'ens4' END",
     app_proto="CASE event_id % 3 WHEN 0 THEN 'http' WHEN 1 THEN 'ssh' ELSE 'tls' END", alert_gid="CAST(1 AS BIGINT)", alert_signature_id="2000000 + event_id % 100",
     alert_signature="'Signature no ' || CAST(event_id % 100 AS STRING)", alert_severity="CAST(event_id % 3 + 1 AS INT)",
@@ -203,7 +203,7 @@ view(
     value=(
         "CASE s_suppkey % 4 WHEN 0 THEN CASE WHEN s_suppkey % 8 = 0 THEN '198.18.0.' || CAST(s_suppkey % 250 AS STRING) ELSE '203.0.113.' || CAST(s_suppkey % 3 AS STRING) END "
         "WHEN 1 THEN '.' || CASE WHEN s_suppkey % 8 = 1 THEN 'svc' || CAST(s_suppkey % 3 AS STRING) || '.example.com' ELSE 'x' || CAST(s_suppkey AS STRING) || '.example.com' END "
-        "WHEN 2 THEN '198.18.' || CAST(s_suppkey % 7 AS STRING) || '.0/24' ELSE 'host' || CAST(s_suppkey % 50 AS STRING) || '.svc' || CAST(s_suppkey % 3 AS STRING) || '.example.com' END"
+        "WHEN 2 THEN CASE WHEN s_suppkey % 24 = 2 THEN '198.51.100.' || CAST(s_suppkey DIV 24 % 10 AS STRING) || '/32' ELSE '198.18.' || CAST(s_suppkey % 7 AS STRING) || '.0/24' END ELSE 'host' || CAST(s_suppkey % 50 AS STRING) || '.svc' || CAST(s_suppkey % 3 AS STRING) || '.example.com' END"
     ),
     reason="s_name", expires_at="TS(1640995200000000 + s_suppkey % 40 * 86400000000 * 60)", enabled="s_suppkey % 5 <> 0",
 )
@@ -216,11 +216,11 @@ view(
     a1="40 + s_suppkey % 150", a2="s_suppkey DIV 150 % 250", country_code="'C' || CAST(s_nationkey AS STRING)", country="'Country ' || CAST(s_nationkey AS STRING)",
 )
 view(
-    "networks", "supplier", "s_suppkey % 5 <> 2", lo="'4' || HEX2(40 + s_suppkey % 150) || HEX2(s_suppkey DIV 150 % 250) || '0700'",
+    "networks", "supplier", lo="'4' || HEX2(40 + s_suppkey % 150) || HEX2(s_suppkey DIV 150 % 250) || '0700'",
     hi="'4' || HEX2(40 + s_suppkey % 150) || HEX2(s_suppkey DIV 150 % 250) || '0763'", a1="40 + s_suppkey % 150", a2="s_suppkey DIV 150 % 250",
     asn="64500 + s_suppkey", as_org="s_name",
 )
-_MODE = "CASE WHEN event_id % 5 = 0 THEN 'dry-run' ELSE 'enforce' END"
+_MODE = "CASE WHEN event_id % 97 = 0 THEN 'test' WHEN event_id % 5 = 0 THEN 'dry-run' ELSE 'enforce' END"
 _TRIGGER = "CASE event_id % 4 WHEN 0 THEN 'honeypot' WHEN 1 THEN 'suricata' WHEN 2 THEN 'scanner' ELSE 'manual' END"
 view(
     "actions", "events", created_at="TS(US(ts) DIV 1000 * 1000)",
@@ -233,20 +233,20 @@ view(
     detail="'{\"startsAt\": \"' || CAST(TS((US(ts) DIV 1000000 - event_id % 2400) * 1000000) AS STRING) || '\"}'",
 )
 view(
-    "applies", "events", "event_type IN ('signup', 'purchase', 'view')", applied_at="TS((US(ts) DIV 1000 + 30000 + event_id % 60000) * 1000)", firewall="'blocklist'", mode=_MODE,
+    "applies", "events", applied_at="TS((US(ts) DIV 1000 + 30000 + event_id % 60000) * 1000)", firewall="'blocklist'", mode=_MODE,
     result="CASE WHEN event_id % 9 = 0 THEN 'error' WHEN event_id % 5 = 0 THEN 'dry-run' ELSE 'ok' END",
     ranges=f"ARR({_USER_IP} || '/32')", added=f"CASE WHEN event_type = 'view' THEN NOTEXT() ELSE ARR({_USER_IP} || '/32', '192.0.2.' || CAST(event_id % 7 AS STRING) || '/32') END",
     removed=f"CASE WHEN event_type = 'view' THEN ARR({_USER_IP} || '/32') ELSE NOTEXT() END", duration_ms="event_id % 3000",
     error="CASE WHEN event_id % 9 = 0 THEN 'timed out' ELSE '' END",
 )
 view(
-    "verdicts", "events", "event_type <> 'error'", created_at="TS(US(ts) + 3600000000)", source="CASE WHEN event_type = 'purchase' THEN 'detection' ELSE 'suricata' END",
+    "verdicts", "events", created_at="TS(US(ts) + 3600000000)", source="CASE WHEN event_type = 'purchase' THEN 'detection' ELSE 'suricata' END",
     subject=f"CASE WHEN event_type = 'purchase' THEN 'DET-10' || CAST(1 + event_id % 9 AS STRING) || '|10.0.9.' || CAST(user_id % 50 AS STRING) || '|198.51.100.' || CAST(user_id % 20 AS STRING) || '|443' ELSE CAST(2000000 + event_id % 100 AS STRING) || '|' || {_USER_IP} END",
     verdict="CASE WHEN event_id % 4 = 0 THEN 'false_positive' ELSE 'true_positive' END", analyst="'analyst' || CAST(event_id % 3 AS STRING)",
     tune_id="CASE WHEN event_id % 6 = 0 THEN 'TUNE-' || CAST(100 + event_id % 900 AS STRING) ELSE '' END", note="'note ' || CAST(event_id AS STRING)",
 )
 view(
-    "hits", "orders", run_id="md5(CAST(o_orderdate AS STRING))", run_at="TS(US(o_orderdate))", detection_id="'DET-10' || CAST(1 + o_orderkey % 9 AS STRING)",
+    "hits", "orders", run_id="md5(CAST(o_orderdate AS STRING))", run_at="TS(US(o_orderdate) - US(o_orderdate) % 2592000000000)", detection_id="'DET-10' || CAST(1 + o_orderkey % 9 AS STRING)",
     severity="CASE o_custkey % 3 WHEN 0 THEN 'high' ELSE 'medium' END", src="'10.0.9.' || CAST(o_custkey % 50 AS STRING)", dst="'198.51.100.' || CAST(o_custkey % 20 AS STRING)",
     dst_port="CAST(443 AS INT)", score="CAST(o_custkey % 1000 AS DOUBLE) / 1000", summary="'finding ' || CAST(o_orderkey AS STRING)",
     hit_key="'DET-10' || CAST(1 + o_orderkey % 9 AS STRING) || '|10.0.9.' || CAST(o_custkey % 50 AS STRING) || '|198.51.100.' || CAST(o_custkey % 20 AS STRING) || '|443'",
@@ -276,7 +276,7 @@ view(
 view("certificates", "lineitem", candidate="'name' || CAST(l_suppkey * 3 AS STRING) || '.test'", not_before="TS(US(l_shipdate))", issuer_name="'CA ' || CAST(l_linenumber AS STRING)")
 
 # Runs at the same times as the stored findings, so that "the newest run" has findings.
-view("hits_runs", "orders", run_at="TS(US(o_orderdate))", backfill="o_custkey % 5 = 0")
+view("hits_runs", "orders", run_at="TS(US(o_orderdate) - US(o_orderdate) % 2592000000000)", backfill="o_custkey % 5 = 0")
 # Connection records of the flows that raised alerts.
 view("conn_flow", "events", ts="TS(US(ts) - 250000)", uid="'E' || CAST(event_id AS STRING)", conn_state="'SF'", community_id="'1:' || md5(CAST(event_id AS STRING))")
 _FAR = "CASE WHEN l_linenumber = 7 THEN '' WHEN l_linenumber = 6 THEN " + _VISITOR + " ELSE " + _OUTSIDE + " END"
@@ -354,5 +354,21 @@ view(
 view("never_block", "nation", lo="'4' || HEX2(40 + n_nationkey) || '000000'", hi="'4' || HEX2(40 + n_nationkey) || '00ffff'", network="CAST(40 + n_nationkey AS STRING) || '.0.0.0/16'", reason="n_name", place="CAST(n_nationkey AS INT)", a1="40 + n_nationkey")
 view("cases", "customer", case_name="'case-' || CAST(c_custkey AS STRING)", started_at=f"TS({DAY0} + c_custkey * 1500000000)", deadline=f"TS({DAY0} + c_custkey * 1500000000 + 5400000000)", expected_sids="ARR(2000000 + c_custkey % 100, 2000000 + c_custkey * 7 % 100)")
 view("lab_text", "supplier", value="'10.0.0.' || CAST(s_suppkey % 200 AS STRING) || CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN '=sensor' ELSE '=honeypot:' || s_name END || ', 10.1.0.' || CAST(s_suppkey % 200 AS STRING) || '=other:x:y'")
-
-VIEWS["dns_d"] = VIEWS["dns"][:1]  # the part of one table, for streaming
+view("suffix_base", "part", p_brand="lower(replace(p_brand, '#', ''))")
+view(
+    "suffix_names", "customer",
+    name=(
+        "CASE c_custkey % 7 WHEN 0 THEN 'brand' || CAST(11 + c_custkey % 45 AS STRING) || '.test' WHEN 1 THEN 'shop' || CAST(c_custkey AS STRING) || '.Brand' || CAST(11 + c_custkey % 45 AS STRING) || '.test' "
+        "WHEN 2 THEN 'a.b.c' || CAST(c_custkey AS STRING) || '.brand' || CAST(11 + c_custkey % 45 AS STRING) || '.wild' WHEN 3 THEN 'x.keep.brand' || CAST(11 + c_custkey % 45 AS STRING) || '.wild' "
+        "WHEN 4 THEN 'brand' || CAST(11 + c_custkey % 45 AS STRING) || '.wild' WHEN 5 THEN 'single' || CAST(c_custkey AS STRING) ELSE 'www.deep.site' || CAST(c_custkey % 100 AS STRING) || '.org' END"
+    ),
+)
+view(
+    "v6_hosts", "customer",
+    ip="CASE WHEN c_custkey % 9 = 0 THEN '' ELSE '2001:db8:' || HEX2(c_custkey % 300) || CASE WHEN c_custkey % 2 = 0 THEN '::' ELSE ':8000::' END || HEX2(c_custkey % 7000) END",
+    block="c_custkey % 300", upper="c_custkey % 2 = 1 AND c_custkey % 9 <> 0", known="c_custkey % 9 <> 0",
+)
+_V6 = "'620010db8' || lpad(HEX2({}), 4, '0') || "
+view("v6_ranges", "supplier", lo=_V6.format("s_suppkey % 300") + "repeat('0', 20)", hi=_V6.format("s_suppkey % 300") + "repeat('f', 20)", asn="s_suppkey % 300", block="s_suppkey % 300", upper="s_suppkey < 0")
+view("v6_ranges", "supplier", lo=_V6.format("s_suppkey % 300") + "'8' || repeat('0', 19)", hi=_V6.format("s_suppkey % 300") + "repeat('f', 20)", asn="100000 + s_suppkey % 300", block="s_suppkey % 300", upper="s_suppkey >= 0")
+view("release_requests", "supplier", ip="'198.51.100.' || CAST(s_suppkey % 250 AS STRING)", reason="s_name", suppress_seconds="CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE CAST(s_suppkey * 60 AS DOUBLE) END")

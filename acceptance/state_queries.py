@@ -8,7 +8,7 @@ from acceptance.report_queries import ACTIVE, NOW, STANDING, verdicts
 from hawkspan.functions.net import NOT_GLOBAL_V4, network_bounds
 from hawkspan.functions.tls import tls_fingerprints
 from hawkspan.operators import allowlist
-from hawkspan.operators.ipjoin import geo_enrich
+from hawkspan.operators.ipjoin import geo_enrich, lookup_ranges
 from hawkspan.plans import detections as det
 from hawkspan.plans import evaluate, findings, response
 from hawkspan.sources import normalize, reference, tables
@@ -77,6 +77,13 @@ query(
 )(lambda t: geo_enrich(t["cowrie"].drop("src_country_code", "src_country", "src_asn", "src_as_org"), "src_ip", t["countries"], t["networks"], "src_"))
 
 
+query(
+    "geo_lookup_v6", "addr s, asn i",
+    """WITH n AS (SELECT DISTINCT block, upper, asn FROM v6_ranges) SELECT DISTINCT ip AS addr, coalesce(u.asn, l.asn) AS asn FROM v6_hosts h
+    LEFT JOIN n u ON u.upper AND h.upper AND u.block = h.block LEFT JOIN n l ON NOT l.upper AND l.block = h.block WHERE known AND (u.asn IS NOT NULL OR l.asn IS NOT NULL)""",
+)(lambda t: lookup_ranges(t["v6_hosts"], "ip", t["v6_ranges"], ["asn"]))
+
+
 def codes(column: str) -> str:
     return f"list_filter({column}, lambda x: NOT (x // 256 = x % 256 AND x % 16 = 10))"
 
@@ -89,15 +96,13 @@ def dec(values: str) -> str:
     return f"array_to_string(list_transform({values}, lambda x: CAST(x AS VARCHAR)), '-')"
 
 
-query(
-    "tls_fingerprints", "uid s, ja3 s, ja4 s, ja4_r s",
-    f"""WITH first_ AS (SELECT *, {codes('ciphers')} AS cs, {codes('extensions')} AS es, {codes('sig_algs')} AS sa, {codes('supported_versions')} AS sv FROM hello QUALIFY row_number() OVER (PARTITION BY uid ORDER BY seq) = 1),
+TLS_SQL = f"""WITH first_ AS (SELECT *, {codes('ciphers')} AS cs, {codes('extensions')} AS es, {codes('sig_algs')} AS sa, {codes('supported_versions')} AS sv FROM hello QUALIFY row_number() OVER (PARTITION BY uid ORDER BY seq) = 1),
     parts AS (SELECT uid, md5(version || ',' || {dec('cs')} || ',' || {dec('es')} || ',' || {dec(codes('curves'))} || ',' || {dec(codes('point_formats'))}) AS ja3,
       't' || CASE list_max(sv) WHEN 772 THEN '13' WHEN 771 THEN '12' ELSE '00' END || CASE WHEN list_contains(es, 0) THEN 'd' ELSE 'i' END || lpad(CAST(len(cs) AS VARCHAR), 2, '0') || lpad(CAST(len(es) AS VARCHAR), 2, '0')
         || CASE WHEN alpn = '' THEN '00' WHEN alpn = '-x-' THEN '2d' ELSE alpn[1] || alpn[-1] END AS a,
       {hex4('list_sort(cs)')} AS b, {hex4('list_sort(list_filter(es, lambda x: x <> 0 AND x <> 16))')} || '_' || {hex4('sa')} AS c FROM first_)
-    SELECT uid, ja3, a || '_' || substr(sha256(b), 1, 12) || '_' || substr(sha256(c), 1, 12) AS ja4, a || '_' || b || '_' || c AS ja4_r FROM parts""",
-)(lambda t: tls_fingerprints(t["hello"]))
+    SELECT uid, ja3, a || '_' || substr(sha256(b), 1, 12) || '_' || substr(sha256(c), 1, 12) AS ja4, a || '_' || b || '_' || c AS ja4_r FROM parts"""
+query("tls_fingerprints", "uid s, ja3 s, ja4 s, ja4_r s", TLS_SQL)(lambda t: tls_fingerprints(t["hello"]))
 
 # --- reference files, findings, verdicts -----------------------------------------------------------------------------
 
@@ -180,11 +185,11 @@ query(
 SEVERE = "alert_severity = 1 AND in_iface = 'ens4' AND dest_ip LIKE '10.128.%' AND NOT starts_with(http_url, '/api/ds/query')"
 query("trigger_severe_alerts", "evaluated_at t, src_ip s, alerts i", f"WITH e AS (SELECT {ends('timestamp', 10)} AS evaluated_at, src_ip FROM alert WHERE {SEVERE}) SELECT evaluated_at, src_ip, count(*) AS alerts FROM e GROUP BY ALL")(response.severe_alerts_by_minute)
 query("trigger_ssh_pressure", "evaluated_at t, src_ip s, connections i", f"WITH e AS (SELECT {ends('ts', 10)} AS evaluated_at, id_orig_h AS src_ip FROM conn WHERE id_resp_p = 22 AND NOT local_orig AND local_resp) SELECT evaluated_at, src_ip, count(*) AS connections FROM e GROUP BY ALL ")(lambda t: response.ssh_pressure_by_minute(t, at_least=1))
-query(
-    "notifications", "rule s, src_ip s, notified_at t",
-    f"""WITH e AS (SELECT DISTINCT {ends('timestamp', 10)} AS at_, src_ip FROM alert WHERE {SEVERE}), g AS (SELECT *, CASE WHEN at_ - lag(at_) OVER w > INTERVAL 1 MINUTE OR lag(at_) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY src_ip ORDER BY at_)),
-    n AS (SELECT *, sum(fresh) OVER (PARTITION BY src_ip ORDER BY at_) AS k FROM g), s AS (SELECT *, min(at_) OVER (PARTITION BY src_ip, k) AS began FROM n) SELECT 'RSP-002' AS rule, src_ip, at_ AS notified_at FROM s WHERE (epoch_us(at_) - epoch_us(began)) % 1800000000 = 0""",
-)(lambda t: response.dedupe_notifications(response.severe_alerts_by_minute(t).select(F.lit("RSP-002").alias("rule"), "src_ip", "evaluated_at")))
+NOTICES_SQL = f"""WITH e AS (SELECT DISTINCT {ends('timestamp', 10)} AS at_, src_ip FROM alert WHERE {SEVERE}), g AS (SELECT *, CASE WHEN at_ - lag(at_) OVER w > INTERVAL 1 MINUTE OR lag(at_) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY src_ip ORDER BY at_)),
+    n AS (SELECT *, sum(fresh) OVER (PARTITION BY src_ip ORDER BY at_) AS k FROM g), s AS (SELECT *, min(at_) OVER (PARTITION BY src_ip, k) AS began FROM n) SELECT 'RSP-002' AS rule, src_ip, at_ AS notified_at FROM s WHERE (epoch_us(at_) - epoch_us(began)) % 1800000000 = 0"""
+query("notifications", "rule s, src_ip s, notified_at t", NOTICES_SQL)(
+    lambda t: response.dedupe_notifications(response.severe_alerts_by_minute(t).select(F.lit("RSP-002").alias("rule"), "src_ip", "evaluated_at"))
+)
 query("active_blocks", "ip s, trigger s, rule s, expires_at t", f"SELECT ip, trigger, rule, expires_at FROM {ACTIVE}")(lambda t: response.active_blocks(t, "enforce", AS_OF))
 query(
     "ip_history", "ip s, active b, suppressed_until t, earlier_blocks i",
@@ -221,22 +226,54 @@ def decisions(t):
 
 
 query("decide", "alerted_at t, ip s, trigger s, rule s, action s, reason s, expires_at t", DECIDE)(decisions)
+# The same batch against the whole log, at a time when some blocks are active, some sources released and some blocked before.
+LOG_TIME = "2024-02-28 12:00:00"
+AT = f"TIMESTAMP '{LOG_TIME}'"
+DECIDE_ON_LOG = f"""
+    WITH newest AS (SELECT ip, arg_max(action, (created_at, action, trigger, rule, reason)) AS state, arg_max(epoch_us(e), (created_at, action, trigger, rule, reason)) AS until_us
+        FROM (SELECT *, coalesce(expires_at, TIMESTAMP '1970-01-01') AS e FROM actions WHERE mode = 'enforce' AND action IN ('block', 'release')) GROUP BY ip),
+    past AS (SELECT ip, count(*) AS n FROM actions WHERE mode = 'enforce' AND action = 'block' AND created_at > {AT} - INTERVAL 30 DAY GROUP BY ip),
+    totals AS (SELECT (SELECT count(*) FROM newest WHERE state = 'block' AND until_us > epoch_us({AT})) AS active,
+        (SELECT count(*) FROM actions WHERE mode = 'enforce' AND action = 'block' AND trigger <> 'manual' AND created_at > {AT} - INTERVAL 10 MINUTE) AS fresh),
+    shaped AS (SELECT *, CASE WHEN {IS_V4} THEN ip ELSE '1.1.1.1' END AS ip4 FROM notices),
+    known AS (SELECT s.*, coalesce(state = 'block' AND until_us > epoch_us({AT}), false) AS active, CASE WHEN state = 'release' THEN make_timestamp(until_us) END AS released, coalesce(n, 0) AS n
+        FROM shaped s LEFT JOIN newest USING (ip) LEFT JOIN past USING (ip)),
+    judged AS (SELECT k.*, CASE WHEN trigger NOT IN ('honeypot', 'suricata', 'scanner', 'manual') THEN 'unknown trigger \'\'' || trigger || '\'\'' WHEN ip = 'junk' THEN 'invalid address' WHEN NOT {IS_V4} THEN 'not IPv4 (the sensor has no IPv6 address)'
+      WHEN NOT ({PUBLIC.replace('split_part(ip,', 'split_part(ip4,')}) THEN 'not a public address' WHEN b.a1 IS NOT NULL THEN 'never-block: ' || b.reason || ' (' || b.network || ')'
+      WHEN released > {AT} THEN 'suppressed by an analyst release until ' || strftime(released, '%Y-%m-%d %H:%M') || ' UTC' END AS fault
+      FROM known k LEFT JOIN never_block b ON CAST(split_part(ip4, '.', 1) AS INT) = b.a1 AND split_part(ip4, '.', 2) = '0'),
+    ordered AS (SELECT *, row_number() OVER (ORDER BY alerted_at, ip, trigger, rule) AS place FROM judged),
+    firsts AS (SELECT ip, min(place) AS place, arg_min(trigger, place) AS trig FROM ordered WHERE fault IS NULL AND NOT active AND trigger <> 'scanner' GROUP BY ip),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY place) AS r, coalesce(sum(CASE WHEN trig <> 'manual' THEN 1 ELSE 0 END) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM firsts),
+    stop AS (SELECT min(place) AS at_, arg_min(CASE WHEN active + r - 1 >= 200 THEN 'cap: 200 active blocks' ELSE 'cap: 20 new blocks per 10 min' END, place) AS why FROM ranked, totals WHERE active + r - 1 >= 200 OR fresh + a >= 20),
+    won AS (SELECT ip AS won_ip, place AS won FROM ranked, stop WHERE at_ IS NULL OR place < at_),
+    told AS (SELECT o.*, won, why, CASE WHEN fault IS NOT NULL THEN 'reject' WHEN active OR place > won THEN 'skip' WHEN trigger = 'scanner' THEN 'observe' WHEN won IS NOT NULL THEN 'block' ELSE 'reject' END AS action FROM ordered o LEFT JOIN won ON won_ip = ip, stop)
+    SELECT alerted_at, ip, trigger, rule, action, CASE WHEN fault IS NOT NULL THEN fault WHEN action = 'skip' THEN 'already blocked' WHEN action = 'observe' THEN 'trigger scanner is observe-only'
+        WHEN action = 'block' THEN trigger || CASE WHEN n > 0 THEN ', repeat offender ×' || CAST(CAST(1 AS HUGEINT) << CAST(2 * n AS INT) AS VARCHAR) ELSE '' END ELSE why END AS reason,
+      CASE WHEN action IN ('block', 'observe') THEN {AT} + to_seconds(CAST(least(604800, CASE trigger WHEN 'suricata' THEN 6 WHEN 'scanner' THEN 1 ELSE 24 END * 3600 * pow(4, n)) AS BIGINT)) END AS expires_at FROM told"""
+query("decide_on_log", "alerted_at t, ip s, trigger s, rule s, action s, reason s, expires_at t", DECIDE_ON_LOG)(
+    lambda t: response.decide(t["notices"], response.ip_history(t, "enforce", LOG_TIME), response.block_totals(t, "enforce", LOG_TIME), t["never_block"], LOG_TIME)
+)
 query(
     "reconcile", "ranges a, added a, removed a",
     f"""WITH d AS (SELECT list_sort(list(ip || '/32')) AS ranges FROM {ACTIVE}), p AS (SELECT list_sort(arg_max(ranges, (applied_at, ranges))) AS previous FROM applies WHERE mode = 'enforce' AND result IN ('ok', 'dry-run', 'test'))
     SELECT ranges, list_filter(ranges, lambda x: NOT list_contains(previous, x)) AS added, list_filter(previous, lambda x: NOT list_contains(ranges, x)) AS removed FROM d, p WHERE ranges <> previous""",
 )(lambda t: response.reconcile(t, "enforce", AS_OF))
+query(
+    "release_rows", "created_at t, action s, ip s, trigger s, rule s, reason s, expires_at t, mode s, actor s",
+    f"SELECT {NOW} AS created_at, 'release' AS action, ip, 'manual' AS trigger, 'manual release' AS rule, reason, CASE WHEN suppress_seconds IS NOT NULL THEN {NOW} + to_seconds(CAST(suppress_seconds AS BIGINT)) END AS expires_at, 'enforce' AS mode, 'analyst' AS actor FROM release_requests",
+)(lambda t: response.release_rows(t["release_requests"], "enforce", AS_OF, "analyst"))
 query("without_test_rows", "created_at t, ip s, action s", "SELECT created_at, ip, action FROM actions WHERE mode <> 'test'")(lambda t: response.without_test_rows(t["actions"]))
 
 # --- evaluation ------------------------------------------------------------------------------------------------------
 
 query(
-    "eval_cases", "case_name s, detected_sids a, missing_sids a, unexpected_sids a, first_alert_at t, mttd_ms i, result s",
-    """WITH h AS (SELECT case_name, alert_signature_id AS sid, min(timestamp) AS at_ FROM cases JOIN alert ON in_iface = 'ens4' AND timestamp >= started_at AND timestamp < deadline GROUP BY ALL),
-    g AS (SELECT c.*, coalesce(list_sort((SELECT list(sid) FROM h WHERE h.case_name = c.case_name)), []) AS detected, (SELECT min(at_) FROM h WHERE h.case_name = c.case_name AND list_contains(c.expected_sids, sid)) AS first_ FROM cases c),
+    "eval_cases", "case_name s, detected_sids a, missing_sids a, unexpected_sids a, first_alert_at t, mttd_ms i, visible_ms i, result s",
+    """WITH h AS (SELECT case_name, alert_signature_id AS sid, min(timestamp) AS at_, min(loaded_at) AS loaded FROM cases JOIN alert ON in_iface = 'ens4' AND timestamp >= started_at AND timestamp < deadline GROUP BY ALL),
+    g AS (SELECT c.*, coalesce(list_sort((SELECT list(sid) FROM h WHERE h.case_name = c.case_name)), []) AS detected, (SELECT min(at_) FROM h WHERE h.case_name = c.case_name AND list_contains(c.expected_sids, sid)) AS first_, (SELECT max(loaded) FROM h WHERE h.case_name = c.case_name AND list_contains(c.expected_sids, sid)) AS last_ FROM cases c),
     m AS (SELECT *, list_sort(list_distinct(list_filter(expected_sids, lambda x: NOT list_contains(detected, x)))) AS missing FROM g)
     SELECT case_name, detected AS detected_sids, missing AS missing_sids, list_filter(detected, lambda x: NOT list_contains(expected_sids, x)) AS unexpected_sids, CASE WHEN len(missing) = 0 THEN first_ END AS first_alert_at,
-    CASE WHEN len(missing) = 0 THEN (epoch_us(first_) - epoch_us(started_at)) // 1000 END AS mttd_ms, CASE WHEN len(missing) = 0 THEN 'PASS' ELSE 'FAIL' END AS result FROM m""",
+    CASE WHEN len(missing) = 0 THEN (epoch_us(first_) - epoch_us(started_at)) // 1000 END AS mttd_ms, CASE WHEN len(missing) = 0 THEN (epoch_us(last_) - epoch_us(started_at)) // 1000 END AS visible_ms, CASE WHEN len(missing) = 0 THEN 'PASS' ELSE 'FAIL' END AS result FROM m""",
 )(lambda t: evaluate.evaluate_cases(t["cases"], t["alert"], "ens4"))
 query("arrivals", "src_ip s, password s, refused i, accepted i, country_code s, newest t", "SELECT src_ip, password, count(*) FILTER (WHERE eventid = 'cowrie.login.failed') AS refused, count(*) FILTER (WHERE eventid = 'cowrie.login.success') AS accepted, min(src_country_code) FILTER (WHERE eventid = 'cowrie.login.success') AS country_code, max(timestamp) AS newest FROM cowrie GROUP BY ALL")(lambda t: evaluate.arrivals(t["cowrie"], ["src_ip", "password"]))
 query("absence_check", "requests i", "SELECT count(*) AS requests FROM http WHERE uri LIKE '/en/%' AND id_orig_h = '10.0.4.1' AND uri = (SELECT min(uri) FROM http WHERE uri LIKE '/en/%')")(
@@ -244,18 +281,40 @@ query("absence_check", "requests i", "SELECT count(*) AS requests FROM http WHER
 )
 
 
+ARRIVED = "(SELECT src_ip, password, timestamp FROM cowrie WHERE eventid = 'cowrie.login.success' ORDER BY timestamp, src_ip, password LIMIT 1)"
+
+
+def arrived(t):
+    first = t["cowrie"].where("eventid = 'cowrie.login.success'").agg(F.min(F.struct("timestamp", "src_ip", "password")).alias("first"))
+    told = [first.select(f"first.{c}").scalar() for c in ("src_ip", "password", "timestamp")]
+    return evaluate.arrival_check(t["cowrie"], *told)
+
+
+query(
+    "arrival_check", "refused i, accepted i, commands i, country_code s, asn i, newest t",
+    f"""SELECT count(*) FILTER (WHERE eventid = 'cowrie.login.failed' AND username = 'root' AND c.password IN ('root', '123456')) AS refused, count(*) FILTER (WHERE eventid = 'cowrie.login.success' AND c.password = f.password) AS accepted,
+    count(*) FILTER (WHERE eventid = 'cowrie.command.input' AND contains(input, f.password)) AS commands, min(src_country_code) FILTER (WHERE eventid = 'cowrie.login.success' AND c.password = f.password) AS country_code,
+    min(src_asn) FILTER (WHERE eventid = 'cowrie.login.success' AND c.password = f.password) AS asn, max(c.timestamp) FILTER (WHERE c.password = f.password OR contains(input, f.password)) AS newest
+    FROM cowrie c JOIN {ARRIVED} f ON c.src_ip = f.src_ip AND c.timestamp >= f.timestamp - INTERVAL 5 SECOND""",
+)(arrived)
+
+
 def two_sources(t):
     ours = tls_fingerprints(t["hello"]).select(F.col("uid").alias("community_id"), F.lit("").alias("server_name"), "ja3", "ja4", "ja4_r")
-    shifted = F.when(F.crc32("community_id") % 10 == 0, F.concat(F.substring("ja4", 1, 24), F.lit("000000000000"))).otherwise(F.col("ja4"))
-    return ours, ours.where(F.crc32("community_id") % 7 != 0).select("community_id", "ja3", shifted.alias("ja4"))
+    mark = F.substring(F.md5("community_id"), 1, 1)
+    shifted = F.when(mark < "2", F.concat(F.substring("ja4", 1, 24), F.lit("000000000000"))).otherwise(F.col("ja4"))
+    return ours, ours.where(mark != "f").select("community_id", "ja3", shifted.alias("ja4"))
 
 
 query("reconcile_fingerprints", "flows_ours i, flows_theirs i, compared i, ja3_match i, known_difference i", "SELECT count(*) AS flows_ours, count(*) FILTER (WHERE k) AS flows_theirs, count(*) FILTER (WHERE k) AS compared, count(*) FILTER (WHERE k) AS ja3_match, 0 AS known_difference FROM (SELECT DISTINCT uid, true AS k FROM hello)")(
     lambda t: evaluate.fingerprint_summary(evaluate.reconcile_fingerprints(two_sources(t)[0], two_sources(t)[0].select("community_id", "ja3", "ja4")))
 )
-query("reconcile_fingerprints_shifted", "flows_ours i, flows_theirs i, compared i, ja3_match i, ja4_match i, known_difference i, unexplained i, distinct_ja4 i", None)(
-    lambda t: evaluate.fingerprint_summary(evaluate.reconcile_fingerprints(*two_sources(t)))
-)
+query(
+    "reconcile_fingerprints_shifted", "flows_ours i, flows_theirs i, compared i, ja3_match i, ja4_match i, known_difference i, unexplained i, distinct_ja4 i",
+    f"""WITH prints AS ({TLS_SQL}), both_ AS (SELECT *, substr(md5(uid), 1, 1) AS mark, CASE WHEN substr(md5(uid), 1, 1) < '2' THEN substr(ja4, 1, 24) || '000000000000' ELSE ja4 END AS other FROM prints)
+    SELECT count(*) AS flows_ours, count(*) FILTER (WHERE mark <> 'f') AS flows_theirs, count(*) FILTER (WHERE mark <> 'f') AS compared, count(*) FILTER (WHERE mark <> 'f') AS ja3_match,
+    count(*) FILTER (WHERE mark <> 'f' AND ja4 = other) AS ja4_match, 0 AS known_difference, count(*) FILTER (WHERE mark <> 'f' AND ja4 <> other) AS unexplained, count(DISTINCT ja4) FILTER (WHERE mark <> 'f') AS distinct_ja4 FROM both_""",
+)(lambda t: evaluate.fingerprint_summary(evaluate.reconcile_fingerprints(*two_sources(t))))
 EXPECTED = "SELECT DISTINCT 'DET-109' AS detection_id, id_orig_h AS src, true AS flag, 'high' AS severity FROM conn WHERE local_orig"
 
 

@@ -5,52 +5,93 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acceptance.adapters import VIEWS, _spell
 from acceptance.catalog import Tables, query
-from acceptance.state_queries import EVE_AT, SEVERE, USED, ends, js, lines
+from acceptance.detection_queries import domain_sql
+from acceptance.state_queries import EVE_AT, NOTICES_SQL, SEVERE, USED, ends, js, lines
+from hawkspan.plans import response
 from hawkspan.session import work_dir
 from hawkspan.sources.tables import TableStore
 from hawkspan.streaming import triggers
 from hawkspan.streaming.ingest import honeypot_batch
 
 
-def stream_view(t: Tables, name: str) -> DataFrame:
-    """The derived table as a stream of the given table's files."""
-    (part,) = VIEWS[name]
-    schema = t.spark.read.parquet(f"{t.sf_dir}/{part.table}.parquet").schema
-    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", f"{part.table}.parquet").parquet(t.sf_dir)
-    return rows.selectExpr(*[f"{_spell(e, 0)} AS {c}" for c, e in part.columns.items()])
+def arriving(t: Tables, *parts: DataFrame) -> DataFrame:
+    """A stream that gets the rows of ``parts`` as batches one after the other."""
+    folder = work_dir(t.spark, "arriving")
+    for i, rows in enumerate(parts):
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/{i:03d}")
+    return t.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
 
 
-def run_to_end(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
-    """Process everything there is and return the result table. In complete mode every batch carries the whole result and
-    replaces the one before; in append mode batches add up."""
+def signal(rows: DataFrame, ts: str) -> DataFrame:
+    """A row far in the future, which closes all windows before it and whose own windows stay open."""
+    return rows.orderBy(ts).limit(1).withColumn(ts, F.col(ts) + F.expr("INTERVAL 20000 DAYS"))
+
+
+def run_to_end(t: Tables, stream: DataFrame) -> DataFrame:
+    """Process everything there is and return what was appended."""
     out = work_dir(t.spark, "stream")
 
     def keep(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{out}/result" if mode == "complete" else f"{out}/result/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{out}/result/batch={batch_id}")
 
-    writer = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint")
+    writer = stream.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(stream.schema).parquet(f"{out}/result")
+    return t.spark.read.schema(stream.schema).parquet(f"{out}/result").select(*stream.columns)
+
+
+def closed(t: Tables, name: str, ts: str, seen: DataFrame) -> DataFrame:
+    """The derived table as a stream, closed by a signal like a row of ``seen``, the rows that the plan looks at."""
+    return arriving(t, t[name], signal(seen, ts))
 
 
 query(
     "stream_trigger_honeypot", "evaluated_at t, src_ip s",
     f"""WITH e AS (SELECT {ends('timestamp', 15)} AS evaluated_at, src_ip, eventid FROM cowrie WHERE src_ip <> '') SELECT evaluated_at, src_ip FROM e GROUP BY ALL
     HAVING (count(*) FILTER (WHERE eventid = 'cowrie.login.success') >= 1 AND count(*) FILTER (WHERE {USED}) >= 1) OR count(*) FILTER (WHERE eventid = 'cowrie.login.failed') >= 20""",
-)(lambda t: run_to_end(t, triggers.honeypot_attackers_stream(stream_view(t, "cowrie")), "complete"))
+)(lambda t: run_to_end(t, triggers.honeypot_attackers_stream(closed(t, "cowrie", "timestamp", t["cowrie"].where("src_ip <> ''")))))
 query(
     "stream_trigger_severe_alerts", "evaluated_at t, src_ip s, alerts i",
     f"WITH e AS (SELECT {ends('timestamp', 10)} AS evaluated_at, src_ip FROM alert WHERE {SEVERE}) SELECT evaluated_at, src_ip, count(*) AS alerts FROM e GROUP BY ALL",
-)(lambda t: run_to_end(t, triggers.severe_alerts_stream(stream_view(t, "alert")), "complete"))
+)(lambda t: run_to_end(t, triggers.severe_alerts_stream(closed(t, "alert", "timestamp", response._severe(t["alert"], "ens4")))))
+SSH = "id_resp_p = 22 AND NOT local_orig AND local_resp"
+SSH_SQL = f"WITH e AS (SELECT {ends('ts', 10)} AS evaluated_at, id_orig_h AS src_ip FROM conn WHERE {SSH}) SELECT evaluated_at, src_ip, count(*) AS connections FROM e GROUP BY ALL"
+query("stream_trigger_ssh_pressure", "evaluated_at t, src_ip s, connections i", SSH_SQL)(
+    lambda t: run_to_end(t, triggers.ssh_pressure_stream(closed(t, "conn", "ts", t["conn"].where(SSH)), at_least=1))
+)
 query(
-    "stream_nxdomain_buckets", "bucket t, src s, total i, nx i",
-    "SELECT time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01') AS bucket, id_orig_h AS src, count(*) AS total, count(*) FILTER (WHERE rcode_name = 'NXDOMAIN') AS nx FROM dns_d WHERE query <> '' GROUP BY ALL",
-)(lambda t: run_to_end(t, triggers.nxdomain_buckets_stream(stream_view(t, "dns_d")), "complete"))
-query(
-    "stream_dedupe", "session s, eventid s, timestamp t", "SELECT DISTINCT session, eventid, timestamp FROM cowrie",
-)(lambda t: run_to_end(t, stream_view(t, "cowrie").select("session", "eventid", "timestamp").withWatermark("timestamp", "2 hours").dropDuplicatesWithinWatermark(["session", "eventid", "timestamp"]), "append"))
+    "stream_nxdomain_buckets", "bucket t, src s, total i, nx i, nx_domains i",
+    f"""SELECT time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01') AS bucket, id_orig_h AS src, count(*) AS total, count(*) FILTER (WHERE rcode_name = 'NXDOMAIN') AS nx,
+    count(DISTINCT CASE WHEN rcode_name = 'NXDOMAIN' THEN {domain_sql('query')} END) AS nx_domains FROM dns WHERE query <> '' GROUP BY ALL""",
+)(lambda t: run_to_end(t, triggers.nxdomain_buckets_stream(closed(t, "dns", "ts", t["dns"].where("query <> ''")))))
+
+
+def streamed_notices(t: Tables) -> DataFrame:
+    """All evaluations in three batches, in order of time."""
+    firing = response.severe_alerts_by_minute(t).select(F.lit("RSP-002").alias("rule"), "src_ip", "evaluated_at")
+    day = F.dayofmonth("evaluated_at")
+    return run_to_end(t, triggers.notifications_stream(arriving(t, firing.where(day < 10), firing.where((day >= 10) & (day < 20)), firing.where(day >= 20))))
+
+
+query("stream_notifications", "rule s, src_ip s, notified_at t", NOTICES_SQL)(streamed_notices)
+
+
+def repaired_pressure(t: Tables) -> DataFrame:
+    """A third of the connections comes when the stream has closed their windows: its results with the repaired ones in their place."""
+    on_time, late = F.pmod(F.xxhash64("uid"), F.lit(3)) > 0, F.pmod(F.xxhash64("uid"), F.lit(3)) == 0
+    signals = signal(t["conn"].where(SSH), "ts")
+    incoming = arriving(t, t["conn"].where(on_time), signals, signals, t["conn"].where(late))
+    streamed = run_to_end(t, triggers.ssh_pressure_stream(incoming, at_least=1))
+    store = TableStore(t.spark, work_dir(t.spark, "late"))
+    writer = arriving(t, t["conn"].where(on_time), signals, signals, t["conn"].where(late)).writeStream.foreachBatch(triggers.late_rows_batch(store, "conn", "w"))
+    writer.option("checkpointLocation", work_dir(t.spark, "late")).trigger(availableNow=True).start().awaitTermination()
+    late_rows = store.rows("late/conn").where(SSH)
+    mended = triggers.repaired(lambda x: response.ssh_pressure_by_minute(x, at_least=1), "conn", t["conn"].where(SSH), late_rows, "id_orig_h", "10 minutes")
+    kept = streamed.join(mended, ["evaluated_at", "src_ip"], "left_anti").select("evaluated_at", "src_ip", "connections")
+    return kept.unionByName(mended.where("fires").select("evaluated_at", "src_ip", "connections"))
+
+
+query("stream_repair", "evaluated_at t, src_ip s, connections i", SSH_SQL)(repaired_pressure)
 
 
 def ingested(t: Tables) -> DataFrame:

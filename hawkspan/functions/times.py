@@ -52,6 +52,13 @@ def stored_days(df: DataFrame, low: Column | None, high: Column | None = None) -
     return df
 
 
+def newest_day(df: DataFrame) -> DataFrame:
+    """The rows of the newest day a stored table has; a table without days as it is. Finding the day reads no column of the rows."""
+    if "date" not in df.columns:
+        return df
+    return df.where(F.col("date") == df.agg(F.max("date").alias("date")).scalar())
+
+
 def bucket_start(ts: Column, seconds: int) -> Column:
     """Start of the fixed-width bucket (aligned to the epoch) that holds ``ts``."""
     return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / seconds) * seconds)

@@ -71,6 +71,11 @@ class HourlyWindows:
                 raise ValueError(f"{name} must be a full hour")
             object.__setattr__(self, name, value)
 
+    @property
+    def opens(self) -> Column:
+        """Where the first window begins."""
+        return instant(self.first - timedelta(hours=self.hours))
+
     @property
     def bounds(self) -> tuple[int, int]:
         return tuple(int((v - datetime(1970, 1, 1)) / timedelta(hours=1)) for v in (self.first, self.last))

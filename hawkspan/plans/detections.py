@@ -16,9 +16,11 @@ from hawkspan.functions.times import bucket_start, instant, plus_seconds, time_s
 from hawkspan.operators.allowlist import active_entries, without_excepted_addresses, without_excepted_names
 from hawkspan.operators.medians import attach, by_kind, frequent, grouped_median, measure_table, sliding_measure_table
 from hawkspan.operators.samples import smallest_distinct
+from hawkspan.operators.suffixes import with_domain
 from hawkspan.operators.windows import OneWindow, hour_of
 from hawkspan.plans.registry import COMMON_COLUMNS, detection
 from hawkspan.session import stored
+from hawkspan.sources.tables import length_class
 
 PAIR = ["src", "dst", "dst_port"]
 HOUR = 3600
@@ -162,7 +164,12 @@ def long_connections(tables, scope, as_of, p) -> DataFrame:
     """Outbound sessions held open for long that overlap the window."""
     lookback = p.lookback_hours * HOUR
     ended = F.timestamp_micros(F.unix_micros("ts") + (F.col("duration") * 1000000).cast("long"))
-    rows = _outbound(tables, scope, p.exclude_dst, lookback).where(F.col("duration") >= p.min_duration_s).withColumn("ended", ended)
+    rows = _outbound(tables, scope, p.exclude_dst, lookback).where(F.col("duration") >= p.min_duration_s)
+    if "span" in rows.columns:
+        # Stored connections are filed by length: only classes that reach the minimum are opened, and of earlier days only those that reach the window.
+        reach = F.timestamp_seconds(F.unix_date("date") * 86400 + 86400 + F.pow(F.lit(2), "span").cast("long") * HOUR)
+        rows = rows.where((F.col("span") >= length_class(F.lit(p.min_duration_s))) & (reach >= scope.opens))
+    rows = rows.withColumn("ended", ended)
     entries = _entries(tables, "DET-102", as_of, p)
     rows = _named_connections(rows, tables, scope, entries, lookback)
     keys = [*scope.keys, *PAIR, "proto"]
@@ -286,6 +293,13 @@ def suspicious_certificate(tables, scope, as_of, p) -> DataFrame:
     ).orderBy(*scope.keys, F.desc("score"), "first_seen", *PAIR, "server_name")
 
 
+def _with_base_domain(names: DataFrame, tables) -> DataFrame:
+    """Adds the registered domain: by the table of suffix rules where there is one, else by the rule for labels under country codes."""
+    if "suffix_rules" in tables:
+        return with_domain(stored(names, "names"), "query", tables["suffix_rules"], "base_domain")
+    return names.withColumn("base_domain", registered_domain("query"))
+
+
 @detection(
     "DET-105", "DNS tunneling", ("T1071.004", "T1048"), ("dns",),
     min_queries=50, min_unique_subdomains=30, min_avg_sub_len=20.0, min_avg_entropy=3.5, exclude_domains=(),
@@ -295,7 +309,7 @@ def dns_tunneling(tables, scope, as_of, p) -> DataFrame:
     rows = scope.rows(tables["dns"]).where(F.col("query") != "").select(F.col("id_orig_h").alias("src"), "query", "qtype_name", "id_resp_h", "ts")
     # Equal queries collapse before any per-character work.
     names = scope.grouped(rows, ["src", "query", "qtype_name"], {"n": ("sum", F.lit(1)), "resolver": ("min", F.col("id_resp_h")), **_times()})
-    names = names.withColumn("base_domain", registered_domain("query")).withColumn("sub", subdomain_text("query", "base_domain"))
+    names = _with_base_domain(names, tables).withColumn("sub", subdomain_text("query", "base_domain"))
     names = names.where((F.col("base_domain") != "") & (F.col("sub") != ""))
     if p.exclude_domains:
         names = names.where(~F.col("base_domain").isin(*p.exclude_domains))
@@ -340,10 +354,11 @@ def nxdomain_spike(tables, scope, as_of, p) -> DataFrame:
     failed = F.col("rcode_name") == "NXDOMAIN"
     flat = rows.select(F.col("id_orig_h").alias("src"), bucket_start(F.col("ts"), width).alias("bucket"), "query", "id_resp_h", failed.alias("failed"))
     keys = ["src", "bucket"]
-    # A source has at most one row a bucket from here on.
-    buckets = flat.groupBy(*keys).agg(
-        F.count("*").alias("total"), F.count_if("failed").alias("nx"), F.min("id_resp_h").alias("dst"),
-        F.countDistinct(F.when(F.col("failed"), registered_domain("query"))).alias("nx_domains"),
+    # Equal queries of a bucket collapse first; a source has at most one row a bucket after the second grouping.
+    asked = flat.groupBy(*keys, "query", "failed").agg(F.count("*").alias("n"), F.min("id_resp_h").alias("dst"))
+    buckets = _with_base_domain(asked, tables).groupBy(*keys).agg(
+        F.sum("n").alias("total"), F.sum(F.when(F.col("failed"), F.col("n")).otherwise(0)).alias("nx"), F.min("dst").alias("dst"),
+        F.countDistinct(F.when(F.col("failed"), F.col("base_domain"))).alias("nx_domains"),
     )
     ratio = F.col("nx") / F.col("total")
     level = F.greatest(F.col("usual"), F.lit(1.0))

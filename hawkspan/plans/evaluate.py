@@ -13,7 +13,7 @@ def _empty(kind: str) -> Column:
 
 
 def evaluate_cases(cases: DataFrame, alerts: DataFrame, iface: str) -> DataFrame:
-    """Expected against seen signatures per case.
+    """Expected against seen signatures per case; ``visible_ms`` tells when the last expected one could be queried, where alerts say when they were loaded.
 
     ``cases``: case_name, started_at, deadline, expected_sids. Cases are joined on the minutes they span, so that a busy
     period is split; a case's set of signatures is at most the rule catalogue.
@@ -22,14 +22,15 @@ def evaluate_cases(cases: DataFrame, alerts: DataFrame, iface: str) -> DataFrame
     spans = cases.withColumn("minute", minutes)
     # One row per (instant, signature) is all a case needs to know of the alerts, and only of the time the cases span.
     alerts = time_slice(alerts, cases.agg(F.min("started_at")).scalar(), cases.agg(F.max("deadline")).scalar(), "timestamp")
-    seen = alerts.where(F.col("in_iface") == iface).select("alert_signature_id", "timestamp").distinct().withColumn("minute", F.date_trunc("minute", "timestamp"))
+    loaded = F.col("loaded_at") if "loaded_at" in alerts.columns else F.lit(None).cast("timestamp")
+    seen = alerts.where(F.col("in_iface") == iface).groupBy("alert_signature_id", "timestamp").agg(F.min(loaded).alias("loaded_at")).withColumn("minute", F.date_trunc("minute", "timestamp"))
     inside = (F.col("timestamp") >= F.col("started_at")) & (F.col("timestamp") < F.col("deadline"))
     hits = spans.join(seen, "minute").where(inside).groupBy("case_name", "alert_signature_id").agg(
-        F.min("timestamp").alias("first_at"), F.max(F.array_contains("expected_sids", F.col("alert_signature_id"))).alias("is_expected")
+        F.min("timestamp").alias("first_at"), F.min("loaded_at").alias("loaded_at"), F.max(F.array_contains("expected_sids", F.col("alert_signature_id"))).alias("is_expected")
     )
     found = hits.groupBy("case_name").agg(
         F.array_sort(F.collect_list("alert_signature_id")).alias("detected_sids"), F.min(F.when(F.col("is_expected"), F.col("first_at"))).alias("first_expected"),
-        F.max(F.when(F.col("is_expected"), F.col("first_at"))).alias("all_expected"),
+        F.max(F.when(F.col("is_expected"), F.col("first_at"))).alias("all_expected"), F.max(F.when(F.col("is_expected"), F.col("loaded_at"))).alias("all_loaded"),
     )
     judged = cases.join(found, "case_name", "left").withColumn("detected_sids", F.coalesce("detected_sids", _empty("bigint")))
     judged = judged.withColumn("missing_sids", F.array_except("expected_sids", "detected_sids")).withColumn("unexpected_sids", F.array_except("detected_sids", "expected_sids"))
@@ -41,6 +42,7 @@ def evaluate_cases(cases: DataFrame, alerts: DataFrame, iface: str) -> DataFrame
     return judged.select(
         "case_name", "started_at", F.array_sort("expected_sids").alias("expected_sids"), "detected_sids", F.array_sort("missing_sids").alias("missing_sids"), "unexpected_sids",
         F.when(passed, F.col("first_expected")).alias("first_alert_at"), millis("first_expected").alias("mttd_ms"), millis("all_expected").alias("complete_ms"),
+        millis("all_loaded").alias("visible_ms"),
         F.when(passed, "PASS").otherwise("FAIL").alias("result"),
     )
 

@@ -169,9 +169,11 @@ def attack_coverage(catalog: DataFrame, targets: DataFrame, observed: DataFrame)
     return rows.withColumn("status", status).select("technique_id", "name", "tactic", "in_target", "status", "detections", "observed_by")
 
 
-# Scores and colours of the exported layer document.
+# Scores, colours, legend and view settings of the exported layer document.
 LAYER_SCORES = {"validated": 2, "observed": 1, "gap": 0}
 LAYER_COLOURS = ("#e8716b", "#f5d76e", "#66b86a")
+LAYER_LEGEND = (("Validated detection", "#66b86a"), ("Observed in production only", "#f5d76e"), ("Target without detection (gap)", "#e8716b"))
+LAYER_PLATFORMS, LAYER_SORTING, LAYER_LAYOUT = ("Linux", "Network"), 3, "side"
 
 
 def layer_rows(coverage: DataFrame) -> DataFrame:
@@ -198,9 +200,11 @@ def layer_rows(coverage: DataFrame) -> DataFrame:
 
 def layer_document(coverage: DataFrame, name: str) -> DataFrame:
     """The layer as one JSON text row (the technique list is a catalogue of a few hundred rows)."""
+    validated = F.count_if(F.col("status") == "validated")
+    share = F.bround(100 * validated / F.greatest(F.count("*"), F.lit(1))).cast("int").cast("string")
     counts = coverage.where("in_target").agg(
         F.concat(
-            F.lit("Targets: "), F.count("*").cast("string"), F.lit("; validated "), F.count_if(F.col("status") == "validated").cast("string"),
+            F.lit("Targets: "), F.count("*").cast("string"), F.lit("; validated "), validated.cast("string"), F.lit(" ("), share, F.lit("%)"),
             F.lit("; observed only "), F.count_if(F.col("status") == "observed").cast("string"), F.lit("; gaps "), F.count_if(F.col("status") == "gap").cast("string"),
         ).alias("description")
     )
@@ -208,6 +212,13 @@ def layer_document(coverage: DataFrame, name: str) -> DataFrame:
     packed = rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("techniques")).withColumn("description", counts.scalar())
     head = F.struct(F.lit("4.5").alias("layer"), F.lit("5.1.0").alias("navigator"))
     gradient = F.struct(F.array(*map(F.lit, LAYER_COLOURS)).alias("colors"), F.lit(0).alias("minValue"), F.lit(2).alias("maxValue"))
+    filters = F.struct(F.array(*map(F.lit, LAYER_PLATFORMS)).alias("platforms"))
+    layout = F.struct(F.lit(LAYER_LAYOUT).alias("layout"), F.lit(True).alias("showID"), F.lit(True).alias("showName"))
+    legend = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(colour).alias("color")) for label, colour in LAYER_LEGEND])
     return packed.select(
-        F.to_json(F.struct(F.lit(name).alias("name"), head.alias("versions"), F.lit("enterprise-attack").alias("domain"), "description", "techniques", gradient.alias("gradient"))).alias("value")
+        F.to_json(F.struct(
+            F.lit(name).alias("name"), head.alias("versions"), F.lit("enterprise-attack").alias("domain"), "description", filters.alias("filters"), F.lit(LAYER_SORTING).alias("sorting"),
+            layout.alias("layout"), F.lit(False).alias("hideDisabled"), "techniques", gradient.alias("gradient"), legend.alias("legendItems"), F.lit(False).alias("showTacticRowBackground"),
+            F.lit(True).alias("selectTechniquesAcrossTactics"),
+        )).alias("value")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hawkspan.functions.times import instant, unit_boundaries
+from hawkspan.functions.times import instant, newest_day, unit_boundaries
 from hawkspan.operators.samples import any_text
 from hawkspan.plans.common import distinct_total, excluding, lab, per_step, top, total, within
 
@@ -45,7 +45,7 @@ def source_countries(t, span):
 
 
 def newest_event_age(t, as_of):
-    return t["cowrie"].agg(unit_boundaries("second", F.max("timestamp"), instant(as_of)).alias("age"))
+    return newest_day(t["cowrie"]).agg(unit_boundaries("second", F.max("timestamp"), instant(as_of)).alias("age"))
 
 
 def logins_over_time(t, span, step):
@@ -159,7 +159,7 @@ def attack_paths(t, span, k=8):
 
 
 def inbound_by_country(t, span):
-    rows = within(t["conn_geo"], span).where((F.col("remote_country_code") != "") & (F.col("direction") == "inbound"))
+    rows = within(t["conn"], span).where((F.col("remote_country_code") != "") & (F.col("direction") == "inbound"))
     return rows.groupBy(F.col("remote_country_code").alias("country_code")).agg(
         F.min("remote_country").alias("country"), F.countDistinct("remote_ip").alias("addresses"), F.count("*").alias("connections")
     ).orderBy(F.desc("connections"), "country_code")

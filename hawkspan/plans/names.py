@@ -37,11 +37,10 @@ def nxdomain_share_over_time(t, span, step):
 
 
 def top_domains(t, span, k=20):
-    # Grouping by (name, client) first keeps both distinct counts free of row duplication.
+    # Grouping by (name, client) first leaves few rows for the two distinct counts, and the table is read once.
     pairs = within(t["dns"], span).where(F.col("query") != "").groupBy("query", "id_orig_h").agg(F.count("*").alias("n")).withColumn("domain", registered_domain("query"))
-    by_name = pairs.groupBy("domain", "query").agg(F.sum("n").alias("n")).groupBy("domain").agg(F.sum("n").alias("queries"), F.count("*").alias("names"))
-    by_client = pairs.select("domain", "id_orig_h").distinct().groupBy("domain").agg(F.count("*").alias("clients"))
-    return top(by_name.join(by_client, "domain"), k, F.desc("queries"), "domain")
+    groups = pairs.groupBy("domain").agg(F.sum("n").alias("queries"), F.countDistinct("query").alias("names"), F.countDistinct("id_orig_h").alias("clients"))
+    return top(groups, k, F.desc("queries"), "domain")
 
 
 def top_failed_names(t, span, k=20):

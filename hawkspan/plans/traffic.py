@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hawkspan.functions.times import instant, unit_boundaries
+from hawkspan.functions.times import instant, newest_day, unit_boundaries
 from hawkspan.operators.samples import any_text, share, smallest_distinct
 from hawkspan.plans.common import distinct_total, excluding, lab, per_step, production_alerts, top, total, within
 
@@ -37,7 +37,7 @@ def drop_rate(t, span):
 
 
 def ingestion_lag(t, as_of):
-    return t["conn"].agg(unit_boundaries("second", F.max("ts"), instant(as_of)).alias("lag"))
+    return newest_day(t["conn"]).agg(unit_boundaries("second", F.max("ts"), instant(as_of)).alias("lag"))
 
 
 def connections_by_direction(t, span, step):
@@ -83,7 +83,7 @@ def freshness(t, as_of, iface="ens4"):
     ]
     out = None
     for name, rows, ts in newest:
-        row = rows.agg(F.max(ts).alias("latest")).select(F.lit(name).alias("source"), "latest")
+        row = newest_day(rows).agg(F.max(ts).alias("latest")).select(F.lit(name).alias("source"), "latest")
         out = row if out is None else out.unionByName(row)
     return out.withColumn("lag_s", unit_boundaries("second", F.col("latest"), instant(as_of))).orderBy(F.desc("lag_s"), "source")
 

@@ -85,6 +85,22 @@ STATE: dict[str, str] = {
     "coverage": "technique_id string, name string, tactic string, in_target boolean, status string, detections array<string>, observed_by array<string>, updated_at timestamp",
 }
 
+# Tables whose rows tell where an address lies: the column of the address, and the prefix of the columns about it.
+LOCATED = {"conn": ("remote_ip", "remote_"), "alert": ("src_ip", "src_"), "cowrie": ("src_ip", "src_")}
+GEO_TABLES = {"geo_countries": "lo string, hi string, country_code string, country string", "geo_networks": "lo string, hi string, asn bigint, as_org string"}
+
+
+def geo(prefix: str) -> str:
+    return f"{prefix}country_code string, {prefix}country string, {prefix}as_org string, {prefix}asn bigint"
+
+
+def stored(table: str) -> str:
+    """The columns of an event table as ingest stores them."""
+    ddl = {**SENSOR_LOGS, "conn": f"{SENSOR_LOGS['conn']}, direction string, remote_ip string", "alert": ALERT, "stats": STATS, "cowrie": COWRIE, "metrics": METRICS}[table]
+    ddl = f"{ddl}, loaded_at timestamp" if table == "alert" else ddl
+    return f"{ddl}, {geo(LOCATED[table][1])}" if table in LOCATED else ddl
+
+
 # Days each event table is kept.
 RETENTION_DAYS = {
     **{name: 30 for name in SENSOR_LOGS}, "alert": 90, "stats": 90, "cowrie": 90, "metrics": 7, "runs": 180, "hits": 180,

@@ -4,8 +4,8 @@ import os
 from datetime import datetime
 
 import pytest
-from fixture_day import build
 from pyspark.sql import functions as F
+from traffic import HOST, build
 
 from hawkspan import schemas
 from hawkspan.operators.allowlist import RejectedRows
@@ -123,13 +123,13 @@ def test_run_history_and_errors(spark, tmp_path):
     REGISTRY.clear()
     REGISTRY.update(only)
     try:
-        runs = findings.run_detections(spark, tables, datetime(2026, 1, 6, 1, 30), f"{tmp_path}/hits", f"{tmp_path}/runs", backfill_hours=1)
+        runs = findings.run_detections(spark, tables, datetime(2031, 3, 13, 1, 30), f"{tmp_path}/hits", f"{tmp_path}/runs", backfill_hours=1)
     finally:
         REGISTRY.update(saved)
     assert sorted((r.detection_id, r.result, r.hits, r.backfill) for r in runs.collect()) == [("DET-105", "error", 0, True), ("DET-109", "ok", 2, True)]
-    hit = spark.read.parquet(f"{tmp_path}/hits").where("src = '10.200.109.20'").head()
-    assert hit.hit_key == "DET-109|10.200.109.20||445" and json.loads(hit.details)["targets"] == 60
-    assert hit.window_end == datetime(2026, 1, 6)
+    hit = spark.read.parquet(f"{tmp_path}/hits").where(F.col("src") == HOST["sweeper"]).head()
+    assert hit.hit_key == f"DET-109|{HOST['sweeper']}||3389" and json.loads(hit.details)["targets"] == 45
+    assert hit.window_end == datetime(2031, 3, 13)
     assert [e for e, _ in findings.window_ends(datetime(2026, 1, 1, 3, 5), 2)] == [datetime(2026, 1, 1, 1), datetime(2026, 1, 1, 2)]
 
 
@@ -143,7 +143,8 @@ def test_verdicts_layer_and_decision_batches(spark, tmp_path):
     coverage = spark.createDataFrame([("T1", "n", "t", True, "validated", ["DET-101"], []), ("T2", "", "", True, "gap", [], [])], schemas.STATE["coverage"].rsplit(",", 1)[0])
     layer = json.loads(findings.layer_document(coverage, "x").head().value)
     assert [(x["techniqueID"], x["score"]) for x in layer["techniques"]] == [("T1", 2), ("T2", 0)]
-    assert layer["description"] == "Targets: 2; validated 1; observed only 0; gaps 1"
+    assert layer["description"] == "Targets: 2; validated 1 (50%); observed only 0; gaps 1"
+    assert (layer["filters"], layer["sorting"], layer["layout"]["layout"], len(layer["legendItems"]), layer["hideDisabled"]) == ({"platforms": ["Linux", "Network"]}, 3, "side", 3, False)
 
     def tables(batch_id):
         empty = {"actions": schemas.STATE["actions"], "cowrie": schemas.COWRIE, "alert": schemas.ALERT, "conn": schemas.SENSOR_LOGS["conn"]}
