@@ -2,10 +2,11 @@
 
 Each source gets a mean repetition rate, target share times total size over own size. A document's number of copies is the inverse
 of the Poisson distribution with that mean at a uniform number that a hash of seed and identifier gives, so it is the same on any
-cluster and in any retry. Copies are exploded and shuffled globally by another hash.
+cluster and in any retry. Copies are exploded and shuffled globally by another hash: it deals them to tasks, which sort by it.
 
 A rate above ``STEP`` is split into equal parts, each inverted at a uniform number of its own: their sum has the same distribution and
-exp(-rate) never underflows.
+exp(-rate) never underflows. A source of a few characters beside gigabytes has millions of parts: beyond ``RUN`` of them a document's
+parts are dealt to tasks in runs, each drawn and exploded by itself, and running sums number the copies.
 
 Defined cases: a null source is a source of its own (''); sources without a weight, or with weight zero, get no copies; a null or
 empty text has size zero and still is drawn at its source's rate; a source whose size is zero has rate zero; rows that repeat
@@ -14,13 +15,15 @@ with the same identifier are drawn alike; an empty table gives an empty result;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hawkspan.llm.base import register, table
+from hawkspan.session import stored
 
 MAX_SOURCES = 10_000  # sources whose rates are broadcast; more are joined by a shuffle
 STEP = 8
+RUN = 64  # parts of a rate that are drawn in one row
 TERMS = 64  # beyond this many terms the rest of a Poisson distribution with mean STEP is below 1e-38, less than any uniform number resolves
 
 
@@ -42,8 +45,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, source: str
     return shares.crossJoin(F.broadcast(whole)).select("mix_source", F.when((F.col("size") > 0) & (F.col("all_weight") > 0), rate).otherwise(0.0).alias("rate"))  # one row of totals
 
 
-def _draw(rate: Column, seed: int, identifier: Column) -> Column:
-    """Copies of a document: over equal parts of the rate, how many values of the distribution function are not above the uniform number."""
+def _draw(rate: Column, seed: int, identifier: Column, first: Column | None = None, last: Column | None = None) -> Column:
+    """Copies of a document: over equal parts of the rate, how many values of the distribution function are not above the uniform number.
+
+    ``first`` and ``last`` choose some of the parts."""
     parts = F.ceil(rate / STEP).cast("int")
     mean = rate / parts
 
@@ -56,21 +61,37 @@ def _draw(rate: Column, seed: int, identifier: Column) -> Column:
         )
         return end["n"]
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda sum_, part: sum_ + inverse(part))).otherwise(0)
+    chosen = F.sequence(F.lit(1) if first is None else first, parts if last is None else F.least(last, parts))
+    return F.when(rate > 0, F.aggregate(chosen, F.lit(0), lambda sum_, part: sum_ + inverse(part))).otherwise(0)
+
+
+def _in_runs(rows: DataFrame, seed: int) -> DataFrame:
+    """The copies of documents with many parts. Equal identifiers of a source are drawn alike, so each is drawn once."""
+    keys = ["mix_source", "mix_id"]
+    runs = rows.select(*keys, "rate").distinct().withColumn("run", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rate") / (STEP * RUN)).cast("int") - 1)))
+    spread = runs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "run")
+    drawn = spread.withColumn("n", _draw(F.col("rate"), seed, F.col("mix_id"), F.col("run") * RUN + 1, F.col("run") * RUN + RUN))
+    line = Window.partitionBy(*keys)
+    upto = F.sum("n").over(line.orderBy("run").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = drawn.select(*keys, "n", upto.alias("upto"), F.sum("n").over(line).alias("copies")).where("n > 0")
+    return rows.join(numbered, keys).withColumn("copy", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto")))).drop("n", "upto")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 17, identifier: str = "doc_id", source: str = "source", text: str = "text", total: int | None = None) -> DataFrame:
     """``docs`` replicated towards the target weights and globally shuffled: columns ``doc`` (all of the row's), copy (from 1), copies, rate, shuffle_key."""
-    rates = source_rates(docs, weights, source, text, total).persist()
-    try:
-        small = rates.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES
-    finally:
-        rates.unpersist()
+    rates = stored(source_rates(docs, weights, source, text, total), "mix-rates")
+    small = rates.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.coalesce(docs[source].cast("string"), F.lit("")).alias("mix_source"), F.coalesce(docs[identifier].cast("string"), F.lit("")).alias("mix_id"))
-    drawn = rows.join(F.broadcast(rates) if small else rates, "mix_source").withColumn("copies", _draw(F.col("rate"), seed, F.col("mix_id"))).where("copies > 0")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rated = rows.join(F.broadcast(rates) if small else rates, "mix_source")
+    many = F.col("rate") > STEP * RUN
+    columns = ["doc", "mix_id", "rate", "copies", "copy"]
+    drawn = rated.where(~many).withColumn("copies", _draw(F.col("rate"), seed, F.col("mix_id")).cast("bigint")).where("copies > 0")
+    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*columns)
+    if not rates.where(many).isEmpty():
+        copies = copies.unionByName(_in_runs(rated.where(many), seed).select(*columns))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), "mix_id", "copy").cast("binary")))
-    return keyed.orderBy("shuffle_key").select("doc", "copy", "copies", "rate", "shuffle_key")
+    dealt = keyed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shuffle_key").sortWithinPartitions("shuffle_key")
+    return dealt.select("doc", "copy", "copies", "rate", "shuffle_key")
 
 
 @register(
@@ -86,4 +107,4 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 17
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source brought to the same share of code points; total size stays."""
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc.doc_id", "doc.source", F.col("copy").cast("bigint").alias("copy"), F.col("copies").cast("bigint").alias("copies"), "shuffle_key")
+    return mixed.select("doc.doc_id", "doc.source", "copy", "copies", "shuffle_key")
