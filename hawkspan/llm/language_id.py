@@ -1,8 +1,11 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of all labelled texts, task by task in numpy and then per language and bucket in a grouping, so every labelled
-document counts. The matrix of log probabilities (languages x buckets, both bounded) is broadcast; texts are scored in numpy, each as a
-sparse vector of bucket counts.
+document counts. The matrix of log probabilities (languages x buckets, both bounded) is broadcast; texts are scored in numpy, a batch
+at a time as one sparse matrix of bucket counts: its entries' rows of the matrix are weighted and summed by text.
+
+At most ``MAX_LANGUAGES`` labels are learned, which bounds the matrix: those with the most documents (ties: in alphabetical order). Rows
+with other labels take no part in training.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is every text if nothing could be learned. Equal
 posteriors go to the first language in alphabetical order. Repeated rows count and are scored each. Extra columns pass through
@@ -25,7 +28,8 @@ from hawkspan.llm.base import register, table
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-MAX_LANGUAGES = 200  # more labels than this are refused: the broadcast matrix has a bound
+MAX_LANGUAGES = 200
+ENTRIES = 1 << 18  # of a sparse matrix that is scored at once, beyond a text's own
 PIECE = 1 << 18  # code points of a text that are hashed at once
 SMOOTHING = 0.5
 LETTER = regex.compile(r"\p{L}")
@@ -61,19 +65,44 @@ class Model:
     log_prior: np.ndarray
     log_prob: np.ndarray  # buckets x languages
 
-    def score(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not has_letter(text):
-            return "und", 0.0
-        buckets, counts = bucket_counts(text)
-        logs = self.log_prior + counts @ self.log_prob[buckets]
-        odds = np.exp(logs - logs.max())
-        best = int(np.argmax(logs))
-        return self.languages[best], float(odds[best] / odds.sum())
+    def scores(self, texts: Iterable[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and posterior of each text."""
+        names, values = [], []
+        rows: list[tuple[np.ndarray, np.ndarray] | None] = []
+        held = 0
+
+        def close() -> None:
+            some = [i for i, row in enumerate(rows) if row is not None]
+            found, odds = ["und"] * len(rows), np.zeros(len(rows))
+            if some:
+                entries = [rows[i] for i in some]
+                begins = np.concatenate([[0], np.cumsum([len(b) for b, _ in entries[:-1]])]).astype(np.int64)
+                buckets, counts = (np.concatenate([e[k] for e in entries]) for k in (0, 1))
+                logs = self.log_prior + np.add.reduceat(counts[:, None] * self.log_prob[buckets], begins, axis=0)
+                best = logs.argmax(axis=1)
+                share = np.exp(logs - logs.max(axis=1, keepdims=True))
+                odds[some] = share[np.arange(len(some)), best] / share.sum(axis=1)
+                for i, j in zip(some, best.tolist(), strict=True):
+                    found[i] = self.languages[j]
+            names.extend(found)
+            values.append(odds)
+            rows.clear()
+
+        for text in texts:
+            rows.append(bucket_counts(text) if self.languages and has_letter(text) else None)
+            held += len(rows[-1][0]) if rows[-1] is not None else 0
+            if held > ENTRIES:
+                close()
+                held = 0
+        close()
+        return names, np.concatenate(values)
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang") -> Model:
-    """Learn from every row of ``docs`` whose label is not null and whose text has a letter."""
+    """Learn from every row of ``docs`` whose label is one of the learned ones and whose text has a letter."""
     rows = docs.select(docs[text].alias("text"), docs[label].cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
+    frequent = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES)
+    rows = rows.where(F.col("label").isin(*[r.label for r in frequent.collect()]))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -82,8 +111,6 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang") -> Model:
             for text_, label_ in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
                 if has_letter(text_):
                     if label_ not in counts:
-                        if len(counts) >= MAX_LANGUAGES:
-                            raise ValueError(f"more than {MAX_LANGUAGES} languages")
                         counts[label_], documents[label_] = np.zeros(BUCKETS, np.int64), 0
                     buckets, n = bucket_counts(text_)
                     counts[label_][buckets] += n
@@ -93,13 +120,11 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang") -> Model:
             yield pa.RecordBatch.from_pydict({"label": [label_] * (len(used) + 1), "bucket": pa.array(np.append(used, -1), pa.int32()), "n": pa.array(np.append(vector[used], documents[label_]), pa.int64())})
 
     sums = rows.mapInArrow(count, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    packed = sums.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("cells")).limit(MAX_LANGUAGES + 1)  # at most BUCKETS + 1 cells each
+    packed = sums.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))  # at most BUCKETS + 1 cells each
     found = {}
     for row in packed.toLocalIterator():
         cells = np.array(row.cells, np.int64)
         found[row.label] = cells
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(found)
     matrix, prior = np.full((BUCKETS, len(languages)), SMOOTHING), np.zeros(len(languages))
     for j, language in enumerate(languages):
@@ -118,8 +143,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def scored(texts):
         import pandas as pd
 
-        known = Model(*shared.value)
-        return pd.DataFrame([known.score(t) for t in texts], columns=["lang_pred", "score"])
+        names, values = Model(*shared.value).scores(texts)
+        return pd.DataFrame({"lang_pred": names, "score": values})
 
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), scored(docs[text]).alias("language"))
     return rows.select("doc", "language.lang_pred", "language.score")
