@@ -5,8 +5,8 @@ length of the centred vector and the inner product of its direction with its cod
 product and a bound on its error. A query keeps, per block of the index, the vectors whose upper bound is not below the k-th lower
 bound, and only those are measured exactly, in double precision.
 
-Queries meet the index in blocks: blocks of queries are dealt to groups of index blocks by an equi-join, each pair is worked in numpy,
-and k rows per query and group go on to the final top k.
+Queries meet the index in blocks: sets of queries and groups of the index, both of bounded size, are paired by an equi-join, each pair is
+one task's work in numpy, and k rows per query and group go on to the final top k.
 
 Defined cases: vectors that are null, zero, of another length than the most frequent one, or hold null or non-finite components take no
 part; equal scores go to the smaller identifier; fewer candidates than k give all of them; repeated identifiers count as one row each; an
@@ -116,14 +116,20 @@ def _search_block(query_ids, queries, ids, codes, lengths, fits, vectors, centre
     return out
 
 
-def search(index: DataFrame, centre: np.ndarray, turn: np.ndarray, is_query, k: int = 5, groups: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of every row that ``is_query`` names, against all rows of the index."""
-    spark = index.sparkSession
-    n = index.count()
-    groups = groups or max(1, -(-n // (4 * INDEX_BLOCK)))
-    salted = index.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
-    queries = index.where(is_query).select("vec_id", "v").withColumn("all", F.sequence(F.lit(0), F.lit(groups - 1)))
-    asked = queries.select(F.explode("all").alias("group"), "vec_id", "v")
+def search(index: DataFrame, centre: np.ndarray, turn: np.ndarray, is_query, k: int = 5, groups: int | None = None, sets: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of every row that ``is_query`` names, against all rows of the index.
+
+    ``groups`` of the index and ``sets`` of queries follow from their numbers: some 16,000 vectors and 4,000 queries at most meet in a task.
+    """
+    counted = index.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("asked")).head()
+    groups = groups or max(1, -(-counted["n"] // (4 * INDEX_BLOCK)))
+    sets = sets or max(1, -(-counted["asked"] // (8 * QUERY_BLOCK)))
+
+    def dealt(rows: DataFrame, own: str, number: int, other: str, others: int) -> DataFrame:
+        return rows.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(number)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    salted = dealt(index, "group", groups, "set", sets)
+    asked = dealt(index.where(is_query).select("vec_id", "v"), "set", sets, "group", groups)
 
     def work(key, left, right):
         ids, answers = right["vec_id"].to_numpy(), []
@@ -141,7 +147,7 @@ def search(index: DataFrame, centre: np.ndarray, turn: np.ndarray, is_query, k:
         columns = [np.concatenate(c) for c in zip(*answers, strict=True)] if answers else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    hits = asked.groupBy("group").cogroup(salted.groupBy("group")).applyInArrow(lambda key, left, right: work(key, left, right) if right.num_rows else work_nothing(), HIT)
+    hits = asked.groupBy("group", "set").cogroup(salted.groupBy("group", "set")).applyInArrow(lambda key, left, right: work(key, left, right) if right.num_rows else work_nothing(), HIT)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
