@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hawkspan.llm import exact_dedup, mixing, ngram_join
 
@@ -133,6 +134,26 @@ def test_mixing_reaches_target_weights(written):
     assert mixing.mix(written([], SCHEMA, "none")).count() == 0
 
 
+def test_runs_of_parts_give_the_same_copies(written, monkeypatch):
+    rows = [(i, "w" * (3000 if i % 9 else 2), "copies", "rate", "big" if i % 9 else "tiny") for i in range(60)] + [(9, "ww", "other", "row", "tiny"), (None, "ww", "", "", "tiny")]
+    docs = written(rows, SCHEMA)
+
+    def drawn():
+        return sorted(map(str, mixing.mix(docs, {"big": 1.0, "tiny": 0.02}).select("doc.*", "copy", "copies", "rate", "shuffle_key").toDF("doc_id", "text", "k1", "k2", "source", "copy", "n", "rate", "key").collect()))
+
+    want = drawn()
+    monkeypatch.setattr(mixing, "RUN", 3)
+    assert drawn() == want and sum("tiny" in x for x in want) > 900
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
+    assert drawn() == want
+
+
+def test_a_source_of_two_characters_beside_millions(written):
+    docs = written([(1, "ab", "", "", "tiny"), *[(i, "x" * 400_000, "", "", "big") for i in range(2, 7)]], SCHEMA)
+    counts = {r["source"]: (r["n"], r["last"]) for r in mixing.mix(docs).groupBy("doc.source").agg(F.count("*").alias("n"), F.max("copy").alias("last")).collect()}
+    assert abs(counts["tiny"][0] - 500_001) < 5_000 and counts["tiny"][0] == counts["tiny"][1]
+
+
 def test_large_rates_do_not_underflow(written):
     rows = [(i, "ab", "", "", "rare") for i in range(5)] + [(100, "x" * 20_000, "", "", "common")]
     counts = mixing.mix(written(rows, SCHEMA), {"rare": 1.0}).groupBy("doc.doc_id").count().collect()

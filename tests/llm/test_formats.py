@@ -122,12 +122,13 @@ def test_the_query_splits_pages_of_the_given_tables(spark, tmp_path):
     assert {r.status for r in warc.payloads(records, content=False).select("status").distinct().collect()} == {"ok"}
 
 
-def test_neighbours_against_brute_force(spark):
+@pytest.mark.parametrize("sets", [None, 4])
+def test_neighbours_against_brute_force(spark, sets):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     odd = spark.createDataFrame([(10_000, None), (10_050, [0.0] * 64), (10_100, [float("nan")] + [1.0] * 63), (10_150, [1.0])], "vec_id long, embedding array<float>")
     index, centre, turn = ann.build_index(ann.valid_vectors(rows.select("vec_id", "embedding").unionByName(odd), "vec_id", "embedding"))
     got = {}
-    for r in ann.search(index, centre, turn, F.col("vec_id") % 50 == 0, groups=3).collect():
+    for r in ann.search(index, centre, turn, F.col("vec_id") % 50 == 0, groups=3, sets=sets).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
     data = rows.orderBy("vec_id").toPandas()
     ids, v = data.vec_id.to_numpy(), np.stack(data.embedding).astype(float)
@@ -153,6 +154,60 @@ def test_language_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_neighbours_of_few_equal_and_no_vectors(spark, tmp_path):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.0]), (2, [0.5, 0.0]), (50, [0.0, 1.0])]
+    schema = "vec_id long, embedding array<float>, score string, code string"
+    spark.createDataFrame([(i, v, "x", "y") for i, v in rows], schema).write.parquet(str(tmp_path / "few" / "embeddings.parquet"))
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.op4(spark, str(tmp_path / "few")).collect())
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 2), (0, 4, 50), (50, 1, 0), (50, 2, 1), (50, 3, 2), (50, 4, 2)]
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "embeddings.parquet"))
+    assert ann.op4(spark, str(tmp_path / "none")).count() == 0
+
+
+def plain_bayes(training, texts):
+    """Counts in dictionaries, one text and one language at a time."""
+    counts, documents = {}, {}
+    for text, label in training:
+        if text and label and any(c.isalpha() for c in text):
+            buckets, n = language_id.bucket_counts(text)
+            mine = counts.setdefault(label, {})
+            for b, k in zip(buckets.tolist(), n.tolist(), strict=True):
+                mine[b] = mine.get(b, 0) + k
+            documents[label] = documents.get(label, 0) + 1
+    result = []
+    for text in texts:
+        if not text or not any(c.isalpha() for c in text):
+            result.append(("und", 0.0))
+            continue
+        logs = {}
+        for label, mine in counts.items():
+            whole = sum(mine.values()) + language_id.SMOOTHING * language_id.BUCKETS
+            buckets, n = language_id.bucket_counts(text)
+            logs[label] = np.log(documents[label] / sum(documents.values())) + sum(k * np.log((mine.get(b, 0) + language_id.SMOOTHING) / whole) for b, k in zip(buckets.tolist(), n.tolist(), strict=True))
+        best = min(sorted(logs), key=lambda x: -logs[x])
+        result.append((best, 1 / sum(np.exp(v - logs[best]) for v in logs.values())))
+    return result
+
+
+def test_language_against_plain_bayes(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "ENTRIES", 300)
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang").collect()
+    training = [(r.text, r.lang) for r in rows[:120]] + [(None, "xx"), ("abc", None), ("...", "yy")]
+    texts = [r.text[:500] for r in rows[120:]] + [None, "", "12", "ab", "ß" * 300_000]
+    docs = spark.createDataFrame([(t, lab) for t, lab in training], "text string, lang string")
+    asked = spark.createDataFrame([(i, t, "q") for i, t in enumerate(texts)], "doc_id long, text string, lang_pred string")
+    got = {r.doc.doc_id: (r.lang_pred, r.score) for r in language_id.predict(asked, language_id.train(docs)).collect()}
+    for i, (name, value) in enumerate(plain_bayes(training, texts)):
+        assert got[i][0] == name and abs(got[i][1] - value) < 1e-6, i
+    assert language_id.predict(asked.limit(0), language_id.train(docs)).count() == 0
+
+
+def test_rare_labels_fold_away(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    docs = spark.createDataFrame([(f"{label * 5} text", label) for i, label in enumerate("abcdefgh") for _ in range(9 - i)], "text string, lang string")
+    assert language_id.train(docs).languages == ["a", "b", "c"]
+
+
 def test_language_edge_cases(spark):
     docs = spark.createDataFrame([(1, "bonjour", "fr"), (2, "hello", "en"), (3, None, "en"), (4, "123 !", "fr"), (5, "x", None)], "doc_id long, text string, lang string")
     got = {r.doc.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, language_id.train(docs)).collect()}
