@@ -16,18 +16,21 @@ def evaluate_cases(cases: DataFrame, alerts: DataFrame, iface: str) -> DataFrame
     """Expected against seen signatures per case; ``visible_ms`` tells when the last expected one could be queried, where alerts say when they were loaded.
 
     ``cases``: case_name, started_at, deadline, expected_sids. Cases are joined on the minutes they span, so that a busy
-    period is split; a case's set of signatures is at most the rule catalogue.
+    period is split; a case's set of signatures is at most the rule catalogue. Minutes are made for the cases only that any alert can meet,
+    and narrow; the hint keeps them off the driver, as Spark guesses their size from the cases' alone.
     """
-    minutes = F.explode(F.sequence(F.date_trunc("minute", "started_at"), F.date_trunc("minute", "deadline"), F.expr("INTERVAL 1 MINUTE")))
-    spans = cases.withColumn("minute", minutes)
     # One row per (instant, signature) is all a case needs to know of the alerts, and only of the time the cases span.
-    alerts = time_slice(alerts, cases.agg(F.min("started_at")).scalar(), cases.agg(F.max("deadline")).scalar(), "timestamp")
+    alerts = time_slice(alerts, cases.agg(F.min("started_at")).scalar(), cases.agg(F.max("deadline")).scalar(), "timestamp").where(F.col("in_iface") == iface)
+    met = cases.where((F.col("started_at") <= alerts.agg(F.max("timestamp")).scalar()) & (F.col("deadline") > alerts.agg(F.min("timestamp")).scalar()))
+    minutes = F.explode(F.sequence(F.date_trunc("minute", "started_at"), F.date_trunc("minute", "deadline"), F.expr("INTERVAL 1 MINUTE")))
+    spans = met.select("case_name", "started_at", "deadline", minutes.alias("minute"))
     loaded = F.col("loaded_at") if "loaded_at" in alerts.columns else F.lit(None).cast("timestamp")
-    seen = alerts.where(F.col("in_iface") == iface).groupBy("alert_signature_id", "timestamp").agg(F.min(loaded).alias("loaded_at")).withColumn("minute", F.date_trunc("minute", "timestamp"))
+    seen = alerts.groupBy("alert_signature_id", "timestamp").agg(F.min(loaded).alias("loaded_at")).withColumn("minute", F.date_trunc("minute", "timestamp"))
     inside = (F.col("timestamp") >= F.col("started_at")) & (F.col("timestamp") < F.col("deadline"))
-    hits = spans.join(seen, "minute").where(inside).groupBy("case_name", "alert_signature_id").agg(
-        F.min("timestamp").alias("first_at"), F.min("loaded_at").alias("loaded_at"), F.max(F.array_contains("expected_sids", F.col("alert_signature_id"))).alias("is_expected")
+    hits = seen.join(spans.hint("merge"), "minute").where(inside).groupBy("case_name", "alert_signature_id").agg(
+        F.min("timestamp").alias("first_at"), F.min("loaded_at").alias("loaded_at")
     )
+    hits = hits.join(cases.select("case_name", "expected_sids"), "case_name").withColumn("is_expected", F.array_contains("expected_sids", F.col("alert_signature_id")))
     found = hits.groupBy("case_name").agg(
         F.array_sort(F.collect_list("alert_signature_id")).alias("detected_sids"), F.min(F.when(F.col("is_expected"), F.col("first_at"))).alias("first_expected"),
         F.max(F.when(F.col("is_expected"), F.col("first_at"))).alias("all_expected"), F.max(F.when(F.col("is_expected"), F.col("loaded_at"))).alias("all_loaded"),
