@@ -95,3 +95,31 @@ def test_only_groups_that_can_reach_the_least_are_handed_out(spark):
     whole, fewer = scope.grouped(rows, ["src", "port"], measures), scope.grouped_where_many(rows, ["src", "port"], measures, ["src"], 20)
     assert many(whole) == many(fewer) and len(many(whole)) > 100
     assert {r.src for r in fewer.select("src").distinct().collect()} == {"busy"}
+
+
+def test_panes_that_lie_together_are_handed_out_without_moving(spark):
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(f"s{rng.randrange(9)}", f"p{rng.randrange(3)}", rng.randrange(90), FIRST + timedelta(minutes=rng.randrange(1500))) for _ in range(900)], "src string, kind string, size int, ts timestamp")
+    scope, measures = HourlyWindows(FIRST, LAST, 5), {"n": ("sum", F.lit(1)), "most": ("max", F.col("size"))}
+    handed = []
+
+    def even(panes):
+        handed.append(panes.count())
+        return panes.where("src <> 's3'").withColumn("first_letter", F.substring("kind", 1, 1))
+
+    moved = scope.grouped(rows.where("src <> 's3'"), ["src", "kind"], measures)
+    still = scope.grouped(rows, ["src", "kind"], measures, each=even, together=["src"])
+    again = still.groupBy("window_end", "src").agg(F.sum("n"))
+    assert Counter(map(str, still.drop("first_letter").collect())) == Counter(map(str, moved.collect()))
+    assert set(still.columns) == {*moved.columns, "first_letter"} and handed[0] == rows.select("src", "kind", F.date_trunc("hour", "ts")).distinct().count()
+    assert "hashpartitioning(window_end" in moved._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(window_end" not in again._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_connections_are_judged_before_windows_repeat_them(tables, monkeypatch):
+    from hawkspan.plans import detections
+
+    seen = []
+    monkeypatch.setattr(detections, "_judged", lambda groups, entries, name=None: seen.append(groups.columns) or groups)
+    REGISTRY["DET-102"].hourly(tables, FIRST, LAST, AS_OF, 7, **LOW["DET-102"])
+    assert len(seen) == 1 and "pane" in seen[0] and "window_end" not in seen[0]
