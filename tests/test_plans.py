@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from acceptance import load_all
 from acceptance.catalog import CATALOG
 from hawkspan.functions.tls import tls_fingerprints
-from hawkspan.operators.ipjoin import covered_addresses, explode_blocks, geo_enrich, lookup_ranges, network_blocks
+from hawkspan.operators.ipjoin import covered_addresses, distinct_addresses, distinct_network_blocks, explode_blocks, geo_enrich, lookup_ranges, network_blocks
 from hawkspan.operators.medians import attach, event_gaps
-from hawkspan.plans import evaluate
+from hawkspan.plans import detections, evaluate
 
 SMALL = "/root/testdata/sf0.001"
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas")
@@ -158,3 +158,30 @@ def test_a_range_listed_often_meets_an_address_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     join = plan[plan.index("Join"):]
     assert "Aggregate [block" in join  # the blocks are reduced before they meet the addresses
+
+
+def _below_the_grouping(df) -> str:
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan[plan.rindex("Aggregate ["):]
+
+
+def test_each_address_and_network_is_parsed_once(spark, tmp_path):
+    spark.createDataFrame([("10.1.2.3",), ("10.1.2.3",), ("junk",), (None,), ("2001:db8::1",)], "ip string").write.parquet(f"{tmp_path}/a")
+    spark.createDataFrame([("10.1.0.0/16",), ("10.1.0.0/16",), ("10.1.2.3",), ("x",), (None,)], "net string").write.parquet(f"{tmp_path}/n")
+    found = distinct_addresses(spark.read.parquet(f"{tmp_path}/a"), "ip")
+    nets = distinct_network_blocks(spark.read.parquet(f"{tmp_path}/n"), "net")
+    assert sorted(r.addr for r in found.collect()) == ["10.1.2.3", "2001:db8::1"]
+    assert sorted(map(tuple, nets.collect())) == [("10.1.0.0/16", "40a01"), ("10.1.2.3", "40a010203")]
+    assert "RLIKE" not in _below_the_grouping(found) and "RLIKE" not in _below_the_grouping(nets)
+
+
+def test_nonstandard_ports_come_from_one_grouping(spark):
+    rows = [
+        ("a", "203.0.113.9", 4444, "http", True), ("a", "203.0.113.9", 4444, "ssl,http,-gssapi", True), ("a", "203.0.113.9", 4444, "smtp,x", True), ("b", "203.0.113.9", 443, "ssl,-ssl", True),
+        ("b", "203.0.113.9", 443, "-http", True), ("c", "203.0.113.9", None, "ssh", True), ("d", "203.0.113.9", 80, "http,ssh", True), ("d", "203.0.113.9", 80, "nosuch,https", True),
+    ]
+    conn = spark.createDataFrame(rows, "id_orig_h string, id_resp_h string, id_resp_p int, service string, local_orig boolean").withColumns({"local_resp": F.lit(False), "uid": F.lit("u"), "ts": F.lit("2031-03-12 10:00:00").cast("timestamp")})
+    found = detections.nonstandard_port({"conn": conn, "ssl": conn, "allowlist": conn}, "2031-03-12", "2031-03-13", "2031-03-13", use_allowlist=0)
+    assert [(r.src, r.dst_port, r.protocols, r.conns, r.severity) for r in found.collect()] == [("a", 4444, "http,smtp,ssl", 3, "high"), ("d", 80, "ssh", 1, "medium")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and plan.count("find_in_set(http") == 1
