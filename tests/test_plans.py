@@ -185,3 +185,15 @@ def test_nonstandard_ports_come_from_one_grouping(spark):
     assert [(r.src, r.dst_port, r.protocols, r.conns, r.severity) for r in found.collect()] == [("a", 4444, "http,smtp,ssl", 3, "high"), ("d", 80, "ssh", 1, "medium")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 1 and plan.count("find_in_set(http") == 1
+
+
+def test_rules_that_repeat_are_parsed_once(spark, monkeypatch):
+    from hawkspan.plans import findings
+
+    parsed = []
+    monkeypatch.setattr(findings, "distinct_network_blocks", lambda rules, ip: parsed.append(distinct_network_blocks(rules, ip)) or parsed[0])
+    alerts = spark.createDataFrame([(1, 1, "40.0.7.1", "10.128.0.1"), (1, 2, "40.0.7.1", "10.128.0.1"), (1, 1, "41.0.7.1", "10.128.0.2"), (1, 1, None, "10.128.0.9")], "alert_gid long, alert_signature_id long, src_ip string, dest_ip string")
+    rules = [(1, 1, "by_src", "40.0.0.0/16"), (1, 2, "by_dst", "10.128.0.2"), (1, 1, "by_either", "10.128.0.2/31"), (2, 1, "by_src", "0.0.0.0/0"), (1, 1, "by_src", "junk")] * 50
+    kept = findings.suppress_alerts(alerts, spark.createDataFrame(rules, "gid long, sid long, track string, ip string"))
+    assert sorted((r.alert_signature_id, r.src_ip or "") for r in kept.collect()) == [(1, ""), (2, "40.0.7.1")]
+    assert len(parsed) == 1 and parsed[0].count() == 5
