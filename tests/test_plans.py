@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from acceptance import load_all
 from acceptance.catalog import CATALOG
 from hawkspan.functions.tls import tls_fingerprints
+from hawkspan import session
 from hawkspan.operators.ipjoin import covered_addresses, distinct_addresses, distinct_network_blocks, explode_blocks, geo_enrich, lookup_ranges, network_blocks
 from hawkspan.operators.medians import attach, event_gaps
 from hawkspan.plans import detections, evaluate
@@ -197,3 +198,18 @@ def test_rules_that_repeat_are_parsed_once(spark, monkeypatch):
     kept = findings.suppress_alerts(alerts, spark.createDataFrame(rules, "gid long, sid long, track string, ip string"))
     assert sorted((r.alert_signature_id, r.src_ip or "") for r in kept.collect()) == [(1, ""), (2, "40.0.7.1")]
     assert len(parsed) == 1 and parsed[0].count() == 5
+
+
+def test_one_window_of_scans_reads_the_connections_once(spark, tmp_path, monkeypatch):
+    rows = [(f"s{i // 60 % 3}", f"h{i // 60}", i % 60) for i in range(2400)] + [("s9", "h1", 1)]
+    conn = spark.createDataFrame(rows, "id_orig_h string, id_resp_h string, id_resp_p int").withColumns({"proto": F.lit("tcp"), "history": F.lit("S"), "conn_state": F.lit("S0"), "local_orig": F.lit(True), "ts": F.lit("2031-03-12 10:00:00").cast("timestamp")})
+    conn.write.parquet(f"{tmp_path}/conn-rows")
+    read = []
+
+    def scans(df):
+        return sum("FileScan" in line and "id_orig_h" in line for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
+
+    monkeypatch.setattr(detections, "stored", lambda df, purpose: read.append(scans(df)) or session.stored(df, purpose))
+    found = detections.scanning({"conn": spark.read.parquet(f"{tmp_path}/conn-rows")}, "2031-03-12", "2031-03-13", "2031-03-13", min_ports=3, min_hosts=5)
+    read.append(scans(found))
+    assert sum(read) == 1 and {r.src for r in found.collect()} == {"s0", "s1", "s2"}
