@@ -174,3 +174,22 @@ def test_arrival_and_absence(spark):
     assert (got.refused, got.accepted, got.commands, got.country_code, got.asn, got.newest) == (1, 1, 1, "KR", 7, NOW)
     http = spark.createDataFrame([(NOW, "/x", "1.1.1.1")], "ts timestamp, uri string, id_orig_h string")
     assert [evaluate.absence_check(http, u, "1.1.1.1", AS_OF).head().requests for u in ("/x", "/y")] == [1, 0]
+
+
+def test_honeypot_minutes_that_cannot_fire_are_not_repeated(spark, monkeypatch):
+    rng = random.Random(3)
+    kinds = ["cowrie.login.failed"] * 8 + ["cowrie.login.success", "cowrie.command.input", "cowrie.session.connect"]
+    rows = [(f"s{rng.randrange(12)}", rng.choice(kinds), NOW + timedelta(seconds=int(rng.paretovariate(0.5)) % 40000)) for _ in range(1500)] + [("quiet", "cowrie.login.failed", NOW + timedelta(minutes=30 * i)) for i in range(200)]
+    cowrie = spark.createDataFrame(rows, "src_ip string, eventid string, timestamp timestamp")
+    repeated, plain = [], r.sliding
+    monkeypatch.setattr(r, "sliding", lambda df, *more: repeated.append(df) or plain(df, *more))
+    got = {(x.evaluated_at, x.src_ip) for x in r.honeypot_attackers_by_minute({"cowrie": cowrie}).collect()}
+    want = set()
+    for src in {s for s, _, _ in rows}:
+        mine = [(k, t) for s, k, t in rows if s == src]
+        for at in {t.replace(second=0) + timedelta(minutes=m + (t.second > 0)) for _, t in mine for m in range(15)}:
+            seen = [k for k, t in mine if at - timedelta(minutes=15) < t <= at]
+            if seen.count("cowrie.login.failed") >= 20 or ("cowrie.login.success" in seen and "cowrie.command.input" in seen):
+                want.add((at, src))
+    assert got == want and want
+    assert repeated[0].where("src_ip = 'quiet'").isEmpty()
