@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,32 +59,43 @@ def _alpn_code(alpn: Column) -> Column:
 
 def ja4_parts(version: Column, ciphers: Column, extensions: Column, sig_algs: Column, supported: Column, alpn: Column) -> Column:
     """Struct ``ja4, ja4_r``: the hashed and the raw form."""
-    suites, exts, algs = drop_grease(ciphers), drop_grease(extensions), drop_grease(sig_algs)
+    lists = F.struct(drop_grease(ciphers).alias("suites"), drop_grease(extensions).alias("exts"), drop_grease(sig_algs).alias("algs"))
+    return _let(lists, lambda v: _let(_ja4_texts(v["suites"], v["exts"], v["algs"], _version_code(version, supported), _alpn_code(alpn)), _ja4_forms))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Names an intermediate value, which keeps it from being evaluated wherever it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _ja4_texts(suites: Column, exts: Column, algs: Column, version_code: Column, alpn_code: Column) -> Column:
     hashed_exts = F.filter(exts, lambda e: ~e.isin(SNI_EXTENSION, ALPN_EXTENSION))
     head = F.concat(
-        F.lit("t"), _version_code(version, supported),
+        F.lit("t"), version_code,
         F.when(F.array_contains(exts, SNI_EXTENSION), "d").otherwise("i"),
         F.lpad(F.least(F.size(suites), F.lit(99)).cast("string"), 2, "0"),
         F.lpad(F.least(F.size(exts), F.lit(99)).cast("string"), 2, "0"),
-        _alpn_code(alpn),
+        alpn_code,
     )
     suite_text = _hex4(F.array_sort(suites))
     ext_text = _hex4(F.array_sort(hashed_exts))
     ext_text = F.when(F.size(algs) > 0, F.concat_ws("_", ext_text, _hex4(algs))).otherwise(ext_text)
-    suite_hash = F.when(F.size(suites) == 0, EMPTY_HASH).otherwise(_short_hash(suite_text))
-    ext_hash = F.when(F.size(hashed_exts) == 0, EMPTY_HASH).otherwise(_short_hash(ext_text))
     return F.struct(
-        F.concat_ws("_", head, suite_hash, ext_hash).alias("ja4"), F.concat_ws("_", head, suite_text, ext_text).alias("ja4_r")
+        head.alias("head"), suite_text.alias("suites"), ext_text.alias("exts"), (F.size(suites) == 0).alias("no_suites"), (F.size(hashed_exts) == 0).alias("no_exts")
     )
 
 
+def _ja4_forms(v: Column) -> Column:
+    suite_hash, ext_hash = [F.when(v[f"no_{c}"], EMPTY_HASH).otherwise(_short_hash(v[c])) for c in ("suites", "exts")]
+    return F.struct(F.concat_ws("_", v["head"], suite_hash, ext_hash).alias("ja4"), F.concat_ws("_", v["head"], v["suites"], v["exts"]).alias("ja4_r"))
+
+
 def tls_fingerprints(hello: DataFrame) -> DataFrame:
     """``uid, ja3, ja4, ja4_r`` from the first ClientHello of each connection (lowest ``seq``)."""
     fields = ("version", "ciphers", "extensions", "curves", "point_formats", "sig_algs", "supported_versions", "alpn")
     first = hello.groupBy("uid").agg(F.min_by(F.struct(*fields), "seq").alias("h"))
     h = {f: F.col(f"h.{f}") for f in fields}
     pair = ja4_parts(h["version"], h["ciphers"], h["extensions"], h["sig_algs"], h["supported_versions"], h["alpn"])
-    marks = first.select(
-        "uid", ja3(h["version"], h["ciphers"], h["extensions"], h["curves"], h["point_formats"]).alias("ja3"), pair.alias("pair")
-    )
-    return marks.select("uid", "ja3", "pair.ja4", "pair.ja4_r")
+    # A generated row: tests of a fingerprint stay above it, so none is made a second time for them.
+    marks = F.struct(ja3(h["version"], h["ciphers"], h["extensions"], h["curves"], h["point_formats"]).alias("ja3"), pair.alias("pair"))
+    return first.select("uid", F.inline(F.array(marks))).select("uid", "ja3", "pair.ja4", "pair.ja4_r")

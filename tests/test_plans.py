@@ -213,3 +213,11 @@ def test_one_window_of_scans_reads_the_connections_once(spark, tmp_path, monkeyp
     found = detections.scanning({"conn": spark.read.parquet(f"{tmp_path}/conn-rows")}, "2031-03-12", "2031-03-13", "2031-03-13", min_ports=3, min_hosts=5)
     read.append(scans(found))
     assert sum(read) == 1 and {r.src for r in found.collect()} == {"s0", "s1", "s2"}
+
+
+def test_fingerprints_are_made_once_whatever_tests_them(spark, tmp_path):
+    hello = spark.createDataFrame([("u", 0, 771, [4865, 2570], [0, 16, 43], [29], [0], [1027], [772], "h2")], "uid string, seq int, version int, ciphers array<int>, extensions array<int>, curves array<int>, point_formats array<int>, sig_algs array<int>, supported_versions array<int>, alpn string")
+    hello.write.parquet(f"{tmp_path}/hello")
+    prints = tls_fingerprints(spark.read.parquet(f"{tmp_path}/hello")).where("ja4 <> ''").withColumn("head", F.substring_index("ja4", "_", 2))
+    plan = prints._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 2 and prints.head().head.startswith("t13d01")
