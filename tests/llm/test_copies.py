@@ -158,3 +158,12 @@ def test_large_rates_do_not_underflow(written):
     rows = [(i, "ab", "", "", "rare") for i in range(5)] + [(100, "x" * 20_000, "", "", "common")]
     counts = mixing.mix(written(rows, SCHEMA), {"rare": 1.0}).groupBy("doc.doc_id").count().collect()
     assert len(counts) == 5 and all(abs(r["count"] - 2001) < 250 for r in counts)
+
+
+def test_many_small_stores_hold_little_memory_and_are_closed_soon(spark, tmp_path):
+    docs = [(i, f"text {i % 7}") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    rows = exact_dedup.exact_dedup(spark.read.parquet(f"{tmp_path}/docs")).collect()
+    assert {r.doc_id for r in rows if r.kept} == set(range(33, 40)) and len(rows) == 40
+    store = "spark.sql.streaming.stateStore."
+    assert int(spark.conf.get(f"{store}rocksdb.maxMemoryUsageMB")) <= 64 and spark.conf.get(f"{store}rocksdb.writeBufferSizeMB") == "2" and spark.conf.get(f"{store}maintenanceInterval") == "10s"
