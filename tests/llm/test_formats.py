@@ -310,6 +310,54 @@ def test_secrets_of_the_query_against_plain_code_and_planted_ones(spark, tmp_pat
     assert sum(r.n_opaque > 0 for d, r in got.items() if d < 10**6) <= 50
 
 
+def test_secrets_learn_from_every_finding_however_documents_are_dealt_out(spark, monkeypatch):
+    """Findings beyond the bounds of ``train`` count, and the network is the same for any number of partitions and batches."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 12)) for _ in range(1500)]
+    hidden = ["".join(rng.choice(list("0123456789abcdef"), 30)) for _ in range(60)]
+    texts = [f"so {w} went on with {w[::-1]}, {w}" for w in words] + [f"the token={h} and {h} again" for h in hidden] + [None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {(r.secret, r.passage[secrets.BEFORE : secrets.BEFORE + r.size]) for r in secrets._findings(docs, "text", "doc_id").collect()}
+    assert found == {(False, w) for w in words} | {(False, w[::-1]) for w in words} | {(True, h) for h in hidden}
+
+    monkeypatch.setattr(secrets, "SHARD", 600)
+    monkeypatch.setattr(secrets, "RATES", (0.02, 0.01))
+    seen = spark.sparkContext.accumulator(0)
+    taught = secrets.one_pass
+
+    def counted(net, secret, harmless, rate, seed):
+        seen.add(len(harmless))
+        taught(net, secret, harmless, rate, seed)
+
+    monkeypatch.setattr(secrets, "one_pass", counted)
+    first = secrets.learn(docs.repartition(5))
+    held = sum((secrets.xxhash.xxh3_64_intdigest(w.encode()) >> 1) % 3 == 0 for v in words for w in {v, v[::-1]})
+    assert seen.value == 2 * (3000 - held)  # 300 of a shape at most before
+    monkeypatch.setattr(secrets, "KEPT", 7)
+    second = secrets.learn(docs.coalesce(1))
+    assert all((a == b).all() for a, b in zip(first.weights, second.weights, strict=True))
+    assert (first.calibration, first.threshold) == (second.calibration, second.threshold)
+    assert secrets.learn(docs.limit(0)) is None and secrets.learn(docs.where("doc_id < 1500")) is None
+
+
+def test_secrets_threshold_is_from_all_held_out_values(spark):
+    """The threshold is found by counting: the highest that keeps the wanted share of the values' windows in all shards."""
+    net = secrets.Network([np.zeros_like(w) for w in secrets.Network.fresh().weights])
+    net.weights[0][ord("Z"), 0] = net.weights[1][0, 0] = 1  # sees a Z and nothing else
+    net.weights[3][0], net.weights[4][0] = 4, -1
+
+    def windows(*values):
+        return b"".join(w[: secrets.WIDTH] + bytes([sum(w[secrets.WIDTH :])]) for v in values for w in secrets.windows_of(v, 0, len(v)))
+
+    def threshold(plain_values):
+        rows = [(i, b"", windows(*["harmless"] * 5), windows(*["Z" * 16] * 48, *["a" * 16] * n), windows("short"), windows("harmless")) for i, n in enumerate(plain_values)]
+        return secrets._judged(net, spark.createDataFrame(rows, "shard int, " + ", ".join(f"{c} binary" for c in secrets.SORTS)), 1)
+
+    some = threshold([0, 1, 0])  # 1 of 145 may be missed, 4 of 148 not
+    assert some.threshold == some.calibrated(np.array([3.0]))[0]
+    more = threshold([0, 4, 0])
+    assert more.threshold == more.calibrated(np.array([-1.0]))[0]
+
 def test_training_examples_do_not_depend_on_the_partitions(spark, monkeypatch):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     monkeypatch.setattr(secrets, "fit", lambda positives, negatives: (positives.tobytes(), negatives.tobytes()))
