@@ -12,25 +12,29 @@ from acceptance.catalog import Tables, query
 from acceptance.detection_queries import domain_sql
 from acceptance.state_queries import EVE_AT, NOTICES_SQL, SEVERE, USED, ends, js, lines
 from hawkspan.plans import response
-from hawkspan.session import work_dir
+from hawkspan.session import discard, work_dir
 from hawkspan.sources.tables import TableStore
 from hawkspan.streaming import triggers
 from hawkspan.streaming.ingest import honeypot_batch
 
 
 class Arriving:
-    """Tables that arrive one after the other in a folder that a stream reads, each in as many files as Spark has tasks for it."""
+    """Tables that arrive one after the other in a folder that streams read, each in as many files as Spark has tasks for it."""
 
     def __init__(self, t: Tables, *parts: DataFrame):
         self.parts, self.folder = parts, work_dir(t.spark, "arriving")
         parts[0].limit(0).write.parquet(self.folder)  # the folder has to be there before the stream
         self.rows = t.spark.readStream.schema(parts[0].schema).option("recursiveFileLookup", "true").parquet(self.folder)
 
-    def run(self, start: Callable[[], StreamingQuery]) -> None:
-        """Each part is written whole, then the stream goes on from its checkpoint: a part is a batch, however many files it has."""
+    def run(self, *starts: Callable[[], StreamingQuery], drop_read: bool = False) -> None:
+        """Each part is written whole, then each stream goes on from its checkpoint: a part is a batch, however many files it has.
+        With ``drop_read`` its files go when all streams have read it."""
         for i, rows in enumerate(self.parts):
-            rows.write.parquet(f"{self.folder}/{i:03d}")
-            start().awaitTermination()
+            rows.write.option("compression", "zstd").parquet(part := f"{self.folder}/{i:03d}")
+            for start in starts:
+                start().awaitTermination()
+            if drop_read:
+                discard(rows.sparkSession, part)
 
 
 def signal(rows: DataFrame, ts: str) -> DataFrame:
@@ -38,15 +42,20 @@ def signal(rows: DataFrame, ts: str) -> DataFrame:
     return rows.orderBy(ts).limit(1).withColumn(ts, F.col(ts) + F.expr("INTERVAL 20000 DAYS"))
 
 
-def run_to_end(t: Tables, arriving: Arriving, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Let ``plan`` process everything there is and return what was appended."""
+def run_to_end(t: Tables, arriving: Arriving, plan: Callable[[DataFrame], DataFrame], *beside: Callable[[], StreamingQuery]) -> DataFrame:
+    """Let ``plan`` process everything there is and return what was appended. The streams that ``beside`` starts read each part after it.
+
+    Nothing goes on from the checkpoint after that, so neither it nor what has arrived is kept beside the result.
+    """
     out, stream = work_dir(t.spark, "stream"), plan(arriving.rows)
+    t.spark.conf.set("spark.sql.streaming.stateStore.compression.codec", "zstd")  # the state has a row for each window of a source's minute
 
     def keep(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{out}/result/batch={batch_id}")
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/result/batch={batch_id}")
 
     writer = stream.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
-    arriving.run(writer.start)
+    arriving.run(writer.start, *beside, drop_read=True)
+    discard(t.spark, f"{out}/checkpoint")
     return t.spark.read.schema(stream.schema).parquet(f"{out}/result").select(*stream.columns)
 
 
@@ -91,10 +100,9 @@ def repaired_pressure(t: Tables) -> DataFrame:
     on_time, late = F.pmod(F.xxhash64("uid"), F.lit(3)) > 0, F.pmod(F.xxhash64("uid"), F.lit(3)) == 0
     signals = signal(t["conn"].where(SSH), "ts")
     parts = [t["conn"].where(on_time), signals, signals, t["conn"].where(late)]
-    streamed = run_to_end(t, Arriving(t, *parts), lambda rows: triggers.ssh_pressure_stream(rows, at_least=1))
-    store, again = TableStore(t.spark, work_dir(t.spark, "late")), Arriving(t, *parts)
-    writer = again.rows.writeStream.foreachBatch(triggers.late_rows_batch(store, "conn", "w")).option("checkpointLocation", work_dir(t.spark, "late"))
-    again.run(writer.trigger(availableNow=True).start)
+    arriving, store = Arriving(t, *parts), TableStore(t.spark, work_dir(t.spark, "late"))
+    writer = arriving.rows.writeStream.foreachBatch(triggers.late_rows_batch(store, "conn", "w")).option("checkpointLocation", work_dir(t.spark, "late"))
+    streamed = run_to_end(t, arriving, lambda rows: triggers.ssh_pressure_stream(rows, at_least=1), writer.trigger(availableNow=True).start)
     late_rows = store.rows("late/conn").where(SSH)
     mended = triggers.repaired(lambda x: response.ssh_pressure_by_minute(x, at_least=1), "conn", t["conn"].where(SSH), late_rows, "id_orig_h", "10 minutes")
     kept = streamed.join(mended, ["evaluated_at", "src_ip"], "left_anti").select("evaluated_at", "src_ip", "connections")

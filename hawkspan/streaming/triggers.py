@@ -143,7 +143,8 @@ def late_rows_batch(store: TableStore, table: str, writer: str, late_seconds: fl
 
 
 def _batch_folder(rows: DataFrame, name: str, path: str) -> None:
-    rows.withColumn("batch", F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    write = rows.withColumn("batch", F.lit(name)).write.option("compression", "zstd")
+    write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
 
 def repaired(rule: Callable[[dict[str, DataFrame]], DataFrame], table: str, stored: DataFrame, late: DataFrame, source: str, length: str) -> DataFrame:
@@ -155,10 +156,12 @@ def repaired(rule: Callable[[dict[str, DataFrame]], DataFrame], table: str, stor
     minute = F.timestamp_seconds(F.ceil(F.unix_micros(ts) / 60e6) * 60)
     moments = late.where(F.col(source) != "").select(F.col(source).alias("src_ip"), minute.alias("minute")).distinct()
     touched = sliding(moments, "minute", length).select("evaluated_at", "src_ip").distinct()
-    # Only minutes that lie in a touched window are read again: those within a window's length of a late row, of the same source.
-    near = moments.select("src_ip", F.explode(F.expr(f"sequence(minute - INTERVAL {length}, minute + INTERVAL {length}, INTERVAL 1 MINUTE)")).alias("near")).distinct()
-    rows = stored.withColumn("minute_", minute)
-    rows = rows.join(near, (rows[source] == near["src_ip"]) & (rows["minute_"] == near["near"]), "left_semi").drop("minute_")
+    # Only rows near a late one of the same source are read again: those of its block of a window's length and of the blocks beside it,
+    # which hold every window that it touches. What they hold besides makes evaluations that nothing touched, which are left out.
+    block = lambda at: F.floor(F.unix_seconds(at) / F.expr(f"unix_seconds(timestamp_seconds(0) + INTERVAL {length})"))
+    near = moments.select("src_ip", F.explode(F.array(*[block("minute") + i for i in (-1, 0, 1)])).alias("near")).distinct()
+    rows = stored.withColumn("block_", block(minute))
+    rows = rows.join(near, (rows[source] == near["src_ip"]) & (rows["block_"] == near["near"]), "left_semi").drop("block_")
     return touched.join(rule({table: rows}).withColumn("fires", F.lit(True)), ["evaluated_at", "src_ip"], "left").withColumn("fires", F.coalesce("fires", F.lit(False)))
 
 
