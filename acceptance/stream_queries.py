@@ -12,11 +12,14 @@ from acceptance.catalog import Tables, query
 from acceptance.detection_queries import domain_sql
 from acceptance.state_queries import EVE_AT, NOTICES_SQL, SEVERE, USED, ends, js, lines
 from hawkspan.plans import response
-from hawkspan.session import discard, work_dir
+from hawkspan.session import discard, settings, work_dir
 from hawkspan.sources.tables import TableStore
 from hawkspan.streaming import triggers
 from hawkspan.streaming.ingest import honeypot_batch
 
+#: A batch's shuffle files go with the batch; the state, a row for each window of a source's minute, is packed.
+STREAM_DISK = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.streaming.stateStore.compression.codec": "zstd"}
+
 
 class Arriving:
     """Tables that arrive one after the other in a folder that streams read, each in as many files as Spark has tasks for it."""
@@ -48,13 +51,13 @@ def run_to_end(t: Tables, arriving: Arriving, plan: Callable[[DataFrame], DataFr
     Nothing goes on from the checkpoint after that, so neither it nor what has arrived is kept beside the result.
     """
     out, stream = work_dir(t.spark, "stream"), plan(arriving.rows)
-    t.spark.conf.set("spark.sql.streaming.stateStore.compression.codec", "zstd")  # the state has a row for each window of a source's minute
 
     def keep(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/result/batch={batch_id}")
 
     writer = stream.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
-    arriving.run(writer.start, *beside, drop_read=True)
+    with settings(t.spark, STREAM_DISK):
+        arriving.run(writer.start, *beside, drop_read=True)
     discard(t.spark, f"{out}/checkpoint")
     return t.spark.read.schema(stream.schema).parquet(f"{out}/result").select(*stream.columns)
 
